@@ -53,47 +53,55 @@ def quantiles(
             F.when(~(whole | open_high), F.get("_q", F.lit(points.index(high)))).alias("high"),
         )
 
-    brackets = sketch.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys],
-        F.struct("_n", F.array(*[bracket(p) for p in sorted(set(probs.values()))]).alias("b")).alias("_s"),
-    )
-    seen = rows.where(F.col(value).isNotNull())
+    found = F.struct(
+        "_n",
+        F.array(*[bracket(p) for p in sorted(set(probs.values()))]).alias("b"),
+        F.struct(F.col("_n").alias("n"), *names).alias("extra"),
+    ).alias("_s")
     if keys:
         # No hint: the brackets are one row per key, and the runtime size decides
         # between a broadcast and a skew-split join.
-        seen = seen.join(brackets, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+        brackets = sketch.select(*[F.col(k).alias(f"_key_{k}") for k in keys], found)
+        same_key = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+        seen = rows.join(brackets, same_key)
     else:
-        seen = seen.withColumn("_s", brackets.select("_s").scalar())
+        found_once = sketch.select(found).scalar()
+        seen = rows.withColumn("_s", found_once)
 
-    spread = seen.select(*keys, value, F.col("_s._n").alias("_n"), F.explode("_s.b").alias("_b"))
-    spread = spread.where(F.col("_b.high").isNull() | (F.col(value) <= F.col("_b.high")))
-    inside = F.col("_b.low").isNull() | (F.col(value) >= F.col("_b.low"))
+    x, low, high = F.col(value), F.col("_b.low"), F.col("_b.high")
+    spread = seen.select(*keys, value, "_s._n", "_s.extra", F.explode("_s.b").alias("_b"))
     counted = (
-        spread.select(*keys, F.col("_b.p").alias("_p"), "_n", F.when(inside, F.col(value)).alias("_v"))
+        spread.where(x.isNull() | high.isNull() | (x <= high))
+        .select(
+            *keys, F.col("_b.p").alias("_p"), "_n", "extra", value,
+            F.when(low.isNull() | (x >= low), x).alias("_v"),
+        )
         .groupBy(*keys, "_p", "_n", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
+        .agg(F.count(value).alias("_c"), F.any_value("extra").alias("extra"))
+    )
     upto = W.partitionBy(*keys, "_p").orderBy(F.col("_v").asc_nulls_first())
     ranked = counted.withColumn(
         "_upto", F.sum("_c").over(upto.rowsBetween(W.unboundedPreceding, 0))
     ).withColumn("_at", F.col("_p") * (F.col("_n") - 1))
     low_rank, high_rank = F.floor("_at"), F.ceil("_at")
-    picked = ranked.groupBy(*keys, "_p").agg(
+    picked = ranked.groupBy(*keys, "_p", "_n").agg(
         F.max(F.col("_at") - low_rank).alias("_frac"),
         F.min(F.when(F.col("_upto") > low_rank, F.col("_v"))).alias("_lo"),
         F.min(F.when(F.col("_upto") > high_rank, F.col("_v"))).alias("_hi"),
         F.max(F.col("_v").isNull() & (F.col("_upto") > low_rank)).alias("_missed"),
+        F.any_value("extra").alias("extra"),
     )
     missed = F.col("_missed") | F.col("_hi").isNull()
-    exact = F.when(missed, F.raise_error(F.lit("quantile bracket missed; raise accuracy"))).otherwise(
-        F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
+    exact = (
+        F.when(F.col("_n") == 0, F.lit(None).cast("double"))
+        .when(missed, F.raise_error(F.lit("quantile bracket missed; raise accuracy")))
+        .otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"))
     )
-    wide = picked.withColumn("_x", exact).groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(
-        *[F.max(F.when(F.col("_p") == p, F.col("_x"))).alias(out) for out, p in probs.items()]
+    wide = picked.withColumn("_x", exact).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_p") == p, F.col("_x"))).alias(out) for out, p in probs.items()],
+        F.any_value("extra").alias("extra"),
     )
-    base = sketch.select(*keys, F.col("_n").alias("n"), *names)
-    if keys:
-        same_key = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-        return base.join(wide, same_key, "left").select(*keys, "n", *names, *probs)
-    found = base.withColumn("_w", wide.select(F.struct(*probs)).scalar())
-    return found.select("n", *names, *[F.col(f"_w.{o}").alias(o) for o in probs])
+    if not keys:  # an empty input still has its one row of counts
+        wide = wide.withColumn("extra", found_once["extra"])
+    extras = [F.col(f"extra.{c}").alias(c) for c in ("n", *names)]
+    return wide.select(*keys, *extras, *[F.col(f"`{o}`") for o in probs])
