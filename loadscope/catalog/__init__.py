@@ -6,7 +6,7 @@ from importlib import import_module
 
 from loadscope.catalog.registry import ORACLES, QUERIES
 
-_MODULES = ("serving", "steps")
+_MODULES = ("serving", "steps", "traces", "datasets", "arrivals", "sweeps", "files")
 
 for _name in _MODULES:
     import_module(f"loadscope.catalog.{_name}")

@@ -23,38 +23,52 @@ def measured_marks(log: DataFrame) -> DataFrame:
     return log.where(F.col("is_warmup_request") == 0)
 
 
-def per_request(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """TPOT, TTFT and queueing time per request; NULL where a mark is missing.
+def request_marks(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The marks of every request, combined on the map side.
 
-    TPOT divides the span of the token marks by their *number*, so a request with
-    one token contributes 0.
+    Rows without a request id stay together as one group: they count as tokens
+    for the throughput but are no request.
     """
     idx, ts = F.col("decoding_step_idx"), F.col("timestamp_us")
 
     def mark(step: int):
         return F.min(F.when(idx == step, ts))
 
-    marks = (
+    return (
         measured_marks(log)
-        .where(F.col("request_guid").isNotNull())
         .groupBy(*(keys or []), "request_guid")
         .agg(
             F.count_if(idx >= FIRST_TOKEN).alias("tokens"),
-            (F.max(F.when(idx >= FIRST_TOKEN, ts)) - F.min(F.when(idx >= FIRST_TOKEN, ts))).alias("span"),
-            (mark(FIRST_TOKEN) - mark(SCHEDULED)).alias("wait"),
-            (mark(SCHEDULED) - mark(QUEUED)).alias("queue"),
+            F.min(F.when(idx >= FIRST_TOKEN, ts)).alias("first_us"),
+            F.max(F.when(idx >= FIRST_TOKEN, ts)).alias("last_us"),
+            mark(FIRST_TOKEN).alias("token_us"),
+            mark(SCHEDULED).alias("scheduled_us"),
+            mark(QUEUED).alias("queued_us"),
         )
     )
-    return marks.select(
+
+
+def request_latencies(marks: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """TPOT, TTFT and queueing time per request; NULL where a mark is missing.
+
+    TPOT divides the span of the token marks by their *number*, so a request with
+    one token contributes 0.
+    """
+    span = F.col("last_us") - F.col("first_us")
+    return marks.where(F.col("request_guid").isNotNull()).select(
         *(keys or []),
         "request_guid",
         "tokens",
-        F.when(F.col("tokens") > 0, F.col("span") / F.col("tokens") / F.lit(1e3)).alias("tpot_ms"),
-        (F.col("wait") / F.lit(1e3)).alias("ttft_ms"),
-        (F.col("queue") / F.lit(1e6)).alias("queueing_s"),
+        F.when(F.col("tokens") > 0, span / F.col("tokens") / F.lit(1e3)).alias("tpot_ms"),
+        ((F.col("token_us") - F.col("scheduled_us")) / F.lit(1e3)).alias("ttft_ms"),
+        ((F.col("scheduled_us") - F.col("queued_us")) / F.lit(1e6)).alias("queueing_s"),
     )
 
 
+def per_request(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return request_latencies(request_marks(log, keys), keys)
+
+
 def latency(requests: DataFrame, metric: str, keys: list[str] | None = None) -> DataFrame:
     """Mean, median and p99 of one latency, with complete and incomplete requests counted."""
     stats = quantiles(
@@ -93,8 +107,18 @@ def latencies(requests: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def throughput(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def marks_throughput(marks: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Token marks per second over the span of the marks; NULL for a zero span."""
+    span = (F.max("last_us") - F.min("first_us")) / F.lit(1e6)
+    return (
+        marks.groupBy(*(keys or []))
+        .agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("output_tokens"), span.alias("duration_s"))
+        .withColumn("throughput", F.try_divide(F.col("output_tokens"), F.col("duration_s")))
+    )
+
+
+def throughput(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The same straight from the log: one map-side aggregate, nothing per request."""
     tokens = measured_marks(log).where(F.col("decoding_step_idx") >= FIRST_TOKEN)
     span = (F.max("timestamp_us") - F.min("timestamp_us")) / F.lit(1e6)
     return (
