@@ -11,7 +11,7 @@ from loadscope.functions.text import ChatTemplate, token_count
 from loadscope.operators import arrivals, ordered, traces
 
 TEMPLATE = ChatTemplate()
-SEED, ENTRIES, MAX_LENGTH, RATE = 42, 50, 200, 2.0
+SEED, ENTRIES, MAX_LENGTH, RATE = 42, 30, 200, 2.0
 CHAT_ENTRIES = 20
 RATES = (0.5, 1.0, 2.0)
 

@@ -203,6 +203,16 @@ def sample_exactly(log: DataFrame, row_id: Column, n: int, seed) -> DataFrame:
     return ordered.hash_rank(log, row_id, seed, "_rank", upto=n).drop("_rank")
 
 
+def _copies(log: DataFrame, copies: int) -> DataFrame:
+    """Every row ``copies`` times; very many copies of a row are made by several tasks."""
+    if copies <= _EMIT:
+        return log.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    firsts = F.sequence(F.lit(0), F.lit(copies - 1), F.lit(_EMIT))
+    chunks = log.withColumn("_from", F.explode(firsts)).repartition(*log.columns, "_from")
+    upto = F.least(F.col("_from") + (_EMIT - 1), F.lit(copies - 1))
+    return chunks.withColumn("copy", F.explode(F.sequence("_from", upto))).drop("_from")
+
+
 def upsample(log: DataFrame, row_id: str, column: str, n: int, have: int, seed) -> DataFrame:
     """``n`` rows from copies of ``have`` rows; copies after the first are jittered.
 
@@ -210,7 +220,7 @@ def upsample(log: DataFrame, row_id: str, column: str, n: int, have: int, seed)
     """
     copies = math.ceil(n / have)
     gap = min_gap(log, column).scalar()
-    copied = log.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    copied = _copies(log, copies)
     twin = F.concat(F.col(row_id).cast("string"), F.lit("-"), F.col("copy").cast("string"))
     jitter = F.when(F.col("copy") > 0, uniform(twin, f"jitter{seed}") * gap / 10).otherwise(0.0)
     return sample_exactly(copied.withColumn(column, F.col(column) + jitter), twin, n, seed)

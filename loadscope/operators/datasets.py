@@ -40,12 +40,9 @@ def first_n(rows: DataFrame, row_id: str, n: int, *, seed: int | None = None, st
     ``strict`` raises when there are fewer than ``n``.
     """
     if seed is not None:
-        out = ordered.first_by_hash(rows, F.col(row_id), seed, n, "ordinal")
-    elif n <= ordered.SMALL_SAMPLE:
-        out = ordered_prefix(rows, row_id, n)
+        out = ordered.hash_rank(rows, F.col(row_id), seed, "ordinal", upto=n)
     else:
-        numbered = ordered.row_number(rows, [row_id], "ordinal")
-        out = numbered.withColumn("ordinal", F.col("ordinal") - 1).where(F.col("ordinal") < n)
+        out = ordered.first_by_id(rows, row_id, n, "ordinal")
     if strict:
         found = out.agg(F.count(F.lit(1)).alias("c")).scalar()
         short = F.raise_error(F.lit(f"fewer than {n} rows")).cast("bigint")
@@ -53,12 +50,6 @@ def first_n(rows: DataFrame, row_id: str, n: int, *, seed: int | None = None, st
     return out
 
 
-def ordered_prefix(rows: DataFrame, row_id: str, n: int) -> DataFrame:
-    """Top-n by id with positions; the window sees at most ``n`` rows."""
-    position = F.row_number().over(ordered.W.orderBy(row_id)) - 1
-    return rows.orderBy(row_id).limit(n).withColumn("ordinal", position.cast("bigint"))
-
-
 # -- whole conversations --------------------------------------------------------
 
 

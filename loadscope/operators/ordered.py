@@ -17,6 +17,8 @@ un-partitioned window.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ from loadscope.session import write_table
 
 CELL = 1 << 16
 HASH_CELL_BITS = 16
-SMALL_SAMPLE = 100_000
+SMALL_SAMPLE = 10_000
 _LOCAL_BITS = 33
 
 
@@ -61,38 +63,39 @@ def prefix_sum(
 
 def hash_rank(
     df: DataFrame, row_id: Column, seed, out: str, *, upto: Column | int | None = None,
-    bits: int = HASH_CELL_BITS,
+    keep: Callable[[DataFrame], DataFrame] | None = None, bits: int = HASH_CELL_BITS,
 ) -> DataFrame:
     """0-based position of each row in a seeded shuffle; optionally only the first ``upto``.
 
-    The offsets hold at most ``2**bits`` rows, which bounds the broadcast.
-    Cells that start past ``upto`` are dropped before any row is shuffled.
+    ``keep`` derives columns and drops rows before they are ranked. The cells are
+    counted first, at most ``2**bits`` rows, which bounds the broadcast. With
+    ``upto`` the second scan stops at the last cell needed: the cutoff is a plain
+    filter on the id ahead of ``keep``, so an expensive ``keep`` (token counting)
+    runs once over the table and again only for about ``upto`` rows. A top-n by
+    sorting would instead send ``n`` rows of every task to a single one.
     """
+    keep = keep or (lambda rows: rows)
     keyed = df.withColumn("_key", hash52(row_id, seed)).withColumn("_tie", row_id)
     keyed = keyed.withColumn("_cell", F.shiftright("_key", HASH_BITS - bits))
-    counts = keyed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = keep(keyed).groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = _before(counts, "_cell", "_rows", "_offset").select("_cell", "_offset")
-    rows = keyed.join(F.broadcast(offsets), "_cell")
     if upto is not None:
         limit = upto if isinstance(upto, Column) else F.lit(upto)
-        rows = rows.where(F.col("_offset") < limit)
+        offsets = offsets.where(F.col("_offset") < limit)
+        keyed = keyed.where(F.col("_cell") <= offsets.agg(F.max("_cell").alias("c")).scalar())
     inside = W.partitionBy("_cell").orderBy("_key", "_tie")
-    rows = rows.withColumn(
-        out, (F.row_number().over(inside) - 1 + F.col("_offset")).cast("bigint")
-    )
+    rows = keep(keyed).join(F.broadcast(offsets), "_cell")
+    rows = rows.withColumn(out, (F.row_number().over(inside) - 1 + F.col("_offset")).cast("bigint"))
     if upto is not None:
         rows = rows.where(F.col(out) < limit)
     return rows.drop("_cell", "_key", "_tie", "_offset")
 
 
-def first_by_hash(df: DataFrame, row_id: Column, seed, n: int, out: str) -> DataFrame:
-    """The first ``n`` rows of a seeded shuffle with their 0-based position.
+def top_by_hash(df: DataFrame, row_id: Column, seed, n: int, out: str) -> DataFrame:
+    """The same first ``n`` positions for a table already known to be small.
 
-    A small ``n`` is a top-n: each task keeps ``n`` rows and the merge sees a
-    bounded number. Beyond ``SMALL_SAMPLE`` rows the ranks are computed in place.
+    Every task sends up to ``n`` rows to one, which is fine for a bounded table only.
     """
-    if n > SMALL_SAMPLE:
-        return hash_rank(df, row_id, seed, out, upto=n)
     top = (
         df.withColumn("_key", hash52(row_id, seed))
         .withColumn("_tie", row_id)
@@ -103,6 +106,19 @@ def first_by_hash(df: DataFrame, row_id: Column, seed, n: int, out: str) -> Data
     return top.withColumn(out, position.cast("bigint")).drop("_key", "_tie")
 
 
+def first_by_id(df: DataFrame, row_id: str, n: int, out: str) -> DataFrame:
+    """The first ``n`` rows in id order with their 0-based position.
+
+    Up to ``SMALL_SAMPLE`` rows this is a top-n; pass narrow rows. Beyond that the
+    table is sorted in runs.
+    """
+    if n > SMALL_SAMPLE:
+        numbered = row_number(df, [row_id], out)
+        return numbered.withColumn(out, F.col(out) - 1).where(F.col(out) < n)
+    position = F.row_number().over(W.orderBy(row_id)) - 1
+    return df.orderBy(row_id).limit(n).withColumn(out, position.cast("bigint"))
+
+
 def sorted_runs(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
     """Range-partition by ``order`` (which must end in a unique column) and number the runs.
 

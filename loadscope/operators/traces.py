@@ -118,14 +118,19 @@ def sample_entries(
     has fewer raises.
     """
     key = F.col(row_id)
-    if candidates is not None:
-        pairs = ordered.first_by_hash(pairs, key, seed, candidates, "_try")
-        tried = pairs.agg(F.count(F.lit(1)).alias("c")).scalar()
-        short = F.raise_error(F.lit(f"the corpus has fewer than {candidates} candidates"))
-        pairs = pairs.withColumn("_try", F.when(tried >= candidates, F.col("_try")).otherwise(short))
-        pairs = pairs.where(F.col("_try") >= 0).drop("_try")
-    fitting = with_lengths(pairs, count_tokens).where(fits(max_length))
-    return ordered.first_by_hash(fitting, key, seed, n, "ordinal")
+
+    def fitting(rows: DataFrame) -> DataFrame:
+        return with_lengths(rows, count_tokens).where(fits(max_length))
+
+    if candidates is None:
+        return ordered.hash_rank(pairs, key, seed, "ordinal", upto=n, keep=fitting)
+    tried = ordered.hash_rank(pairs, key, seed, "_try", upto=candidates)
+    found = pairs.agg(F.count(F.lit(1)).alias("c")).scalar()
+    short = F.raise_error(F.lit(f"the corpus has fewer than {candidates} candidates")).cast("bigint")
+    tried = tried.where(F.when(found >= candidates, F.col("_try")).otherwise(short) >= 0).drop("_try")
+    if candidates <= ordered.SMALL_SAMPLE:
+        return ordered.top_by_hash(fitting(tried), key, seed, n, "ordinal")
+    return ordered.hash_rank(tried, key, seed, "ordinal", upto=n, keep=fitting)
 
 
 def with_arrivals(entries: DataFrame, schedule: DataFrame | None) -> DataFrame:
@@ -168,7 +173,8 @@ def attach_pairs(
     texts and zero lengths; with ``strict`` more rows than pairs raise.
     """
     numbered = ordered.row_number(rows, order, "ordinal").withColumn("ordinal", F.col("ordinal") - 1)
-    shuffled = ordered.hash_rank(pairs, F.col(pair_id), seed, "_rank")
+    needed = rows.agg(F.count(F.lit(1)).alias("c")).scalar()
+    shuffled = ordered.hash_rank(pairs, F.col(pair_id), seed, "_rank", upto=needed)
     usable = with_lengths(shuffled, count_tokens).where(fits(max_length)).select(
         F.col("_rank").alias("ordinal"), "prompt", "response", "prompt_length", "response_length"
     )
