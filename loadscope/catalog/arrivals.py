@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from loadscope.catalog.inputs import sql_hash, sql_tokens, sql_uniform
 from loadscope.catalog.registry import query, rounded
-from loadscope.catalog.traces import LENGTHS, poisson_sql
+from loadscope.catalog.traces import LENGTHS, REPLAY_RATE, poisson_sql, replay_sql
 from loadscope.operators import arrivals, traces
 
 SEED, RATE, SLICE_S = 42, 2.0, 600
-REPLAY_RATE, REPLAY_N, WRAP_N = 5.0, 1500, 20_000
+REPLAY_N, WRAP_N = 1500, 20_000
 DOWN_RATE, UP_RATE, ATTACH_RATE, MAX_LENGTH = 0.5, 50.0, 0.1, 200
 
 
@@ -67,18 +67,7 @@ def arrival_gamma(i):
     return arrivals.bursty(_events(i), "event_id", RATE, SEED, 0.5)
 
 
-def _replay_sql(rate: float) -> str:
-    return f"""
-        r as (select t_us - min(t_us) over () as t from arrival_log),
-        s as (select count(*) as n, max(t) / 1000000.0::double as last from r),
-        b as (select t // 1000000 as bucket, count(*) as n from r group by 1),
-        x as (select bucket, b.n * ({rate}::double / (s.n / s.last)) as x from b, s where bucket < ceil(s.last)),
-        z as (select bucket, (floor(x) + case when {sql_uniform('bucket', SEED)} <= x - floor(x) then 1 else 0 end)::bigint as size from x),
-        e as (select bucket, unnest(range(size)) as i from z),
-        o as (select row_number() over (order by bucket, i) - 1 as ordinal, bucket::double as arrival_time from e)"""
-
-
-@query("arrival_replay", f"with {_replay_sql(REPLAY_RATE)} select ordinal, arrival_time from o where ordinal < {REPLAY_N}")
+@query("arrival_replay", f"with {replay_sql(REPLAY_RATE, SEED)} select ordinal, arrival_time from o where ordinal < {REPLAY_N}")
 def arrival_replay(i):
     return arrivals.replay(i.arrival_log, "t_us", REPLAY_RATE, REPLAY_N, SEED)
 
@@ -86,7 +75,7 @@ def arrival_replay(i):
 @query(
     "arrival_replay_wrap",
     f"""
-    with {_replay_sql(REPLAY_RATE)}, t as (select count(*) as n, max(arrival_time) as last from o),
+    with {replay_sql(REPLAY_RATE, SEED)}, t as (select count(*) as n, max(arrival_time) as last from o),
     l as (select unnest(range(ceil({WRAP_N} / (select n from t)::double)::bigint)) as lap)
     select o.ordinal + l.lap * t.n as ordinal, o.arrival_time + l.lap * t.last as arrival_time
     from o, l, t where o.ordinal + l.lap * t.n < {WRAP_N}""",

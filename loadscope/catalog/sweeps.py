@@ -8,6 +8,7 @@ from loadscope.catalog.registry import query, rounded
 from loadscope.catalog.serving import _PER_REQUEST
 from loadscope.functions import names
 from loadscope.operators import serving, sweeps
+from loadscope.plans import profile_job
 
 MODELS = ["org_model_a", "org_model_b"]
 _CONFIG = "dataset, model, max_batch_size, max_tokens_per_batch"
@@ -250,3 +251,16 @@ def sweep_ttft(i):
 def sweep_queueing(i):
     marks = serving.request_marks(i.request_log, _BY_TOKENS)
     return rounded(sweeps.latency_by(marks, "queueing_s", _BY_TOKENS), 3)
+
+
+def _long_sql(metric: str) -> str:
+    return f"""
+        select {_CONFIG}, '{metric}' as metric, count({metric}) as requests, count(*) - count({metric}) as incomplete,
+               round(avg({metric}), 3) as mean, round(quantile_cont({metric}, 0.5), 3) as median,
+               round(quantile_cont({metric}, 0.99), 3) as p99
+        from ({_BY_CONFIG}) group by {_CONFIG}"""
+
+
+@query("sweep_latencies", " union all ".join(_long_sql(m) for m in serving.LATENCIES))
+def sweep_latencies(i):
+    return rounded(profile_job.profile_report(i.request_log)["latencies"], 3)

@@ -9,10 +9,11 @@ from loadscope.catalog.registry import query, rounded
 from loadscope.functions.randomness import choice
 from loadscope.functions.text import ChatTemplate, token_count
 from loadscope.operators import arrivals, ordered, traces
+from loadscope.plans import trace_job
 
 TEMPLATE = ChatTemplate()
 SEED, ENTRIES, MAX_LENGTH, RATE = 42, 30, 200, 2.0
-CHAT_ENTRIES = 20
+CHAT_ENTRIES, REPLAY_RATE = 20, 5.0
 RATES = (0.5, 1.0, 2.0)
 
 
@@ -43,6 +44,18 @@ def poisson_sql(ids: str, row_id: str, rate: float, seed) -> str:
                          / 1000000.0::double as arrival_time from {ids}"""
 
 
+def replay_sql(rate: float, seed) -> str:
+    """Common table expressions ending in ``o``: the whole scaled schedule."""
+    return f"""
+        r as (select t_us - min(t_us) over () as t from arrival_log),
+        s as (select count(*) as n, max(t) / 1000000.0::double as last from r),
+        b as (select t // 1000000 as bucket, count(*) as n from r group by 1),
+        x as (select bucket, b.n * ({rate}::double / (s.n / s.last)) as x from b, s where bucket < ceil(s.last)),
+        z as (select bucket, (floor(x) + case when {sql_uniform('bucket', seed)} <= x - floor(x) then 1 else 0 end)::bigint as size from x),
+        e as (select bucket, unnest(range(size)) as i from z),
+        o as (select row_number() over (order by bucket, i) - 1 as ordinal, bucket::double as arrival_time from e)"""
+
+
 SCHEDULE = poisson_sql(f"(select unnest(range({ENTRIES})) as ordinal)", "ordinal", RATE, SEED)
 
 
@@ -227,3 +240,18 @@ def trace_with_warmup(i):
     cols = ["ordinal", "prompt_length", "response_length", "arrival_time"]
     entries = traces.with_arrivals(_build(i), None).select(*cols)
     return entries.unionByName(traces.warmup_entries(i.spark, 3).select(*cols))
+
+
+@query(
+    "trace_build_replay",
+    f"""
+    with {replay_sql(REPLAY_RATE, SEED)}
+    select s.ordinal, s.conv_id, s.p::int as prompt_length, s.r::int as response_length, o.arrival_time
+    from ({SAMPLE}) s join o on o.ordinal = s.ordinal""",
+)
+def trace_build_replay(i):
+    entries, _ = trace_job.build_trace(
+        _exchanges(i), "conv_id", ENTRIES, MAX_LENGTH, SEED,
+        trace_type="replay", arrival_rate=REPLAY_RATE, arrival_log=i.arrival_log,
+    )
+    return entries.drop("prompt", "response")

@@ -8,7 +8,7 @@ so a request with any number of rows stays a handful of numbers per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.operators.quantiles import quantiles
@@ -23,29 +23,31 @@ def measured_marks(log: DataFrame) -> DataFrame:
     return log.where(F.col("is_warmup_request") == 0)
 
 
+def mark_aggregates() -> list[Column]:
+    """What is kept of a request: its token count and the times of its marks."""
+    idx, ts = F.col("decoding_step_idx"), F.col("timestamp_us")
+    token = F.when(idx >= FIRST_TOKEN, ts)
+
+    def mark(step: int) -> Column:
+        return F.min(F.when(idx == step, ts))
+
+    return [
+        F.count_if(idx >= FIRST_TOKEN).alias("tokens"),
+        F.min(token).alias("first_us"),
+        F.max(token).alias("last_us"),
+        mark(FIRST_TOKEN).alias("token_us"),
+        mark(SCHEDULED).alias("scheduled_us"),
+        mark(QUEUED).alias("queued_us"),
+    ]
+
+
 def request_marks(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The marks of every request, combined on the map side.
 
     Rows without a request id stay together as one group: they count as tokens
     for the throughput but are no request.
     """
-    idx, ts = F.col("decoding_step_idx"), F.col("timestamp_us")
-
-    def mark(step: int):
-        return F.min(F.when(idx == step, ts))
-
-    return (
-        measured_marks(log)
-        .groupBy(*(keys or []), "request_guid")
-        .agg(
-            F.count_if(idx >= FIRST_TOKEN).alias("tokens"),
-            F.min(F.when(idx >= FIRST_TOKEN, ts)).alias("first_us"),
-            F.max(F.when(idx >= FIRST_TOKEN, ts)).alias("last_us"),
-            mark(FIRST_TOKEN).alias("token_us"),
-            mark(SCHEDULED).alias("scheduled_us"),
-            mark(QUEUED).alias("queued_us"),
-        )
-    )
+    return measured_marks(log).groupBy(*(keys or []), "request_guid").agg(*mark_aggregates())
 
 
 def request_latencies(marks: DataFrame, keys: list[str] | None = None) -> DataFrame:
