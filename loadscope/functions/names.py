@@ -47,7 +47,7 @@ def profile_keys(path: Column, models: list[str]) -> dict[str, Column]:
     known list so that whatever precedes it is the data set.
     """
     name = F.element_at(F.split(path, "/"), -1)
-    lead = rf"^({REQUEST_PREFIX}|{STEP_PREFIX})_(.+)_{_alternatives(models)}_tensor_parallelism_"
+    lead = rf"^({REQUEST_PREFIX}|{STEP_PREFIX})_(.+?)_{_alternatives(models)}_tensor_parallelism_"
 
     def number(tag: str, kind: str) -> Column:
         return F.nullif(F.regexp_extract(name, rf"_{tag}_([0-9.]+?)(?:_|\.csv)", 1), F.lit("")).cast(kind)

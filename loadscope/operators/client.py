@@ -103,25 +103,20 @@ def summary(records: DataFrame, duration: Column | float, slo: dict[str, float]
     )
 
 
-def _block(values: DataFrame, percentiles: tuple[float, ...]) -> DataFrame:
-    """Mean, median, population deviation and percentiles of (metric, seconds), in ms."""
+def _block(rows: DataFrame, columns: dict[str, str], percentiles: tuple[float, ...]) -> DataFrame:
+    """One wide row in ms: mean, median, population deviation and percentiles of columns in seconds."""
     probs = {"median": 0.5, **{percentile_label(p): p / 100 for p in percentiles}}
-    stats = quantiles(
-        values, ["metric"], "seconds", probs, extra=[F.avg("seconds"), F.stddev_pop("seconds")]
-    )
-    names = ["mean", "std", *probs]
-    cols = [F.col("_e0").alias("mean"), F.col("_e1").alias("std"), *[F.col(f"`{p}`") for p in probs]]
-    return stats.select("metric", *cols).select("metric", F.map_from_arrays(
-        F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"`{n}`") for n in names])).alias("stats"))
+    stats = quantiles(rows, [], list(columns), probs, extra={"mean": F.avg, "std": F.stddev_pop})
+    names = ["mean", "median", "std", *[n for n in probs if n != "median"]]
 
+    def value(column: str, name: str) -> Column:
+        return F.max(F.when(F.col("metric") == column, F.col(f"`{name}`"))) * 1000
 
-def _wide(blocks: DataFrame, metrics: tuple[str, ...], percentiles: tuple[float, ...]) -> DataFrame:
-    names = ["mean", "median", "std", *[percentile_label(p) for p in percentiles]]
-    return blocks.agg(
+    return stats.agg(
         *[
-            F.coalesce(F.max(F.when(F.col("metric") == m, F.col("stats")[n])) * 1000, F.lit(0.0)).alias(f"{n}_{m}_ms")
-            for m in metrics
-            for n in names
+            F.coalesce(value(column, name), F.lit(0.0)).alias(f"{name}_{label}_ms")
+            for column, label in columns.items()
+            for name in names
         ]
     )
 
@@ -131,13 +126,7 @@ def latency_blocks(
     percentiles: tuple[float, ...] = (99.0,),
 ) -> DataFrame:
     """One wide row of latency statistics in ms; 0 where no request qualifies."""
-    rows = with_latencies(output_lengths(records))
-    values = rows.select(
-        F.explode(F.array(*[
-            F.struct(F.lit(m).alias("metric"), F.col(m).alias("seconds")) for m in metrics
-        ])).alias("_m")
-    ).select("_m.*")
-    return _wide(_block(values, percentiles), metrics, percentiles)
+    return _block(with_latencies(output_lengths(records)), {m: m for m in metrics}, percentiles)
 
 
 def gaps(records: DataFrame) -> DataFrame:
@@ -147,10 +136,7 @@ def gaps(records: DataFrame) -> DataFrame:
 
 def gap_block(token_gaps: DataFrame, percentiles: tuple[float, ...] = (99.0,)) -> DataFrame:
     """Inter-token latency statistics over the gaps of all successful requests."""
-    values = token_gaps.where("success").select(
-        F.lit("itl").alias("metric"), F.col("itl_s").alias("seconds")
-    )
-    return _wide(_block(values, percentiles), ("itl",), percentiles)
+    return _block(token_gaps.where("success"), {"itl_s": "itl"}, percentiles)
 
 
 def metadata_map(items: list[str]) -> Column:

@@ -10,6 +10,8 @@ stops the job instead of returning a wrong value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,91 +19,116 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 _MARGIN = 5
 
+Aggregate = Callable[[str], Column]
+
 
 def quantiles(
     df: DataFrame,
     keys: list[str],
-    value: str,
+    columns: list[str],
     probs: dict[str, float],
     *,
-    extra: list[Column] | None = None,
+    extra: dict[str, Aggregate] | None = None,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """Linear-interpolated quantiles ``{out: p}`` of ``value`` per key, NULLs skipped.
+    """Linear-interpolated quantiles ``{out: p}`` per key and column, NULLs skipped.
 
-    ``extra`` aggregates (means, deviations) run in the sketch pass for free; they
-    see the value as the column named ``value``.
+    One row per key and column: ``*keys, metric, n, *extra, *probs``, where
+    ``metric`` is the column's name. ``extra`` aggregates (means, deviations) run
+    in the sketch pass. All columns share both passes over the rows.
     """
-    names = [f"_e{i}" for i in range(len(extra or []))]
-    rows = df.select(*keys, F.col(value).cast("double").alias(value))
+    extra = extra or {}
     margin = _MARGIN / accuracy
     points = sorted({q for p in probs.values() for q in (max(p - margin, 0.0), min(p + margin, 1.0))})
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
 
+    # First pass: counts, sketches and extra aggregates of every column.
     sketch = rows.groupBy(*keys).agg(
-        F.count(value).alias("_n"),
-        F.percentile_approx(value, points, accuracy).alias("_q"),
-        *[e.alias(n) for e, n in zip(extra or [], names)],
+        *[
+            F.struct(
+                F.count(c).alias("n"),
+                F.percentile_approx(c, points, accuracy).alias("q"),
+                *[fn(c).alias(name) for name, fn in extra.items()],
+            ).alias(c)
+            for c in columns
+        ]
     )
-    whole = F.col("_n") < 2 * accuracy
 
-    def bracket(p: float) -> Column:
+    def bracket(c: str, p: float) -> Column:
         low, high = max(p - margin, 0.0), min(p + margin, 1.0)
-        open_low, open_high = F.lit(low <= 0.0), F.lit(high >= 1.0)
+        whole = F.col(f"{c}.n") < 2 * accuracy
+        at = {q: F.get(F.col(f"{c}.q"), F.lit(points.index(q))) for q in (low, high)}
         return F.struct(
             F.lit(p).alias("p"),
-            F.when(~(whole | open_low), F.get("_q", F.lit(points.index(low)))).alias("low"),
-            F.when(~(whole | open_high), F.get("_q", F.lit(points.index(high)))).alias("high"),
+            F.when(~whole & F.lit(low > 0.0), at[low]).alias("low"),
+            F.when(~whole & F.lit(high < 1.0), at[high]).alias("high"),
         )
 
-    found = F.struct(
-        "_n",
-        F.array(*[bracket(p) for p in sorted(set(probs.values()))]).alias("b"),
-        F.struct(F.col("_n").alias("n"), *names).alias("extra"),
-    ).alias("_s")
+    def found(c: str) -> Column:
+        summary = F.struct(F.col(f"{c}.n").alias("n"), *[F.col(f"{c}.{e}").alias(e) for e in extra])
+        wanted = F.array(*[bracket(c, p) for p in sorted(set(probs.values()))])
+        return F.struct(summary.alias("summary"), wanted.alias("wanted")).alias(c)
+
+    per_column = F.struct(*[found(c) for c in columns]).alias("_s")
     if keys:
-        # No hint: the brackets are one row per key, and the runtime size decides
-        # between a broadcast and a skew-split join.
-        brackets = sketch.select(*[F.col(k).alias(f"_key_{k}") for k in keys], found)
+        # No hint: one row per key, and the runtime size decides between a
+        # broadcast and a skew-split join.
+        brackets = sketch.select(*[F.col(k).alias(f"_key_{k}") for k in keys], per_column)
         same_key = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
         seen = rows.join(brackets, same_key)
     else:
-        found_once = sketch.select(found).scalar()
-        seen = rows.withColumn("_s", found_once)
+        once = sketch.select(per_column).scalar()
+        seen = rows.withColumn("_s", once)
 
-    x, low, high = F.col(value), F.col("_b.low"), F.col("_b.high")
-    spread = seen.select(*keys, value, "_s._n", "_s.extra", F.explode("_s.b").alias("_b"))
+    # Second pass: count what lies below each bracket, keep what lies inside.
+    melted = F.array(
+        *[
+            F.struct(F.lit(c).alias("metric"), F.col(c).alias("x"), F.col(f"_s.{c}.summary"), F.col(f"_s.{c}.wanted"))
+            for c in columns
+        ]
+    )
+    values = seen.select(*keys, F.explode(melted).alias("_m")).select(*keys, "_m.*")
+    values = values.select(*keys, "metric", "x", "summary", F.explode("wanted").alias("b"))
+    x, low, high = F.col("x"), F.col("b.low"), F.col("b.high")
+    group = [*keys, "metric", "p"]
     counted = (
-        spread.where(x.isNull() | high.isNull() | (x <= high))
-        .select(
-            *keys, F.col("_b.p").alias("_p"), "_n", "extra", value,
-            F.when(low.isNull() | (x >= low), x).alias("_v"),
-        )
-        .groupBy(*keys, "_p", "_n", "_v")
-        .agg(F.count(value).alias("_c"), F.any_value("extra").alias("extra"))
-    )
-    upto = W.partitionBy(*keys, "_p").orderBy(F.col("_v").asc_nulls_first())
-    ranked = counted.withColumn(
-        "_upto", F.sum("_c").over(upto.rowsBetween(W.unboundedPreceding, 0))
-    ).withColumn("_at", F.col("_p") * (F.col("_n") - 1))
-    low_rank, high_rank = F.floor("_at"), F.ceil("_at")
-    picked = ranked.groupBy(*keys, "_p", "_n").agg(
-        F.max(F.col("_at") - low_rank).alias("_frac"),
-        F.min(F.when(F.col("_upto") > low_rank, F.col("_v"))).alias("_lo"),
-        F.min(F.when(F.col("_upto") > high_rank, F.col("_v"))).alias("_hi"),
-        F.max(F.col("_v").isNull() & (F.col("_upto") > low_rank)).alias("_missed"),
-        F.any_value("extra").alias("extra"),
+        values.where(x.isNull() | high.isNull() | (x <= high))
+        .select(*keys, "metric", "b.p", "summary", "x", F.when(low.isNull() | (x >= low), x).alias("v"))
+        .groupBy(*group, "v")
+        .agg(F.count("x").alias("c"), F.any_value("summary").alias("summary"))
+    )
+    upto = W.partitionBy(*group).orderBy(F.col("v").asc_nulls_first())
+    ranked = counted.withColumn("upto", F.sum("c").over(upto.rowsBetween(W.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("at", F.col("p") * (F.col("summary.n") - 1))
+    low_rank, high_rank = F.floor("at"), F.ceil("at")
+    picked = ranked.groupBy(*group).agg(
+        F.max(F.col("at") - low_rank).alias("frac"),
+        F.min(F.when(F.col("upto") > low_rank, F.col("v"))).alias("lo"),
+        F.min(F.when(F.col("upto") > high_rank, F.col("v"))).alias("hi"),
+        F.max(F.col("v").isNull() & (F.col("upto") > low_rank)).alias("below"),
+        F.any_value("summary").alias("summary"),
     )
-    missed = F.col("_missed") | F.col("_hi").isNull()
+    missed = F.col("below") | F.col("hi").isNull()
     exact = (
-        F.when(F.col("_n") == 0, F.lit(None).cast("double"))
+        F.when(F.col("summary.n") == 0, F.lit(None).cast("double"))
         .when(missed, F.raise_error(F.lit("quantile bracket missed; raise accuracy")))
-        .otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"))
+        .otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac"))
     )
-    wide = picked.withColumn("_x", exact).groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_p") == p, F.col("_x"))).alias(out) for out, p in probs.items()],
-        F.any_value("extra").alias("extra"),
+    wide = picked.withColumn("x", exact).groupBy(*keys, "metric").agg(
+        F.any_value("summary").alias("summary"),
+        *[F.max(F.when(F.col("p") == p, F.col("x"))).alias(out) for out, p in probs.items()],
     )
-    if not keys:  # an empty input still has its one row of counts
-        wide = wide.withColumn("extra", found_once["extra"])
-    extras = [F.col(f"extra.{c}").alias(c) for c in ("n", *names)]
-    return wide.select(*keys, *extras, *[F.col(f"`{o}`") for o in probs])
+    outs = [F.col(f"`{o}`") for o in probs]
+    if not keys:
+        # An empty input has no values to group, but still its counts: one entry
+        # per column, filled in where there were values.
+        by_metric = F.map_from_entries(F.collect_list(F.struct("metric", F.struct(*outs))))
+        entry = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"_s.{c}.summary")) for c in columns])
+        wide = (
+            wide.agg(by_metric.alias("found"))
+            .withColumn("_s", once)
+            .select("found", F.explode(entry).alias("_m"))
+            .select("_m.*", F.col("found")[F.col("_m.metric")].alias("_w"))
+        )
+        outs = [F.col(f"_w.`{o}`").alias(o) for o in probs]
+    return wide.select(*keys, "metric", "summary.*", *outs)

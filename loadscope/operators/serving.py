@@ -71,42 +71,24 @@ def per_request(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return request_latencies(request_marks(log, keys), keys)
 
 
-def latency(requests: DataFrame, metric: str, keys: list[str] | None = None) -> DataFrame:
-    """Mean, median and p99 of one latency, with complete and incomplete requests counted."""
+def latencies(
+    requests: DataFrame, keys: list[str] | None = None, metrics: tuple[str, ...] = LATENCIES
+) -> DataFrame:
+    """Mean, median and p99, one row per key and metric, with the incomplete requests counted."""
     stats = quantiles(
-        requests,
-        keys or [],
-        metric,
-        {f"median_{metric}": 0.5, f"p99_{metric}": 0.99},
-        extra=[F.avg(metric), F.count_if(F.col(metric).isNull())],
-    )
+        requests, keys or [], list(metrics), {"median": 0.5, "p99": 0.99},
+        extra={"incomplete": lambda c: F.count_if(F.col(c).isNull()), "mean": F.avg},
+    )
     return stats.select(
-        *(keys or []),
-        F.col("n").alias("requests"),
-        F.col("_e1").alias("incomplete"),
-        F.col("_e0").alias(f"mean_{metric}"),
-        f"median_{metric}",
-        f"p99_{metric}",
+        *(keys or []), "metric", F.col("n").alias("requests"), "incomplete", "mean", "median", "p99"
     )
 
 
-def latencies(requests: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """All three latencies, one row per key and metric, from one per-request table."""
-    keys = keys or []
-    melted = requests.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in LATENCIES])
-        ).alias("_m"),
-    ).select(*keys, "_m.metric", "_m.value")
-    stats = quantiles(
-        melted, [*keys, "metric"], "value", {"median": 0.5, "p99": 0.99},
-        extra=[F.avg("value"), F.count_if(F.col("value").isNull())],
-    )
-    return stats.select(
-        *keys, "metric", F.col("n").alias("requests"), F.col("_e1").alias("incomplete"),
-        F.col("_e0").alias("mean"), "median", "p99",
-    )
+def latency(requests: DataFrame, metric: str, keys: list[str] | None = None) -> DataFrame:
+    """The same for one metric, named after it."""
+    stats = latencies(requests, keys, (metric,))
+    named = [F.col(c).alias(f"{c}_{metric}") for c in ("mean", "median", "p99")]
+    return stats.select(*(keys or []), "requests", "incomplete", *named)
 
 
 def marks_throughput(marks: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -74,15 +74,12 @@ def throughput_series(log: DataFrame, keys: list[str] | None = None) -> DataFram
 
 def describe_throughput(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles of a throughput series."""
-    keys = keys or []
-    x = "throughput"
     stats = quantiles(
-        series, keys, x, {"p25": 0.25, "p50": 0.5, "p75": 0.75},
-        extra=[F.avg(x), F.stddev_samp(x), F.min(x), F.max(x)],
-    )
+        series, keys or [], ["throughput"], {"p25": 0.25, "p50": 0.5, "p75": 0.75},
+        extra={"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max},
+    )
     return stats.select(
-        *keys, F.col("n").alias("count"), F.col("_e0").alias("mean"), F.col("_e1").alias("std"),
-        F.col("_e2").alias("min"), "p25", "p50", "p75", F.col("_e3").alias("max"),
+        *(keys or []), F.col("n").alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
 

@@ -21,6 +21,7 @@ def spark(tmp_path_factory):
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "6g",
             "spark.ui.showConsoleProgress": "false",
+            "spark.sql.maxMetadataStringLength": "4000",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )

@@ -20,25 +20,35 @@ def values(spark):
 @pytest.mark.parametrize("accuracy", [10_000, 1000, 200])
 def test_exact_with_and_without_brackets(values, accuracy):
     frame, df = values
-    got = quantiles(df, ["k"], "x", PROBS, extra=[F.avg("x")], accuracy=accuracy).toPandas().sort_values("k")
+    got = quantiles(df, ["k"], ["x"], PROBS, extra={"mean": F.avg}, accuracy=accuracy).toPandas().sort_values("k")
     groups = frame.groupby("k").x
     for name, p in PROBS.items():
         assert np.allclose(got[name], groups.quantile(p), rtol=1e-12)
-    assert np.allclose(got["_e0"], groups.mean()) and list(got["n"]) == list(groups.size())
-    whole = quantiles(df, [], "x", PROBS, accuracy=accuracy).toPandas()
+    assert np.allclose(got["mean"], groups.mean()) and list(got["n"]) == list(groups.size())
+    whole = quantiles(df, [], ["x"], PROBS, accuracy=accuracy).toPandas()
     assert np.allclose(whole[list(PROBS)].iloc[0], frame.x.quantile(list(PROBS.values())), rtol=1e-12)
 
 
 def test_nulls_groups_without_values_and_empty_input(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0), ("b", None), (None, 7.0)], "k string, x double")
-    got = {r.k: (r.n, r.p50) for r in quantiles(df, ["k"], "x", {"p50": 0.5}).collect()}
+    got = {r.k: (r.n, r.p50) for r in quantiles(df, ["k"], ["x"], {"p50": 0.5}).collect()}
     assert got == {"a": (2, 2.0), "b": (0, None), None: (1, 7.0)}
-    assert [tuple(r) for r in quantiles(df.where("false"), [], "x", {"p50": 0.5}).collect()] == [(0, None)]
-    assert quantiles(df.where("false"), ["k"], "x", {"p50": 0.5}).count() == 0
+    assert [tuple(r) for r in quantiles(df.where("false"), [], ["x"], {"p50": 0.5}).collect()] == [("x", 0, None)]
+    assert quantiles(df.where("false"), ["k"], ["x"], {"p50": 0.5}).count() == 0
 
 
 def test_only_the_bracket_is_ordered(values):
     """With a coarse sketch most values must be counted below or dropped above the bracket."""
     _, df = values
-    plan = quantiles(df, [], "x", {"p99": 0.99}, accuracy=1000)._jdf.queryExecution().executedPlan().toString()
+    plan = quantiles(df, [], ["x"], {"p99": 0.99}, accuracy=1000)._jdf.queryExecution().executedPlan().toString()
     assert "percentile_approx" in plan and "percentile(" not in plan
+
+
+def test_several_columns_share_the_passes(values):
+    frame, df = values
+    two = df.withColumn("y", F.col("x") * -2)
+    got = {r.metric: (r.n, r.p25) for r in quantiles(two, [], ["x", "y"], {"p25": 0.25}, accuracy=1000).collect()}
+    assert got["x"] == pytest.approx((len(frame), frame.x.quantile(0.25)))
+    assert got["y"] == pytest.approx((len(frame), (frame.x * -2).quantile(0.25)))
+    keyed = quantiles(two, ["k"], ["x", "y"], {"p25": 0.25}, accuracy=1000)
+    assert keyed.count() == 2 * frame.k.nunique()
