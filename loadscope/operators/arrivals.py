@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loadscope.functions.randomness import uniform
 from loadscope.operators import ordered
+from loadscope.session import write_table
 
 SECOND_US = 1_000_000
 SECOND_NS = 1e9
@@ -232,7 +233,8 @@ def scale_rate(
     """A log starting at 0 brought to ``target_rate`` per second over the same duration.
 
     Reads one row of counts, then samples down, copies up or keeps the rows, and
-    rebases to the first arrival. ``copy`` tells copies apart.
+    rebases to the first arrival. ``copy`` tells copies apart. The sample is written
+    once, so that neither the rebase nor what follows draws it again.
     """
     stats = log.agg(F.count(F.lit(1)).alias("n"), F.max(column).alias("duration")).first()
     have, target = stats["n"], int(target_rate * (stats["duration"] or 0.0))
@@ -242,7 +244,7 @@ def scale_rate(
         scaled = upsample(log, row_id, column, target, have, seed)
     else:
         scaled = log.withColumn("copy", F.lit(0))
-    return rebase(scaled, column)
+    return rebase(write_table(scaled, "scaled"), column)
 
 
 # -- summarised -----------------------------------------------------------------

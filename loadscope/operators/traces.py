@@ -172,8 +172,10 @@ def attach_pairs(
     Rows are numbered in ``order``. A row without a pair keeps the placeholder
     texts and zero lengths; with ``strict`` more rows than pairs raise.
     """
-    numbered = ordered.row_number(rows, order, "ordinal").withColumn("ordinal", F.col("ordinal") - 1)
-    needed = rows.agg(F.count(F.lit(1)).alias("c")).scalar()
+    runs = ordered.sorted_runs(rows, order)
+    needed = runs.agg(F.count(F.lit(1)).alias("c")).scalar()
+    numbered = ordered.run_row_number(runs, "ordinal").drop("_run", "_pos")
+    numbered = numbered.withColumn("ordinal", F.col("ordinal") - 1)
     shuffled = ordered.hash_rank(pairs, F.col(pair_id), seed, "_rank", upto=needed)
     usable = with_lengths(shuffled, count_tokens).where(fits(max_length)).select(
         F.col("_rank").alias("ordinal"), "prompt", "response", "prompt_length", "response_length"
