@@ -93,9 +93,7 @@ def _shares_sql(stage: str, where: str) -> str:
 
 @query("ds_threshold_cdf", f"{_shares_sql('original', 'true')} union all {_shares_sql('filtered', 'c < 2048')}")
 def ds_threshold_cdf(i):
-    stages = {"original": _counted(i), "filtered": datasets.length_cap(_counted(i), 2048)}
-    shares = [datasets.threshold_shares(df).selectExpr(f"'{stage}' as stage", "*") for stage, df in stages.items()]
-    return rounded(shares[0].unionByName(shares[1]), 6)
+    return rounded(datasets.threshold_shares(_counted(i), cap=2048), 6)
 
 
 @query(

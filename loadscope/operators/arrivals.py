@@ -146,22 +146,31 @@ def replay(
         wanted = wanted.withColumn("first", F.when(F.col("t.length") >= n, F.col("first")).otherwise(short))
         laps = wanted.withColumn("lap", F.lit(0).cast("bigint"))
     else:
-        last_lap = F.ceil(F.lit(float(n)) / F.col("t.length")) - 1
-        laps = wanted.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(last_lap, F.lit(0)))).alias("lap"))
+        needed = F.ceil(F.lit(float(n)) / F.col("t.length"))
+        laps = _spread(wanted.withColumn("laps", F.greatest(needed, F.lit(1))), "laps", "lap", ["bucket"])
     # Arrivals past n are cut before they are emitted.
     start = F.col("first") + F.col("lap") * F.col("t.length")
     cut = laps.withColumn("start", start).where(F.col("start") < n)
     cut = cut.withColumn("size", F.least("size", F.lit(n) - F.col("start")))
-    # A crowded second is emitted in chunks by several tasks.
-    chunks = cut.select(
-        "start", "size", (F.col("bucket") + F.col("lap") * F.col("t.last")).alias("second"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / _EMIT))).alias("chunk"),
-    ).repartition("second", "chunk")
-    begin = F.col("chunk") * _EMIT
-    end = F.least(begin + (_EMIT - 1), F.col("size") - 1)
-    return chunks.select(
-        F.col("second").cast("double").alias("arrival_time"), "start", F.explode(F.sequence(begin, end)).alias("i")
-    ).select((F.col("start") + F.col("i")).cast("bigint").alias("ordinal"), "arrival_time")
+    second = F.col("bucket") + F.col("lap") * F.col("t.last")
+    arrivals = _spread(cut.select("start", "size", second.alias("second")), "size", "i", ["second", "start"])
+    return arrivals.select(
+        (F.col("start") + F.col("i")).cast("bigint").alias("ordinal"),
+        F.col("second").cast("double").alias("arrival_time"),
+    )
+
+
+def _spread(rows: DataFrame, count: str, out: str, by: list[str]) -> DataFrame:
+    """Every row ``count`` times, numbered from 0.
+
+    A row with a huge count is unfolded in chunks that are dealt out to several
+    tasks before the copies exist.
+    """
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(count) - 1) / _EMIT)))
+    dealt = rows.select("*", chunk.alias("_chunk")).repartition(*by, "_chunk")
+    first = F.col("_chunk") * _EMIT
+    last = F.least(first + (_EMIT - 1), F.col(count) - 1)
+    return dealt.select("*", F.explode(F.sequence(first, last)).alias(out)).drop("_chunk")
 
 
 # -- sliced and rescaled --------------------------------------------------------
@@ -204,16 +213,6 @@ def sample_exactly(log: DataFrame, row_id: Column, n: int, seed) -> DataFrame:
     return ordered.hash_rank(log, row_id, seed, "_rank", upto=n).drop("_rank")
 
 
-def _copies(log: DataFrame, copies: int) -> DataFrame:
-    """Every row ``copies`` times; very many copies of a row are made by several tasks."""
-    if copies <= _EMIT:
-        return log.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    firsts = F.sequence(F.lit(0), F.lit(copies - 1), F.lit(_EMIT))
-    chunks = log.withColumn("_from", F.explode(firsts)).repartition(*log.columns, "_from")
-    upto = F.least(F.col("_from") + (_EMIT - 1), F.lit(copies - 1))
-    return chunks.withColumn("copy", F.explode(F.sequence("_from", upto))).drop("_from")
-
-
 def upsample(log: DataFrame, row_id: str, column: str, n: int, have: int, seed) -> DataFrame:
     """``n`` rows from copies of ``have`` rows; copies after the first are jittered.
 
@@ -221,7 +220,11 @@ def upsample(log: DataFrame, row_id: str, column: str, n: int, have: int, seed)
     """
     copies = math.ceil(n / have)
     gap = min_gap(log, column).scalar()
-    copied = _copies(log, copies)
+    if copies <= _EMIT:  # the usual case needs no shuffle
+        copied = log.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    else:
+        copied = _spread(log.withColumn("_copies", F.lit(copies)), "_copies", "copy", [row_id])
+        copied = copied.withColumn("copy", F.col("copy").cast("int")).drop("_copies")
     twin = F.concat(F.col(row_id).cast("string"), F.lit("-"), F.col("copy").cast("string"))
     jitter = F.when(F.col("copy") > 0, uniform(twin, f"jitter{seed}") * gap / 10).otherwise(0.0)
     return sample_exactly(copied.withColumn(column, F.col(column) + jitter), twin, n, seed)

@@ -108,14 +108,31 @@ def length_stats(texts: DataFrame) -> DataFrame:
     )
 
 
-def threshold_shares(texts: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
-    """Percentage of entries strictly below each threshold, from one scan."""
-    below = [F.count_if(F.col("token_count") < t).alias(f"b{t}") for t in thresholds]
-    counts = texts.agg(F.count("token_count").alias("n"), *below)
-    rows = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"b{t}").alias("below")) for t in thresholds])
-    return counts.select("n", F.explode(rows).alias("_r")).select(
-        "_r.threshold", "_r.below", (F.try_divide(F.col("_r.below"), F.col("n")) * 100).alias("percentage")
+def threshold_shares(
+    texts: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS, cap: int | None = None
+) -> DataFrame:
+    """Percentage of entries strictly below each threshold.
+
+    With ``cap`` also of the entries that pass the cap, as a second stage of the
+    same scan.
+    """
+    c = F.col("token_count")
+    stages = {"original": c.isNotNull()} | ({"filtered": c < cap} if cap is not None else {})
+    totals = [F.count_if(kept).alias(f"n_{s}") for s, kept in stages.items()]
+    below = [F.count_if(kept & (c < t)).alias(f"b_{s}_{t}") for s, kept in stages.items() for t in thresholds]
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(s).alias("stage"),
+                F.lit(t).alias("threshold"),
+                F.col(f"b_{s}_{t}").alias("below"),
+                (F.try_divide(F.col(f"b_{s}_{t}"), F.col(f"n_{s}")) * 100).alias("percentage"),
+            )
+            for s in stages
+            for t in thresholds
+        ]
     )
+    return texts.agg(*totals, *below).select(F.explode(rows).alias("_r")).select("_r.*")
 
 
 def histogram(texts: DataFrame, bins: int = HISTOGRAM_BINS, cutoff: int | None = None) -> DataFrame:

@@ -33,12 +33,17 @@ def first_exchange(corpus: DataFrame) -> DataFrame:
 def first_exchange_of_turns(turns: DataFrame) -> DataFrame:
     """The same from one row per turn (``conv_id, turn, from, value``, turns from 0).
 
-    Only the first two turns are read and (conv_id, turn) is unique, so the join
-    is even however long a conversation is.
+    Only the first two turns leave the scan, so a group has at most two rows
+    however long a conversation is, and the text is read once.
     """
-    opening = turns.where("turn = 0 and `from` = 'human'").select("conv_id", F.col("value").alias("prompt"))
-    reply = turns.where("turn = 1 and `from` = 'gpt'").select("conv_id", F.col("value").alias("response"))
-    return opening.join(reply, "conv_id")
+
+    def said(turn: int, speaker: str) -> Column:
+        is_it = (F.col("turn") == turn) & (F.col("from") == speaker)
+        return F.max(F.when(is_it, F.col("value")))
+
+    opening = turns.where(F.col("turn").isin(0, 1)).groupBy("conv_id")
+    both = opening.agg(said(0, "human").alias("prompt"), said(1, "gpt").alias("response"))
+    return both.where(F.col("prompt").isNotNull() & F.col("response").isNotNull())
 
 
 def _two_messages() -> Column:

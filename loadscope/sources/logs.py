@@ -15,9 +15,10 @@ FILE_PATH = "_metadata.file_path"
 def read_csv(spark: SparkSession, path: str | list[str], schema: StructType, *, with_path: bool = False) -> DataFrame:
     """The schema's columns by header name; other columns are never parsed.
 
-    The header line gives only names; types come from the schema.
+    The header line gives only names; types come from the schema. Files whose
+    headers differ are refused rather than read by position.
     """
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     absent = [f.name for f in schema.fields if f.name not in raw.columns]
     if absent:
         raise ValueError(f"columns missing in {path}: {', '.join(absent)}")

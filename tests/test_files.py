@@ -62,6 +62,11 @@ def test_logs_by_name(spark, tmp_path):
     assert sorted(rows(out), key=str) == [(1, -2, 5, "overhead_test", "org_m", 8, 2), (None, 0, 6, "overhead_test", "org_m", 8, 2)]
     plan = log.select("request_guid")._jdf.queryExecution().executedPlan().toString()
     assert "extra" not in plan.split("ReadSchema")[1]
+    (tmp_path / name.replace("per_batch_64", "per_batch_32")).write_text(
+        "request_guid,timestamp,extra,decoding_step_idx,is_warmup_request\n5,1,x,-2,0\n"
+    )
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        logs.read_request_log(spark, str(tmp_path), ["org_m"]).collect()
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "x.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError):
