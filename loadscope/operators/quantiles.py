@@ -1,11 +1,10 @@
 """Exact quantiles of groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one task. Here a sketch
-of bounded size brackets each quantile first; then everything below the bracket
-is only counted, everything above is dropped, and just the values inside the
-bracket are ordered. Groups small enough to order whole skip the bracket. The
-result is checked against the counted ranks, so a sketch that missed its bracket
-stops the job instead of returning a wrong value.
+of bounded size brackets each quantile first; then the values between brackets
+are only counted, and just those inside are ordered. Groups small enough to order
+whole skip the brackets. Each quantile is read off at its exact rank, so a sketch
+that missed its bracket stops the job instead of returning a wrong value.
 """
 
 from __future__ import annotations
@@ -34,12 +33,13 @@ def quantiles(
     """Linear-interpolated quantiles ``{out: p}`` per key and column, NULLs skipped.
 
     One row per key and column: ``*keys, metric, n, *extra, *probs``, where
-    ``metric`` is the column's name. ``extra`` aggregates (means, deviations) run
-    in the sketch pass. All columns share both passes over the rows.
+    ``metric`` is the column's name. ``extra`` aggregates (numbers such as means
+    and deviations) run in the sketch pass. All columns share both passes.
     """
     extra = extra or {}
+    wanted = sorted(set(probs.values()))
     margin = _MARGIN / accuracy
-    points = sorted({q for p in probs.values() for q in (max(p - margin, 0.0), min(p + margin, 1.0))})
+    points = sorted({q for p in wanted for q in (max(p - margin, 0.0), min(p + margin, 1.0))})
     rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
 
     # First pass: counts, sketches and extra aggregates of every column.
@@ -54,81 +54,77 @@ def quantiles(
         ]
     )
 
-    def bracket(c: str, p: float) -> Column:
-        low, high = max(p - margin, 0.0), min(p + margin, 1.0)
-        whole = F.col(f"{c}.n") < 2 * accuracy
-        at = {q: F.get(F.col(f"{c}.q"), F.lit(points.index(q))) for q in (low, high)}
-        return F.struct(
-            F.lit(p).alias("p"),
-            F.when(~whole & F.lit(low > 0.0), at[low]).alias("low"),
-            F.when(~whole & F.lit(high < 1.0), at[high]).alias("high"),
-        )
-
-    def found(c: str) -> Column:
-        summary = F.struct(F.col(f"{c}.n").alias("n"), *[F.col(f"{c}.{e}").alias(e) for e in extra])
-        wanted = F.array(*[bracket(c, p) for p in sorted(set(probs.values()))])
-        return F.struct(summary.alias("summary"), wanted.alias("wanted")).alias(c)
+    def brackets(c: str) -> list[Column]:
+        """``low<i>`` and ``high<i>`` around each quantile; NULL is open."""
+        partial = F.col(f"{c}.n") >= 2 * accuracy
+        out = []
+        for i, p in enumerate(wanted):
+            for name, q, closed in ((f"low{i}", p - margin, p > margin), (f"high{i}", p + margin, p + margin < 1.0)):
+                at = F.get(F.col(f"{c}.q"), F.lit(points.index(min(max(q, 0.0), 1.0))))
+                out.append(F.when(partial & F.lit(closed), at).alias(name))
+        return out
 
-    per_column = F.struct(*[found(c) for c in columns]).alias("_s")
+    facts = ["n", *extra]
+    per_column = F.struct(
+        *[F.struct(*[F.col(f"{c}.{f}").alias(f) for f in facts], *brackets(c)).alias(c) for c in columns]
+    ).alias("_s")
     if keys:
         # No hint: one row per key, and the runtime size decides between a
         # broadcast and a skew-split join.
-        brackets = sketch.select(*[F.col(k).alias(f"_key_{k}") for k in keys], per_column)
-        same_key = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-        seen = rows.join(brackets, same_key)
+        found = sketch.select(*[F.col(k).alias(f"_key_{k}") for k in keys], per_column)
+        seen = rows.join(found, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
     else:
-        once = sketch.select(per_column).scalar()
-        seen = rows.withColumn("_s", once)
+        # A row of NULLs weighs nothing and keeps the counts of an empty input.
+        blank = df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in columns])
+        seen = rows.unionByName(blank).withColumn("_s", sketch.select(per_column).scalar())
 
-    # Second pass: count what lies below each bracket, keep what lies inside.
-    melted = F.array(
-        *[
-            F.struct(F.lit(c).alias("metric"), F.col(c).alias("x"), F.col(f"_s.{c}.summary"), F.col(f"_s.{c}.wanted"))
-            for c in columns
-        ]
-    )
-    values = seen.select(*keys, F.explode(melted).alias("_m")).select(*keys, "_m.*")
-    values = values.select(*keys, "metric", "x", "summary", F.explode("wanted").alias("b"))
-    x, low, high = F.col("x"), F.col("b.low"), F.col("b.high")
-    group = [*keys, "metric", "p"]
+    # Second pass: one row per value inside a bracket, or per stretch between two.
+    # A stretch stands just before the bracket above it; above the last one
+    # nothing is needed.
+    ends = [f"{end}{i}" for i in range(len(wanted)) for end in ("low", "high")]
+    entries = [
+        F.struct(
+            F.lit(c).alias("metric"), F.col(c).alias("x"), *[F.col(f"_s.{c}.{f}").alias(f) for f in (*facts, *ends)]
+        )
+        for c in columns
+    ]
+    entry = entries[0] if len(entries) == 1 else F.explode(F.array(*entries))
+    values = seen.select(*keys, entry.alias("_m")).select(*keys, "_m.*")
+
+    x = F.col("x")
+    inside, above = F.lit(False), [F.lit(None).cast("double")] * 2
+    for i in range(len(wanted)):
+        low, high = F.col(f"low{i}"), F.col(f"high{i}")
+        inside = inside | ((low.isNull() | (x >= low)) & (high.isNull() | (x <= high)))
+        above.append(F.when(low > x, low))
+    placed = values.withColumns({"inside": x.isNotNull() & inside, "above": F.least(*above)})
+    group = [*keys, "metric"]
     counted = (
-        values.where(x.isNull() | high.isNull() | (x <= high))
-        .select(*keys, "metric", "b.p", "summary", "x", F.when(low.isNull() | (x >= low), x).alias("v"))
-        .groupBy(*group, "v")
-        .agg(F.count("x").alias("c"), F.any_value("summary").alias("summary"))
-    )
-    upto = W.partitionBy(*group).orderBy(F.col("v").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("c").over(upto.rowsBetween(W.unboundedPreceding, 0)))
-    ranked = ranked.withColumn("at", F.col("p") * (F.col("summary.n") - 1))
-    low_rank, high_rank = F.floor("at"), F.ceil("at")
-    picked = ranked.groupBy(*group).agg(
-        F.max(F.col("at") - low_rank).alias("frac"),
-        F.min(F.when(F.col("upto") > low_rank, F.col("v"))).alias("lo"),
-        F.min(F.when(F.col("upto") > high_rank, F.col("v"))).alias("hi"),
-        F.max(F.col("v").isNull() & (F.col("upto") > low_rank)).alias("below"),
-        F.any_value("summary").alias("summary"),
+        placed.where(F.col("inside") | x.isNull() | F.col("above").isNotNull())
+        .withColumn("v", F.when(F.col("inside"), x).otherwise(F.col("above")))
+        .groupBy(*group, "v", "inside")
+        .agg(F.count("x").alias("c"), *[F.max(f).alias(f) for f in facts])
     )
-    missed = F.col("below") | F.col("hi").isNull()
-    exact = (
-        F.when(F.col("summary.n") == 0, F.lit(None).cast("double"))
-        .when(missed, F.raise_error(F.lit("quantile bracket missed; raise accuracy")))
-        .otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac"))
-    )
-    wide = picked.withColumn("x", exact).groupBy(*keys, "metric").agg(
-        F.any_value("summary").alias("summary"),
-        *[F.max(F.when(F.col("p") == p, F.col("x"))).alias(out) for out, p in probs.items()],
-    )
-    outs = [F.col(f"`{o}`") for o in probs]
-    if not keys:
-        # An empty input has no values to group, but still its counts: one entry
-        # per column, filled in where there were values.
-        by_metric = F.map_from_entries(F.collect_list(F.struct("metric", F.struct(*outs))))
-        entry = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"_s.{c}.summary")) for c in columns])
-        wide = (
-            wide.agg(by_metric.alias("found"))
-            .withColumn("_s", once)
-            .select("found", F.explode(entry).alias("_m"))
-            .select("_m.*", F.col("found")[F.col("_m.metric")].alias("_w"))
-        )
-        outs = [F.col(f"_w.`{o}`").alias(o) for o in probs]
-    return wide.select(*keys, "metric", "summary.*", *outs)
+    order = W.partitionBy(*group).orderBy(F.col("v").asc_nulls_first(), "inside")
+    ranked = counted.withColumn("upto", F.sum("c").over(order.rowsBetween(W.unboundedPreceding, 0)))
+
+    def value_at(rank: Column) -> Column:
+        covers = (F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto"))
+        return F.max(F.when(F.col("inside") & covers, F.col("v")))
+
+    def at(p: float) -> Column:
+        return F.lit(p) * (F.col("n") - 1)
+
+    ranks = []
+    for i, p in enumerate(wanted):
+        ranks += [value_at(F.floor(at(p))).alias(f"lower{i}"), value_at(F.ceil(at(p))).alias(f"upper{i}")]
+    picked = ranked.groupBy(*group).agg(*[F.max(f).alias(f) for f in facts], *ranks)
+
+    missed = F.raise_error(F.lit("quantile bracket missed; raise accuracy")).cast("double")
+
+    def exact(p: float) -> Column:
+        lower, upper = F.col(f"lower{wanted.index(p)}"), F.col(f"upper{wanted.index(p)}")
+        value = lower + (upper - lower) * (at(p) - F.floor(at(p)))
+        return F.when(F.col("n") > 0, F.coalesce(value, missed))
+
+    return picked.select(*group, *facts, *[exact(p).alias(out) for out, p in probs.items()])
