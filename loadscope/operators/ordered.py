@@ -188,25 +188,29 @@ def run_row_number_by(runs: DataFrame, keys: list[str], out: str) -> DataFrame:
 
 
 def run_lag(runs: DataFrame, values: dict[str, str], keys: list[str] | None = None) -> DataFrame:
-    """Previous row's values (``{out: column}``) in run order, NULL at the start of a key."""
+    """Previous row's values (``{out: column}``) in run order, NULL at the start of a key.
+
+    The first row of a run takes the last row of the run before it, from a table
+    with one row per run.
+    """
     keys = keys or []
-    row = F.struct(
-        F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_one")).alias("k"),
-        F.struct(*[F.col(c).alias(o) for o, c in values.items()]).alias("v"),
-    )
-    last = runs.groupBy("_run").agg(F.max_by(row, "_pos").alias("_last"))
+    kept = {**{f"_key{i}": k for i, k in enumerate(keys)}, **{f"_value{i}": c for i, c in enumerate(values.values())}}
+    ends = runs.groupBy("_run").agg(F.max("_pos").alias("_pos"))
+    row = F.struct(F.lit(True).alias("_seen"), *[F.col(c).alias(n) for n, c in kept.items()])
+    last = runs.select("_run", "_pos", row.alias("_last")).join(F.broadcast(ends), ["_run", "_pos"])
     last = last.select("_run", F.lag("_last").over(W.orderBy("_run")).alias("_carried"))
-    local = F.lag(row).over(W.partitionBy("_run").orderBy("_pos"))
-    joined = (
-        runs.withColumn("_row", row)
-        .withColumn("_near", local)
-        .join(F.broadcast(last), "_run")  # one row per range partition
-        .withColumn("_prev", F.coalesce("_near", "_carried"))
-    )
-    same = F.col("_prev.k").eqNullSafe(F.col("_row.k"))
-    for out in values:
-        joined = joined.withColumn(out, F.when(same, F.col(f"_prev.v.{out}")))
-    return joined.drop("_row", "_near", "_carried", "_prev")
+    before = W.partitionBy("_run").orderBy("_pos")
+    near = {n: F.lag(c).over(before) for n, c in kept.items()}
+    joined = runs.withColumns({**near, "_seen": F.lag(F.lit(True)).over(before)}).join(F.broadcast(last), "_run")
+
+    def previous(name: str) -> Column:
+        return F.when(F.col("_seen"), F.col(name)).otherwise(F.col(f"_carried.{name}"))
+
+    same = F.coalesce("_seen", "_carried._seen")
+    for i, k in enumerate(keys):
+        same = same & previous(f"_key{i}").eqNullSafe(F.col(k))
+    outs = {out: F.when(same, previous(f"_value{i}")) for i, out in enumerate(values)}
+    return joined.withColumns(outs).drop("_carried", "_seen", *kept)
 
 
 def row_number(

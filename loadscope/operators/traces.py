@@ -181,11 +181,16 @@ def attach_pairs(
     needed = runs.agg(F.count(F.lit(1)).alias("c")).scalar()
     numbered = ordered.run_row_number(runs, "ordinal").drop("_run", "_pos")
     numbered = numbered.withColumn("ordinal", F.col("ordinal") - 1)
-    shuffled = ordered.hash_rank(pairs, F.col(pair_id), seed, "_rank", upto=needed)
-    usable = with_lengths(shuffled, count_tokens).where(fits(max_length)).select(
-        F.col("_rank").alias("ordinal"), "prompt", "response", "prompt_length", "response_length"
-    )
-    joined = numbered.join(usable, "ordinal", "left").withColumns(
+    ranked = ordered.hash_rank(pairs, F.col(pair_id), seed, "_rank", upto=needed)
+    ranked = with_lengths(ranked, count_tokens).withColumn("_fits", fits(max_length))
+    texts = ["prompt", "response", "prompt_length", "response_length"]
+    # Texts that are too long are dropped before they are shuffled.
+    usable = ranked.select("_rank", *[F.when(F.col("_fits"), F.col(c)).alias(c) for c in texts])
+    joined = numbered.join(usable, numbered["ordinal"] == usable["_rank"], "left")
+    if strict:
+        short = F.raise_error(F.lit("more rows than pairs")).cast("bigint")
+        joined = joined.withColumn("ordinal", F.coalesce("_rank", short))
+    return joined.drop("_rank").withColumns(
         {
             "prompt": F.coalesce("prompt", F.lit(PLACEHOLDER)),
             "response": F.coalesce("response", F.lit(PLACEHOLDER)),
@@ -193,12 +198,6 @@ def attach_pairs(
             "response_length": F.coalesce("response_length", F.lit(0)),
         }
     )
-    if strict:
-        available = pairs.agg(F.count(F.lit(1)).alias("c")).scalar()
-        short = F.raise_error(F.lit("more rows than pairs")).cast("bigint")
-        ordinal = F.when(F.col("ordinal") < available, F.col("ordinal")).otherwise(short)
-        joined = joined.withColumn("ordinal", ordinal)
-    return joined
 
 
 # -- metadata -------------------------------------------------------------------
