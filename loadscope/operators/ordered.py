@@ -198,6 +198,7 @@ def run_lag(runs: DataFrame, values: dict[str, str], keys: list[str] | None = No
     ends = runs.groupBy("_run").agg(F.max("_pos").alias("_pos"))
     row = F.struct(F.lit(True).alias("_seen"), *[F.col(c).alias(n) for n, c in kept.items()])
     last = runs.select("_run", "_pos", row.alias("_last")).join(F.broadcast(ends), ["_run", "_pos"])
+    last = last.groupBy("_run").agg(F.any_value("_last").alias("_last"))
     last = last.select("_run", F.lag("_last").over(W.orderBy("_run")).alias("_carried"))
     before = W.partitionBy("_run").orderBy("_pos")
     near = {n: F.lag(c).over(before) for n, c in kept.items()}
