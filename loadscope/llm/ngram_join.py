@@ -14,9 +14,10 @@ partners in the class below is indexed there too. If the only groups that agree
 are empty ones, both documents have that many empty groups: such documents also
 enter leaves of single shingles (the first ``d + 1`` by hash). No pair is lost.
 
-Inside a leaf no list of pairs is made. Members are compared with the leaf's
-smallest and largest document, those that link join its component, and only
-members of different components that no earlier step has compared meet.
+Inside a leaf no list of pairs is made. Members are first compared with the leaf's
+smallest document, and those that link join its component. Only then do members
+of different components meet, block by block: a document is tested against the
+box of a block, then against its points, and what survives is verified.
 
 All equalities are those of 64-bit hashes of shingles.
 """
@@ -36,9 +37,11 @@ from loadscope.llm.shingles import mixed, shingle_sets
 from loadscope.session import write_table
 
 CLASS_RATIO = 1.5
-COORDINATES = 16
+COORDINATES = 64
+#: Documents in a block of a leaf; two blocks are compared in one task.
+BLOCK = 256
 
-_POINTS = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, leaves array<bigint>, point array<smallint>"
+_POINTS = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, leaves array<bigint>, point array<int>"
 
 
 def _bound(size: int, percent: int) -> int:
@@ -101,14 +104,14 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 two.append(int(mixed(m ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)))
                 keys.append(leaves(s, percent).view(np.int64))
                 counts = np.bincount((s & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES)
-                vectors.append(np.minimum(counts, 32767).astype(np.int16))
+                vectors.append(counts.astype(np.int32))
             lists = lambda parts, kind: pa.ListArray.from_arrays(
                 pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))), pa.int32()),
                 pa.array(np.concatenate(parts) if parts else np.zeros(0), kind),
             )
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(one, pa.int64()),
-                 pa.array(two, pa.int64()), lists(keys, pa.int64()), lists(vectors, pa.int16())],
+                 pa.array(two, pa.int64()), lists(keys, pa.int64()), lists(vectors, pa.int32())],
                 ["doc_id", "n_shingles", "f1", "f2", "leaves", "point"],
             )
 
@@ -127,7 +130,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 def _minima(a: str, b: str):
     """Summed coordinate minima: the largest overlap two points allow."""
-    return sum((F.least(F.col(a)[k], F.col(b)[k]).cast("long") for k in range(COORDINATES)), F.lit(0))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,11 +179,13 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     sets = write_table(_sets(docs.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
     label = write_table(wanted.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp")), "label")
 
-    pairs = lambda a, b: members.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    edges = write_table(_linked(pairs("lo", "rep").where("a < b").distinct(), classes, sets, percent), "links")
+    first = members.where("lo < rep").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
+    edges = write_table(_linked(first, classes, sets, percent), "links")
     label = _relabel(label, edges)
     # in a leaf of two, the only pair has met
-    edges, label = _rest(members.where("size > 2"), label, edges, classes, sets, percent)
+    rest = _inside(members.where("size > 2"), label, classes, percent)
+    edges = write_table(edges.unionByName(_linked(rest, classes, sets, percent)), "links")
+    label = _relabel(label, edges)
 
     part = label.select(F.col("rep"), "comp")
     grouped = classes.select(*key, "rep").join(part, "rep", "left").select(*key, F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("component_id"))
@@ -189,23 +194,42 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return out.unionByName(bare.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id")))
 
 
-def _rest(members, label, edges, classes, sets, percent):
-    """Links between different components of a leaf that its smallest member did not show."""
+def _inside(members: DataFrame, label: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs in a leaf of different components, without its smallest document, that the boxes and points allow.
 
-    def open_leaves():
-        at = members.join(label, "rep").select("leaf", "rep", "lo", "hi", "comp")
-        many = at.groupBy("leaf").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("leaf")
-        return write_table(at.join(many, "leaf", "left_semi"), "open")
+    A leaf is cut into blocks of about ``BLOCK`` documents, and two blocks meet in
+    one group of bounded size, however many documents share the leaf.
+    """
+    at = members.join(label, "rep").select("leaf", "rep", "lo", "size", "comp")
+    several = at.groupBy("leaf").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("leaf")
+    inner = (
+        at.join(several, "leaf", "left_semi").where("rep <> lo")
+        .join(classes.select("rep", "n_shingles", "point"), "rep")
+        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        .withColumn("own", F.pmod(F.hash("rep"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n_shingles", "point")
+    )
 
-    at = open_leaves()
-    far = label.select(F.col("rep").alias("hi"), F.col("comp").alias("hi_comp"))
-    star = at.join(far, "hi").where("comp <> hi_comp and rep <> lo").select(F.least("rep", "hi").alias("a"), F.greatest("rep", "hi").alias("b"))
-    edges = write_table(edges.unionByName(_linked(star.distinct(), classes, sets, percent)), "links")
-    label = _relabel(label, edges)
-    at = open_leaves()
-    # both ends: neither is the smallest or largest member, which have met all others
-    inner = at.where("rep <> lo and rep <> hi").select("leaf", "rep", "comp")
-    other = inner.select("leaf", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    cross = inner.withColumnRenamed("rep", "a").join(other, "leaf").where("a < b and comp <> cb").select("a", "b").distinct()
-    edges = write_table(edges.unionByName(_linked(cross, classes, sets, percent)), "links")
-    return edges, _relabel(label, edges)
+    def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        i, j = key[1].as_py(), key[2].as_py()
+        take = lambda name: group.column(name).to_numpy()
+        own, rep, comp, size = take("own"), take("rep"), take("comp"), take("n_shingles")
+        point = group.column("point").chunk(0).flatten().to_numpy().reshape(-1, COORDINATES)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        share = lambda x, y: percent * (x + y)  # noqa: E731  (100 + percent) * overlap must reach it
+        pairs_a, pairs_b = [], []
+        if len(left) and len(right):
+            box, least = point[right].max(axis=0), size[right].min()
+            fits = (100 + percent) * np.minimum(point[left], box).sum(axis=1) >= share(size[left], least)
+            for k in left[fits]:
+                others = right[(comp[right] != comp[k]) & ((rep[right] > rep[k]) | (i != j))]
+                most = np.minimum(point[others], point[k]).sum(axis=1, dtype=np.int64)
+                others = others[(100 + percent) * most >= share(size[others], size[k])]
+                pairs_a.append(np.minimum(rep[others], rep[k]))
+                pairs_b.append(np.maximum(rep[others], rep[k]))
+        joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(joined(pairs_a), pa.int64()), "b": pa.array(joined(pairs_b), pa.int64())})
+
+    return inner.groupBy("leaf", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
