@@ -40,6 +40,8 @@ CLASS_RATIO = 1.5
 COORDINATES = 64
 #: Documents in a block of a leaf; two blocks are compared in one task.
 BLOCK = 256
+#: Bits of the filter that picks the documents whose sets are compared.
+BITMAP = 1 << 25
 
 _POINTS = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, leaves array<bigint>, point array<int>"
 
@@ -61,8 +63,8 @@ def _class_start(c: int) -> int:
 
 
 def _class_groups(c: int, percent: int) -> int:
-    """Groups of a class: one more than any two of its indexed documents can differ in."""
-    return _bound(_class_start(c + 1) * 100 // percent + 1, percent) + 1
+    """Groups of a class: one more than a pair can differ in whose smaller set is of the class."""
+    return _bound(_class_start(c + 1) - 1, percent) + 1
 
 
 def leaves(shingles: np.ndarray, percent: int) -> np.ndarray:
@@ -118,14 +120,32 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _POINTS)
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """``BITMAP`` bits with those of the ids' hashes set: a filter of fixed size that passes every id in the table."""
+    place = ids.select((F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)) + 1).alias("p"))  # the functions count from 1
+    parts = place.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(BITMAP // 8, np.uint8)
+    for k, bits in parts.collect():
+        at = (k - 1) * len(bits)
+        out[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``doc_id, shingles`` of the wanted documents; texts are read where they lie, not shuffled."""
+    broadcast = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = broadcast.value
         for batch in batches:
+            p = batch.column("p").to_numpy()
+            batch = batch.filter(pa.array((bits[p >> 3] >> (p & 7) & 1).astype(bool)))
             ids = batch.column("doc_id").cast(pa.int64())
             for k, s in enumerate(shingle_sets(batch.column("text"), width)):
                 yield pa.RecordBatch.from_arrays([ids.slice(k, 1), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    placed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(BITMAP)).alias("p"))
+    return placed.mapInArrow(run, "doc_id bigint, shingles array<bigint>").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def _minima(a: str, b: str):
@@ -167,18 +187,13 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     full = found.where("n_shingles > 0 and doc_id is not null")
     key = ["f1", "f2", "n_shingles"]
     classes = write_table(
-        full.groupBy(*key).agg(F.min(F.struct("doc_id", "leaves", "point")).alias("r"))
-        .select(*key, F.col("r.doc_id").alias("rep"), F.col("r.leaves").alias("leaves"), F.col("r.point").alias("point")),
+        full.groupBy(*key).agg(F.min(F.struct("doc_id", "point")).alias("r")).select(*key, F.col("r.doc_id").alias("rep"), F.col("r.point").alias("point")),
         "classes",
-    )
-    entries = classes.select("rep", F.explode("leaves").alias("leaf"))
-    shared = entries.groupBy("leaf").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    # only leaves with two documents or more go on
-    members = write_table(entries.join(shared, "leaf").select("leaf", "rep", "lo", "hi", "size"), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = write_table(_sets(docs.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
-    label = write_table(wanted.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp")), "label")
-
+    )
+    members = _members(full, classes)
+    wanted = write_table(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    sets = write_table(_sets(docs, wanted, width), "sets")
+    label = wanted.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp"))
     first = members.where("lo < rep").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
     edges = write_table(_linked(first, classes, sets, percent), "links")
     label = _relabel(label, edges)
@@ -194,6 +209,17 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return out.unionByName(bare.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id")))
 
 
+def _members(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """``leaf, rep, lo, size`` of the leaves that two classes or more share; ``lo`` is the smallest member."""
+    entries = full.select(F.col("doc_id").alias("rep"), F.explode("leaves").alias("leaf"))
+    shared = entries.groupBy("leaf").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    found = write_table(entries.join(shared, "leaf").select("leaf", "rep", "lo"), "entries")
+    # exact copies have left: one row per class and leaf
+    found = found.join(classes.select("rep"), "rep", "left_semi")
+    sizes = found.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
+    return write_table(found.join(sizes, "leaf").select("leaf", "rep", "lo", "size"), "members")
+
+
 def _inside(members: DataFrame, label: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs in a leaf of different components, without its smallest document, that the boxes and points allow.
 
@@ -233,3 +259,9 @@ def _inside(members: DataFrame, label: DataFrame, classes: DataFrame, percent: i
         return pa.table({"a": pa.array(joined(pairs_a), pa.int64()), "b": pa.array(joined(pairs_b), pa.int64())})
 
     return inner.groupBy("leaf", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def unique(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The smallest document of every group, with all columns; documents without words and null ids stay."""
+    drop = similar(docs, width, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(drop, docs["doc_id"] == F.col("_id"), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadscope.llm import exact_dedup, ngram_join
+from loadscope.llm import exact_dedup, mixing, ngram_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,45 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_table(spark, sf_dir, "documents"), keep="max")
 
 
+@_query(
+    "op8_mixing",
+    r"""
+    with z as (
+      select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+        md5(coalesce(cast(doc_id as varchar), '')) as h
+      from documents
+    ), a as (
+      select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as no from z group by source
+    ), b as (
+      select *, case no % 3 when 0 then 3.0::double when 1 then 1.0::double else 2.0::double end as w, 2.0::double * source_size as most from a
+    ), c as (
+      select *, most / w as full_at from b
+    ), d as (
+      select *, (1.5::double * sum(source_size) over () - coalesce(sum(most) over (order by full_at, no rows between unbounded preceding and 1 preceding), 0))
+        / sum(w) over (order by full_at, no rows between current row and unbounded following) as level
+      from c
+    ), t as (
+      select source, no, source_size, least(most, (select arg_min(level, (full_at, no)) from d where level <= full_at) * w) as target from d
+    ), u as (
+      select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole from t
+    ), p as (
+      select z.doc_id, z.size, no, source_size, target, whole, target - whole * source_size as missing,
+        sum(size) over (partition by no order by h, doc_id, size rows unbounded preceding) as stop
+      from z join u on z.source is not distinct from u.source
+    ), g as (
+      select no, max(missing) - coalesce(sum(size) filter (stop <= missing), 0) as gap from p group by no
+    ), f as (
+      select no, arg_max(stop, (size, -stop)) as fill from p join g using (no) where stop > missing and size > 0 and size <= gap group by no
+    )
+    select doc_id, size, cast(source_size as bigint) as source_size, target,
+      cast(size * (whole + case when stop <= missing or (size > 0 and coalesce(stop = fill, false)) then 1 else 0 end) as bigint) as taken
+    from p left join f using (no)
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @_query(
     "op10_ngram_jaccard",
     r"""
