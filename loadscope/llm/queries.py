@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loadscope.llm import exact_dedup, mixing, ngram_join
+from loadscope.llm import embedding_dedup, exact_dedup, mixing, ngram_join, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +41,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_table(spark, sf_dir, "documents"), keep="max")
 
 
+@_query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@_query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)
+
+
 @_query(
     "op8_mixing",
     r"""
@@ -79,6 +90,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query(
+    "op9_embedding_dedup",
+    """
+    with recursive v as (
+      select vec_id, list_transform(embedding, x -> cast(x as double)) as e from embeddings
+    ), g as (
+      select vec_id, e from v
+      where e is not null and len(e) > 0 and len(list_filter(e, x -> x is null or not isfinite(x))) = 0 and len(list_filter(e, x -> x <> 0)) > 0
+    ), l as (
+      select a.vec_id as x, b.vec_id as y from g a join g b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95
+    ), r as (select vec_id as node, vec_id as reach from v union select r.node, l.y from r join l on r.reach = l.x)
+    select v.vec_id, coalesce(n.n, 0) as n_links, c.c as component_id, v.vec_id = c.c as kept
+    from v left join (select x, count(*) as n from l group by x) n on n.x = v.vec_id
+    join (select node, min(reach) as c from r group by node) c on c.node = v.vec_id
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 @_query(
     "op10_ngram_jaccard",
     r"""
