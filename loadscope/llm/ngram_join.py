@@ -37,6 +37,7 @@ from loadscope.llm.shingles import mixed, shingle_sets
 from loadscope.session import write_table
 
 CLASS_RATIO = 1.5
+#: Least coordinates of a point; a set has about one for every two shingles.
 COORDINATES = 64
 #: Documents in a block of a leaf; two blocks are compared in one task.
 BLOCK = 256
@@ -67,6 +68,16 @@ def _class_groups(c: int, percent: int) -> int:
     return _bound(_class_start(c + 1) - 1, percent) + 1
 
 
+def coordinates(size: int) -> int:
+    """Groups of a point: a power of two that grows with the set, so that the bound stays sharp for long texts."""
+    return max(COORDINATES, 1 << (size // 2).bit_length())
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """A point in fewer groups: a coordinate is the hash modulo the number of groups, so the parts add up."""
+    return point if len(point) == groups else point.reshape(-1, groups).sum(axis=0)
+
+
 def leaves(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Leaf keys of one sorted distinct set."""
     n = len(shingles)
@@ -105,7 +116,8 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 one.append(int(m.sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(mixed(m ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)))
                 keys.append(leaves(s, percent).view(np.int64))
-                counts = np.bincount((s & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES)
+                groups = coordinates(len(s))
+                counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
                 vectors.append(counts.astype(np.int32))
             lists = lambda parts, kind: pa.ListArray.from_arrays(
                 pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))), pa.int32()),
@@ -132,7 +144,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``doc_id, shingles`` of the wanted documents; texts are read where they lie, not shuffled."""
+    """``doc_id, shingles`` of the wanted documents and a few others; texts are read where they lie, not shuffled."""
     broadcast = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,26 +157,34 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(k, 1), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
     placed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(BITMAP)).alias("p"))
-    return placed.mapInArrow(run, "doc_id bigint, shingles array<bigint>").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return placed.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
-def _minima(a: str, b: str):
-    """Summed coordinate minima: the largest overlap two points allow."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that sizes and summed coordinate minima allow, with the sizes."""
+    side = lambda k: classes.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("point").alias(f"p{k}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            keep = []
+            for x, y, k in zip(batch.column("pa"), batch.column("pb"), range(len(batch)), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                groups = min(len(x), len(y))
+                most = int(np.minimum(folded(x, groups), folded(y, groups)).sum())
+                keep.append((100 + percent) * most >= percent * int(na[k] + nb[k]))
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
-def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of class representatives whose sets are similar enough."""
-    side = lambda k: classes.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("point").alias(f"p{k}"))
-    share = F.lit(percent) * (F.col("na") + F.col("nb"))  # 100 o >= t (na + nb - o)
-    near = (
-        pairs.join(side("a"), "a").join(side("b"), "b")
-        .where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * _minima("pa", "pb") >= share))
-        .select("a", "b", "na", "nb")
-    )
+    return sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets are similar enough, from pairs with sizes."""
     texts = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}"))
     overlap = F.size(F.array_intersect("sa", "sb"))
-    return near.join(texts("b"), "b").join(texts("a"), "a").where((100 + percent) * overlap >= share).select("a", "b")
+    joined = pairs.select("a", "b", "na", "nb").join(texts("b"), "b").join(texts("a"), "a")
+    return joined.where((100 + percent) * overlap >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
 
 def _relabel(label: DataFrame, edges: DataFrame) -> DataFrame:
@@ -195,11 +215,16 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     sets = write_table(_sets(docs, wanted, width), "sets")
     label = wanted.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp"))
     first = members.where("lo < rep").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = write_table(_linked(first, classes, sets, percent), "links")
+    edges = write_table(_linked(_allowed(first, classes, percent), sets, percent), "links")
     label = _relabel(label, edges)
     # in a leaf of two, the only pair has met
-    rest = _inside(members.where("size > 2"), label, classes, percent)
-    edges = write_table(edges.unionByName(_linked(rest, classes, sets, percent)), "links")
+    rest = write_table(_inside(members.where("size > 2"), label, classes, percent), "rest")
+    best = rest.groupBy("ca", "cb").agg(F.max(F.struct("most", "a", "b", "na", "nb")).alias("p")).select("p.*")
+    edges = write_table(edges.unionByName(_linked(best, sets, percent)), "links")
+    label = _relabel(label, edges)
+    comp = lambda k: label.select(F.col("rep").alias(k), F.col("comp").alias(f"now_{k}"))
+    apart = rest.join(comp("a"), "a").join(comp("b"), "b").where("now_a <> now_b")
+    edges = write_table(edges.unionByName(_linked(apart, sets, percent)), "links")
     label = _relabel(label, edges)
 
     part = label.select(F.col("rep"), "comp")
@@ -224,15 +249,16 @@ def _inside(members: DataFrame, label: DataFrame, classes: DataFrame, percent: i
     """Pairs in a leaf of different components, without its smallest document, that the boxes and points allow.
 
     A leaf is cut into blocks of about ``BLOCK`` documents, and two blocks meet in
-    one group of bounded size, however many documents share the leaf.
+    one group of bounded size, however many documents share the leaf. Returns ``a, b``
+    with their sizes, components and largest similarity in millionths.
     """
     at = members.join(label, "rep").select("leaf", "rep", "lo", "size", "comp")
     several = at.groupBy("leaf").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("leaf")
     inner = (
         at.join(several, "leaf", "left_semi").where("rep <> lo")
-        .join(classes.select("rep", "n_shingles", "point"), "rep")
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("own", F.pmod(F.hash("rep"), F.col("blocks")))
+        .join(classes.select("rep", "n_shingles", "point"), "rep")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n_shingles", "point")
     )
@@ -242,23 +268,30 @@ def _inside(members: DataFrame, label: DataFrame, classes: DataFrame, percent: i
         i, j = key[1].as_py(), key[2].as_py()
         take = lambda name: group.column(name).to_numpy()
         own, rep, comp, size = take("own"), take("rep"), take("comp"), take("n_shingles")
-        point = group.column("point").chunk(0).flatten().to_numpy().reshape(-1, COORDINATES)
+        points = [p.values.to_numpy() for p in group.column("point")]
+        groups = min(map(len, points))
+        point = np.array([folded(p, groups) for p in points])
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        share = lambda x, y: percent * (x + y)  # noqa: E731  (100 + percent) * overlap must reach it
-        pairs_a, pairs_b = [], []
+        found: list[list[np.ndarray]] = [[] for _ in range(7)]
         if len(left) and len(right):
             box, least = point[right].max(axis=0), size[right].min()
-            fits = (100 + percent) * np.minimum(point[left], box).sum(axis=1) >= share(size[left], least)
+            fits = (100 + percent) * np.minimum(point[left], box).sum(axis=1) >= percent * (size[left] + least)
             for k in left[fits]:
                 others = right[(comp[right] != comp[k]) & ((rep[right] > rep[k]) | (i != j))]
                 most = np.minimum(point[others], point[k]).sum(axis=1, dtype=np.int64)
-                others = others[(100 + percent) * most >= share(size[others], size[k])]
-                pairs_a.append(np.minimum(rep[others], rep[k]))
-                pairs_b.append(np.maximum(rep[others], rep[k]))
-        joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(joined(pairs_a), pa.int64()), "b": pa.array(joined(pairs_b), pa.int64())})
-
-    return inner.groupBy("leaf", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
+                fine = (100 + percent) * most >= percent * (size[others] + size[k])
+                others, most = others[fine], most[fine]
+                swap = rep[others] < rep[k]
+                order = lambda values: (np.where(swap, values[others], values[k]), np.where(swap, values[k], values[others]))  # noqa: B023,E731
+                (a, b), (na, nb) = order(rep), order(size)
+                ca, cb = np.minimum(comp[others], comp[k]), np.maximum(comp[others], comp[k])
+                for column, values in zip(found, (a, b, na, nb, ca, cb, most * 1_000_000 // (size[others] + size[k] - most)), strict=True):
+                    column.append(values)
+        joined = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in found]
+        return pa.table(joined, names=["a", "b", "na", "nb", "ca", "cb", "most"])
+
+    schema = "a bigint, b bigint, na bigint, nb bigint, ca bigint, cb bigint, most bigint"
+    return inner.groupBy("leaf", "i", "j").applyInArrow(meet, schema).distinct()
 
 
 def unique(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
