@@ -342,7 +342,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents below the threshold, with all columns."""
+    """The documents below the threshold, with all columns; every row is judged by its own text."""
     model = learn(docs, labels)
-    drop = score(docs, model).where(F.col("score") >= threshold)
-    return docs.join(drop.select(F.col("doc_id").alias("_id")).distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        reader = Reader(m.weights)
+        for batch in batches:
+            texts = batch.column("text")
+            keep = []
+            for at in range(0, len(texts), 256):
+                x = np.array([reader.features(t or "") for t in texts.slice(at, 256).to_pylist()])
+                logit = ((x - m.mean) / m.scale) @ m.slope + m.intercept
+                keep += (1 / (1 + np.exp(-logit)) < threshold).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
