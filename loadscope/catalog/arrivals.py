@@ -10,7 +10,7 @@ from loadscope.catalog.traces import LENGTHS, REPLAY_RATE, poisson_sql, replay_s
 from loadscope.operators import arrivals, traces
 
 SEED, RATE, SLICE_S = 42, 2.0, 600
-REPLAY_N, WRAP_N = 1500, 20_000
+REPLAY_N, WRAP_N = "(select count(*) * 3 // 20 from events)", "(select count(*) * 2 from events)"
 DOWN_RATE, UP_RATE, ATTACH_RATE, MAX_LENGTH = 0.5, 50.0, 0.1, 200
 
 
@@ -62,14 +62,25 @@ def arrival_gamma_b1(i):
     return arrivals.bursty(_events(i), "event_id", RATE, SEED, 1.0)
 
 
-@query("arrival_gamma")
+_HALF = (
+    f"round(-ln(1.0::double - {sql_uniform('event_id', f'{SEED}ga')}) * cos(2 * pi() * {sql_uniform('event_id', f'{SEED}gb')})"
+    f" * cos(2 * pi() * {sql_uniform('event_id', f'{SEED}gb')}) * (1000000000.0::double / ({RATE}::double * 0.5::double)))::bigint"
+)
+
+
+@query(
+    "arrival_gamma",
+    f"""
+    select event_id, ((sum(ns) over (order by event_id rows unbounded preceding) - ns + 500) // 1000)::double / 1000000.0::double as arrival_time
+    from (select event_id, {_HALF} as ns from events)""",
+)
 def arrival_gamma(i):
     return arrivals.bursty(_events(i), "event_id", RATE, SEED, 0.5)
 
 
 @query("arrival_replay", f"with {replay_sql(REPLAY_RATE, SEED)} select ordinal, arrival_time from o where ordinal < {REPLAY_N}")
 def arrival_replay(i):
-    return arrivals.replay(i.arrival_log, "t_us", REPLAY_RATE, REPLAY_N, SEED)
+    return arrivals.replay(i.arrival_log, "t_us", REPLAY_RATE, i.table("events").count() * 3 // 20, SEED)
 
 
 @query(
@@ -81,7 +92,7 @@ def arrival_replay(i):
     from o, l, t where o.ordinal + l.lap * t.n < {WRAP_N}""",
 )
 def arrival_replay_wrap(i):
-    return arrivals.replay(i.arrival_log, "t_us", REPLAY_RATE, WRAP_N, SEED, on_short="wrap")
+    return arrivals.replay(i.arrival_log, "t_us", REPLAY_RATE, i.table("events").count() * 2, SEED, on_short="wrap")
 
 
 _SLICE = f"""

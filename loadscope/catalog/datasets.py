@@ -8,7 +8,10 @@ from loadscope.functions.text import ChatTemplate
 from loadscope.operators import datasets
 
 TEMPLATE = ChatTemplate()
-SEED, TEXT_CAP, TALK_CAP, QA_ENTRIES, FIRST_ENTRIES = 42, 512, 400, 40, 30
+SEED, TEXT_CAP, TALK_CAP = 42, 512, 400
+#: Sample sizes follow the tables.
+QA_ENTRIES = "(select count(*) // 6 from qa_corpus)"
+FIRST_ENTRIES = "(select count(distinct conv_id) // 4 from conversations)"
 
 _DOCS = f"select doc_id, text, {sql_tokens('text')} as c from documents"
 _QA = "select * from qa_corpus where (contains(category, 'open_qa') or contains(category, 'closed_qa')) and length(context) = 0"
@@ -42,7 +45,7 @@ def ds_qa_filter(i):
     from ({_QA}) qualify row_number() over (order by {sql_hash('id', SEED)}, id) <= {QA_ENTRIES}""",
 )
 def ds_qa_sample(i):
-    rows = datasets.first_n(datasets.qa_only(i.qa_corpus), "id", QA_ENTRIES, seed=SEED)
+    rows = datasets.first_n(datasets.qa_only(i.qa_corpus), "id", i.qa_corpus.count() // 6, seed=SEED)
     return datasets.templated_exchanges(rows, TEMPLATE).select("ordinal", "id", "text")
 
 
@@ -60,7 +63,8 @@ def ds_length_cap(i):
 )
 def ds_first_n(i):
     capped = datasets.length_cap(_talk_lengths(i), TALK_CAP)
-    return datasets.first_n(capped, "conv_id", FIRST_ENTRIES, strict=True)
+    n = i.table("conversations").select("conv_id").distinct().count() // 4
+    return datasets.first_n(capped, "conv_id", n, strict=True)
 
 
 @query("ds_conversation_text", f"select conv_id, text, c::bigint as token_count from ({_TALK_COUNTS}) where c < {TALK_CAP}")

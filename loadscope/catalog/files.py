@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loadscope import schemas
 from loadscope.catalog.inputs import sql_tokens
 from loadscope.catalog.registry import query
-from loadscope.catalog.traces import ENTRIES, RATE, SAMPLE, SCHEDULE, _build, _poisson
+from loadscope.catalog.traces import RATE, SAMPLE, SCHEDULE, _build, _poisson, entries_of
 from loadscope.operators import datasets, traces
 from loadscope.session import shared_path
 from loadscope.sources import files, logs
@@ -57,7 +57,7 @@ def src_step_log(i):
 
 
 def _trace(i):
-    entries = traces.with_arrivals(_build(i), _poisson(i, ENTRIES, RATE, 42))
+    entries = traces.with_arrivals(_build(i), _poisson(i, entries_of(i), RATE, 42))
     return entries, traces.metadata(entries, "poisson", RATE)
 
 
@@ -79,9 +79,9 @@ def trace_export(i):
     f"select ordinal, prompt, p::int as prompt_len, r::int as expected_output_len from ({SAMPLE}) where ordinal < 20",
 )
 def trace_reload_head(i):
-    folder = shared_path(i.spark, "trace_document")
-    files.write_trace_document(*_trace(i), folder)
-    return files.read_trace_document(i.spark, folder, 20)
+    folder = shared_path(i.spark, "trace_head")
+    files.write_trace(*_trace(i), folder)
+    return files.read_trace(i.spark, folder, 20)
 
 
 @query("dataset_text_export", f"select text from documents where {sql_tokens('text')} < 512")

@@ -93,13 +93,14 @@ def sweep_grid(i):
 @query(
     "sweep_missing_cells",
     f"""
-    select g.* from ({_GRID_SQL}) g
-    where not exists (select 1 from request_log r where r.is_warmup_request = 1 and r.dataset = g.dataset and r.model = g.model
+    select g.* from (select * from ({_GRID_SQL}) union all select distinct dataset, model, 512 as max_batch_size, max_tokens_per_batch from ({_GRID_SQL})) g
+    where not exists (select 1 from request_log r where r.dataset = g.dataset and r.model = g.model
                       and r.max_batch_size = g.max_batch_size and r.max_tokens_per_batch = g.max_tokens_per_batch)""",
 )
 def sweep_missing_cells(i):
     cells = sweeps.observed_grid(i.request_log, sweeps.CONFIG)
-    return sweeps.missing_cells(cells, i.request_log.where("is_warmup_request = 1"), sweeps.CONFIG)
+    absent = cells.withColumn("max_batch_size", F.lit(512)).distinct()
+    return sweeps.missing_cells(cells.unionByName(absent), i.request_log, sweeps.CONFIG)
 
 
 @query(

@@ -12,8 +12,10 @@ from loadscope.operators import arrivals, ordered, traces
 from loadscope.plans import trace_job
 
 TEMPLATE = ChatTemplate()
-SEED, ENTRIES, MAX_LENGTH, RATE = 42, 30, 200, 2.0
-CHAT_ENTRIES, REPLAY_RATE = 20, 5.0
+SEED, MAX_LENGTH, RATE, REPLAY_RATE = 42, 200, 2.0, 5.0
+#: Sample sizes follow the tables: a third of all conversations, a twelfth of all exchanges.
+ENTRIES = "(select count(distinct conv_id) // 3 from conversations)"
+CHAT_ENTRIES = "(select count(*) // 12 from chat_corpus)"
 RATES = (0.5, 1.0, 2.0)
 
 
@@ -21,8 +23,12 @@ def _exchanges(i):
     return traces.first_exchange_of_turns(i.turns)
 
 
-def _build(i, n=ENTRIES):
-    return traces.sample_entries(_exchanges(i), "conv_id", n, MAX_LENGTH, SEED)
+def entries_of(i) -> int:
+    return i.table("conversations").select("conv_id").distinct().count() // 3
+
+
+def _build(i):
+    return traces.sample_entries(_exchanges(i), "conv_id", entries_of(i), MAX_LENGTH, SEED)
 
 
 def _poisson(i, n, rate, seed):
@@ -82,13 +88,13 @@ def trace_corpus_filter(i):
       and not (turns = 2 and opening is not distinct from 'user' and reply is not distinct from 'assistant')""",
 )
 def trace_corpus_violations(i):
-    # The first three turns decide whether a conversation is exactly one exchange.
+    # Two messages are one exchange; of any other conversation the number of turns says enough.
     conv = F.col("conv_id")
     head = i.table("conversations").groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("turns"),
         *[
             F.max(F.when(F.col("turn") == t, F.struct("role", F.col("text").alias("content")))).alias(f"m{t}")
-            for t in range(3)
+            for t in range(2)
         ],
     )
     corpus = head.select(
@@ -97,7 +103,7 @@ def trace_corpus_violations(i):
         F.when(conv % 3 == 0, "gpt-3.5").otherwise("gpt-4").alias("model"),
         F.lit(1).alias("turn"),
         F.when(conv % 4 == 3, "French").otherwise("English").alias("language"),
-        F.array_compact(F.array("m0", "m1", "m2")).alias("conversation"),
+        F.when(F.col("turns") == 2, F.array("m0", "m1")).otherwise(F.array("m0")).alias("conversation"),
     )
     return traces.corpus_violations(corpus).select("conv_id", "turns")
 
@@ -166,7 +172,7 @@ def sample_variant_assign(i):
     from ({SAMPLE}) s join ({SCHEDULE}) a on a.ordinal = s.ordinal""",
 )
 def trace_build(i):
-    return traces.with_arrivals(_build(i), _poisson(i, ENTRIES, RATE, SEED))
+    return traces.with_arrivals(_build(i), _poisson(i, entries_of(i), RATE, SEED))
 
 
 @query(
@@ -175,16 +181,15 @@ def trace_build(i):
     with c as (select id, prompt, response,
                       row_number() over (order by {sql_hash('id', SEED)}, id) as try
                from chat_corpus where model = 'gpt-4' and turn = 1 and language = 'English'),
-    f as (select *, {sql_tokens('prompt')} as p, {sql_tokens('response')} as r from c where try <= {3 * CHAT_ENTRIES})
+    f as (select *, {sql_tokens('prompt')} as p, {sql_tokens('response')} as r from c where try <= 3 * {CHAT_ENTRIES})
     select row_number() over (order by try) - 1 as ordinal, id, p::int as prompt_length, r::int as response_length,
            0.0::double as arrival_time
     from f where p + r <= {MAX_LENGTH} qualify row_number() over (order by try) <= {CHAT_ENTRIES}""",
 )
 def trace_build_capped(i):
     pairs = traces.filter_corpus(i.chat_corpus)
-    entries = traces.sample_entries(
-        pairs, "id", CHAT_ENTRIES, MAX_LENGTH, SEED, candidates=traces.CANDIDATES_PER_ENTRY * CHAT_ENTRIES
-    )
+    n = i.chat_corpus.count() // 12
+    entries = traces.sample_entries(pairs, "id", n, MAX_LENGTH, SEED, candidates=traces.CANDIDATES_PER_ENTRY * n)
     return traces.with_arrivals(entries, None).drop("prompt", "response")
 
 
@@ -201,7 +206,7 @@ def trace_build_capped(i):
 def trace_build_grid(i):
     schedules = None
     for rate in RATES:
-        one = _poisson(i, ENTRIES, rate, SEED).withColumn("arrival_rate", F.lit(rate))
+        one = _poisson(i, entries_of(i), rate, SEED).withColumn("arrival_rate", F.lit(rate))
         schedules = one if schedules is None else schedules.unionByName(one)
     entries = _build(i).drop("prompt", "response")
     return traces.with_arrivals_by(entries, schedules, ["arrival_rate"])
@@ -251,7 +256,7 @@ def trace_with_warmup(i):
 )
 def trace_build_replay(i):
     entries, _ = trace_job.build_trace(
-        _exchanges(i), "conv_id", ENTRIES, MAX_LENGTH, SEED,
+        _exchanges(i), "conv_id", entries_of(i), MAX_LENGTH, SEED,
         trace_type="replay", arrival_rate=REPLAY_RATE, arrival_log=i.arrival_log,
     )
     return entries.drop("prompt", "response")

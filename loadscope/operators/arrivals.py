@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from loadscope.functions.randomness import uniform
 from loadscope.operators import ordered
+from loadscope.operators.checks import require
 from loadscope.session import write_table
 
 SECOND_US = 1_000_000
 SECOND_NS = 1e9
 SAMPLE_SEED = 42
 _EMIT = 8192
+#: Whole and half shapes up to this are drawn by column expressions.
+HALVES = 16
 
 
 # -- generated ------------------------------------------------------------------
@@ -76,6 +79,19 @@ def gamma_draws(ids: np.ndarray, shape: float, seed: int) -> np.ndarray:
     return out
 
 
+def _half_gamma(row_id: Column, shape: float, seed) -> Column:
+    """Unit-scale gamma variate for a whole or half shape: exponentials, and half a squared normal."""
+    draw = lambda k: uniform(row_id, f"{seed}g{k}")
+    parts = [-F.ln(F.lit(1.0) - draw(k)) for k in range(int(shape))]
+    if shape != int(shape):
+        wave = F.cos(F.lit(2 * math.pi) * draw("b"))
+        parts.append(-F.ln(F.lit(1.0) - draw("a")) * wave * wave)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out + p
+    return out
+
+
 def bursty(requests: DataFrame, row_id: str, rate: float, seed: int, burstiness: float = 1.0) -> DataFrame:
     """Gamma-distributed intervals with mean ``1/rate``; the first request is at 0.
 
@@ -88,6 +104,8 @@ def bursty(requests: DataFrame, row_id: str, rate: float, seed: int, burstiness:
         return requests.withColumn("arrival_time", F.lit(0.0))
     if burstiness == 1.0:
         interval = _interval_ns(F.col(row_id), rate, seed)
+    elif (2 * burstiness).is_integer() and burstiness <= HALVES:
+        interval = F.round(_half_gamma(F.col(row_id), burstiness, seed) * F.lit(SECOND_NS / (rate * burstiness))).cast("bigint")
     else:
         scale_ns = SECOND_NS / (rate * burstiness)
 
@@ -142,8 +160,6 @@ def replay(
     ).scalar()
     wanted = placed.withColumn("t", total)
     if on_short == "raise":
-        short = F.raise_error(F.lit(f"the scaled log has fewer than {n} arrivals")).cast("bigint")
-        wanted = wanted.withColumn("first", F.when(F.col("t.length") >= n, F.col("first")).otherwise(short))
         laps = wanted.withColumn("lap", F.lit(0).cast("bigint"))
     else:
         needed = F.ceil(F.lit(float(n)) / F.col("t.length"))
@@ -154,10 +170,14 @@ def replay(
     cut = cut.withColumn("size", F.least("size", F.lit(n) - F.col("start")))
     second = F.col("bucket") + F.col("lap") * F.col("t.last")
     arrivals = _spread(cut.select("start", "size", second.alias("second")), "size", "i", ["second", "start"])
-    return arrivals.select(
+    out = arrivals.select(
         (F.col("start") + F.col("i")).cast("bigint").alias("ordinal"),
         F.col("second").cast("double").alias("arrival_time"),
     )
+    if on_short == "wrap":
+        return out
+    length = buckets.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).scalar()
+    return require(out, length >= n, f"the scaled log has fewer than {n} arrivals")
 
 
 def _spread(rows: DataFrame, count: str, out: str, by: list[str]) -> DataFrame:
@@ -220,11 +240,8 @@ def upsample(log: DataFrame, row_id: str, column: str, n: int, have: int, seed)
     """
     copies = math.ceil(n / have)
     gap = min_gap(log, column).scalar()
-    if copies <= _EMIT:  # the usual case needs no shuffle
-        copied = log.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    else:
-        copied = _spread(log.withColumn("_copies", F.lit(copies)), "_copies", "copy", [row_id])
-        copied = copied.withColumn("copy", F.col("copy").cast("int")).drop("_copies")
+    copied = _spread(log.withColumn("_copies", F.lit(copies)), "_copies", "copy", [row_id])
+    copied = copied.withColumn("copy", F.col("copy").cast("int")).drop("_copies")
     twin = F.concat(F.col(row_id).cast("string"), F.lit("-"), F.col("copy").cast("string"))
     jitter = F.when(F.col("copy") > 0, uniform(twin, f"jitter{seed}") * gap / 10).otherwise(0.0)
     return sample_exactly(copied.withColumn(column, F.col(column) + jitter), twin, n, seed)
@@ -269,9 +286,8 @@ def rate_histogram(
         .groupBy(F.least(F.floor(F.col(column) / width), F.col("_last")).alias("bin"))
         .agg(amount.alias("amount"))
     )
-    axis = bins.where(F.col("bins").isNotNull()).select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("bins", F.lit(1)) - 1)).alias("bin")
-    )
+    # the axis grows with the time span, so it is unfolded in chunks by several tasks
+    axis = _spread(bins.where(F.col("bins").isNotNull()).select(F.greatest("bins", F.lit(1)).alias("bins")), "bins", "bin", [])
     return axis.join(counted, "bin", "left").select(
         "bin",
         (F.col("bin") * width + width / 2).cast("double").alias("center"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loadscope.functions.text import ChatTemplate, token_count
 from loadscope.operators import ordered
+from loadscope.operators.checks import require, require_rows
 
 # The reported thresholds, histogram bins and the QA categories.
 THRESHOLDS = (1024, 2048, 4096, 8000, 8192, 16384)
@@ -44,9 +45,8 @@ def first_n(rows: DataFrame, row_id: str, n: int, *, seed: int | None = None, st
     else:
         out = ordered.first_by_id(rows, row_id, n, "ordinal")
     if strict:
-        found = out.agg(F.count(F.lit(1)).alias("c")).scalar()
-        short = F.raise_error(F.lit(f"fewer than {n} rows")).cast("bigint")
-        out = out.withColumn("ordinal", F.when(found >= n, F.col("ordinal")).otherwise(short))
+        found = rows.agg(F.count(F.lit(1)).alias("c")).scalar()
+        out = require(out, found >= n, f"fewer than {n} rows")
     return out
 
 
@@ -170,7 +170,4 @@ def fixed_length_texts(rows: DataFrame, tokens: int, word: str = "token") -> Dat
     text = F.repeat(F.lit(word + " "), tokens - 1)
     exact = F.concat(text, F.lit(word))
     counted = rows.withColumn("text", exact).withColumn("token_count", token_count(F.col("text")))
-    wrong = F.raise_error(F.lit(f"the text does not have {tokens} tokens")).cast("int")
-    return counted.withColumn(
-        "token_count", F.when(F.col("token_count") == tokens, F.col("token_count")).otherwise(wrong)
-    )
+    return require_rows(counted, F.col("token_count") == tokens, f"the text does not have {tokens} tokens")

@@ -28,7 +28,6 @@ from loadscope.session import write_table
 
 CELL = 1 << 16
 HASH_CELL_BITS = 16
-SMALL_SAMPLE = 10_000
 _LOCAL_BITS = 33
 
 
@@ -91,32 +90,10 @@ def hash_rank(
     return rows.drop("_cell", "_key", "_tie", "_offset")
 
 
-def top_by_hash(df: DataFrame, row_id: Column, seed, n: int, out: str) -> DataFrame:
-    """The same first ``n`` positions for a table already known to be small.
-
-    Every task sends up to ``n`` rows to one, which is fine for a bounded table only.
-    """
-    top = (
-        df.withColumn("_key", hash52(row_id, seed))
-        .withColumn("_tie", row_id)
-        .orderBy("_key", "_tie")
-        .limit(n)
-    )
-    position = F.row_number().over(W.orderBy("_key", "_tie")) - 1
-    return top.withColumn(out, position.cast("bigint")).drop("_key", "_tie")
-
-
 def first_by_id(df: DataFrame, row_id: str, n: int, out: str) -> DataFrame:
-    """The first ``n`` rows in id order with their 0-based position.
-
-    Up to ``SMALL_SAMPLE`` rows this is a top-n; pass narrow rows. Beyond that the
-    table is sorted in runs.
-    """
-    if n > SMALL_SAMPLE:
-        numbered = row_number(df, [row_id], out)
-        return numbered.withColumn(out, F.col(out) - 1).where(F.col(out) < n)
-    position = F.row_number().over(W.orderBy(row_id)) - 1
-    return df.orderBy(row_id).limit(n).withColumn(out, position.cast("bigint"))
+    """The first ``n`` rows in id order with their 0-based position; ``n`` may grow with the table."""
+    numbered = row_number(df, [row_id], out)
+    return numbered.withColumn(out, F.col(out) - 1).where(F.col(out) < n)
 
 
 def sorted_runs(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadscope.operators import ordered
+from loadscope.operators.checks import require_rows
 from loadscope.operators.quantiles import quantiles
 
 # The measured grid and the load a measured step carries.
@@ -42,8 +43,7 @@ def ft_throughput(log: DataFrame, *, strict: bool = False) -> DataFrame:
         ((F.max("timestamp_us") - F.min("timestamp_us")) / F.lit(1e6)).alias("duration_s"),
     ).withColumn("is_balanced", F.col("fwd_tokens") == F.col("bwd_tokens"))
     if strict:
-        unequal = F.raise_error(F.lit("forward and backward fine-tuning tokens differ"))
-        out = out.withColumn("is_balanced", F.when(F.col("is_balanced"), True).otherwise(unequal))
+        out = require_rows(out, F.col("is_balanced"), "forward and backward fine-tuning tokens differ")
     return out.withColumn("throughput", F.try_divide("fwd_tokens", "duration_s"))
 
 
@@ -163,10 +163,21 @@ def guid_ranges(spark: SparkSession) -> DataFrame:
 def with_run(requests: DataFrame) -> DataFrame:
     """Attach run and grid cell to request rows by the id range of the run.
 
-    The range table has one row per grid cell, so it is broadcast.
+    The ranges are regular, so run and cell follow from the id by arithmetic;
+    ids outside all ranges are left out.
     """
-    ranges = guid_ranges(requests.sparkSession)
-    guid = F.col("request_guid")
-    return requests.join(
-        F.broadcast(ranges), (guid >= F.col("guid_lo")) & (guid < F.col("guid_hi"))
-    ).drop("guid_lo", "guid_hi")
+    offset = F.col("request_guid") - (FIRST_GUID + WARMUP_REQUESTS)
+    plain = len(BWD_LAYERS) * REQUESTS_PER_RUN
+    late = offset - plain
+    run = F.when(offset < plain, F.floor(offset / REQUESTS_PER_RUN)).otherwise(
+        F.when(late % (REQUESTS_PER_RUN + 1) < REQUESTS_PER_RUN, F.floor(late / (REQUESTS_PER_RUN + 1)) + len(BWD_LAYERS))
+    )
+    place = requests.where(offset >= 0).withColumn("_run", run.cast("int"))
+    at = lambda values, k: F.get(F.array(*[F.lit(v) for v in values]), k)
+    return (
+        place.where(F.col("_run") < len(FWD_TOKENS) * len(BWD_LAYERS))
+        .withColumn("num_finetuning_fwd_tokens", at(FWD_TOKENS, F.floor(F.col("_run") / len(BWD_LAYERS)).cast("int")))
+        .withColumn("num_bwd_layers", at(BWD_LAYERS, F.col("_run") % len(BWD_LAYERS)))
+        .withColumn("run_idx", F.col("_run") + 1)
+        .drop("_run")
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loadscope.operators import serving
+from loadscope.operators.checks import require_rows
 
 CONFIG = ["dataset", "model", "max_batch_size", "max_tokens_per_batch"]
 
@@ -80,20 +81,16 @@ def duplicate_keys(results: DataFrame, keys: list[str] | None = None) -> DataFra
 
 def lookup(results: DataFrame, expected: DataFrame, *, strict: bool = True) -> DataFrame:
     """The expected cells with their results; a duplicate raises, a missing cell raises if strict."""
-    duplicate = F.raise_error(F.lit("duplicate result key")).cast("double")
     unique = results.groupBy(*RESULT_KEY).agg(
         F.count(F.lit(1)).alias("rows"),
         F.any_value("mean_tpot_ms").alias("mean_tpot_ms"),
         F.any_value("output_throughput").alias("output_throughput"),
     )
-    checked = unique.withColumn(
-        "mean_tpot_ms", F.when(F.col("rows") == 1, F.col("mean_tpot_ms")).otherwise(duplicate)
-    ).drop("rows")
-    joined = expected.join(checked, RESULT_KEY, "left")
+    joined = expected.join(unique, RESULT_KEY, "left")
+    joined = require_rows(joined, F.coalesce("rows", F.lit(1)) == 1, "duplicate result key")
     if strict:
-        missing = F.raise_error(F.lit("a result file is missing")).cast("double")
-        joined = joined.withColumn("output_throughput", F.coalesce("output_throughput", missing))
-    return joined
+        joined = require_rows(joined, F.col("rows").isNotNull(), "a result file is missing")
+    return joined.drop("rows")
 
 
 # -- comparisons ----------------------------------------------------------------

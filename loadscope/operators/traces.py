@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loadscope.functions.text import ChatTemplate, token_count
 from loadscope.operators import ordered
+from loadscope.operators.checks import require, require_rows
 
 # The warm-up exchange, the long-entry mark, the placeholder text,
 # the corpus filter and the candidate factor.
@@ -73,8 +74,7 @@ def filter_corpus(corpus: DataFrame, *, strict: bool = True) -> DataFrame:
     talk = F.col("conversation")
     prompt = F.get(talk, F.lit(0))["content"]
     if strict:
-        wrong = F.raise_error(F.lit("expected one user and one assistant message"))
-        prompt = F.when(_two_messages(), prompt).otherwise(wrong)
+        rows = require_rows(rows, _two_messages(), "expected one user and one assistant message")
     else:
         rows = rows.where(_two_messages())
     others = [c for c in corpus.columns if c not in ("conversation", "model", "turn", "language")]
@@ -131,11 +131,8 @@ def sample_entries(
         return ordered.hash_rank(pairs, key, seed, "ordinal", upto=n, keep=fitting)
     tried = ordered.hash_rank(pairs, key, seed, "_try", upto=candidates)
     found = pairs.agg(F.count(F.lit(1)).alias("c")).scalar()
-    short = F.raise_error(F.lit(f"the corpus has fewer than {candidates} candidates")).cast("bigint")
-    tried = tried.where(F.when(found >= candidates, F.col("_try")).otherwise(short) >= 0).drop("_try")
-    if candidates <= ordered.SMALL_SAMPLE:
-        return ordered.top_by_hash(fitting(tried), key, seed, n, "ordinal")
-    return ordered.hash_rank(tried, key, seed, "ordinal", upto=n, keep=fitting)
+    sample = ordered.hash_rank(tried.drop("_try"), key, seed, "ordinal", upto=n, keep=fitting)
+    return require(sample, found >= candidates, f"the corpus has fewer than {candidates} candidates")
 
 
 def with_arrivals(entries: DataFrame, schedule: DataFrame | None) -> DataFrame:
@@ -147,8 +144,7 @@ def with_arrivals(entries: DataFrame, schedule: DataFrame | None) -> DataFrame:
 
 
 def _all_timed(entries: DataFrame) -> DataFrame:
-    missing = F.raise_error(F.lit("the arrival schedule is shorter than the trace")).cast("double")
-    return entries.withColumn("arrival_time", F.coalesce(F.col("arrival_time"), missing))
+    return require_rows(entries, F.col("arrival_time").isNotNull(), "the arrival schedule is shorter than the trace")
 
 
 def with_arrivals_by(entries: DataFrame, schedules: DataFrame, keys: list[str]) -> DataFrame:
@@ -188,8 +184,7 @@ def attach_pairs(
     usable = ranked.select("_rank", *[F.when(F.col("_fits"), F.col(c)).alias(c) for c in texts])
     joined = numbered.join(usable, numbered["ordinal"] == usable["_rank"], "left")
     if strict:
-        short = F.raise_error(F.lit("more rows than pairs")).cast("bigint")
-        joined = joined.withColumn("ordinal", F.coalesce("_rank", short))
+        joined = require_rows(joined, F.col("_rank").isNotNull(), "more rows than pairs")
     return joined.drop("_rank").withColumns(
         {
             "prompt": F.coalesce("prompt", F.lit(PLACEHOLDER)),

@@ -9,7 +9,6 @@ from loadscope import schemas
 from loadscope.functions.names import result_keys
 from loadscope.operators.client import BULKY_FIELDS
 
-DOCUMENT_ENTRIES = 100_000
 _ENTRY = [f.name for f in schemas.TRACE_ENTRY.fields]
 
 
@@ -19,27 +18,8 @@ def write_trace(entries: DataFrame, metadata: DataFrame, path: str) -> None:
     metadata.write.json(f"{path}/metadata")
 
 
-def write_trace_document(
-    entries: DataFrame, metadata: DataFrame, path: str, max_entries: int = DOCUMENT_ENTRIES
-) -> None:
-    """One JSON document, as replay tools expect; only for a bounded number of entries."""
-    found = entries.count()
-    if found > max_entries:
-        raise ValueError(f"{found} entries do not fit one document; use write_trace")
-    rows = entries.agg(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*_ENTRY).alias("e")))).alias("rows"))
-    entry_list = F.transform("rows", lambda r: r["e"]).alias("entries")
-    described = rows.select(entry_list).withColumn("metadata", metadata.select(F.struct("*")).scalar())
-    described.select(F.to_json(F.struct("entries", "metadata")).alias("value")).write.text(path)
-
-
-def read_trace_document(spark: SparkSession, path: str, max_requests: int | None = None) -> DataFrame:
-    """The first requests of a document in list order: ``ordinal, prompt, prompt_len, expected_output_len``."""
-    document = spark.read.schema(schemas.TRACE_DOCUMENT).option("multiLine", True).json(path)
-    return _head(document.select(F.posexplode("entries").alias("ordinal", "e")).select("ordinal", "e.*"), max_requests)
-
-
 def read_trace(spark: SparkSession, path: str, max_requests: int | None = None) -> DataFrame:
-    """The same from a folder; the position is stored with every entry."""
+    """The first requests in list order: ``ordinal, prompt, prompt_len, expected_output_len``; the position is stored with every entry."""
     schema = "ordinal bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.TRACE_ENTRY.fields)
     return _head(spark.read.schema(schema).json(f"{path}/entries"), max_requests)
 
