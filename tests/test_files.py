@@ -21,20 +21,15 @@ def entries(spark, n=5):
     return traces.with_lengths(base).withColumn("arrival_time", F.col("ordinal") / 2)
 
 
-def test_trace_folder_and_document(spark, folder):
+def test_trace_folder(spark, folder):
     e = entries(spark).repartition(3)
     meta = traces.metadata(e, "poisson", 1.0)
     files.write_trace(e, meta, folder)
-    files.write_trace_document(e, meta, folder + "-doc")
-    for got in (files.read_trace(spark, folder, 3), files.read_trace_document(spark, folder + "-doc", 3)):
-        assert sorted(rows(got)) == [(i, f'p"\n{i}', 2, 2) for i in range(3)]
-    text = spark.read.text(folder + "-doc").collect()
-    document = json.loads(text[0][0])
-    assert len(text) == 1 and [x["arrival_time"] for x in document["entries"]] == [0.0, 0.5, 1.0, 1.5, 2.0]
-    assert document["metadata"]["total_tokens"] == 20
+    assert sorted(rows(files.read_trace(spark, folder, 3))) == [(i, f'p"\n{i}', 2, 2) for i in range(3)]
+    lines = [json.loads(r[0]) for r in spark.read.text(f"{folder}/entries").collect()]
+    assert sorted(x["arrival_time"] for x in lines) == [0.0, 0.5, 1.0, 1.5, 2.0]
+    assert spark.read.json(f"{folder}/metadata").first()["total_tokens"] == 20
     assert files.read_trace(spark, folder).count() == 5
-    with pytest.raises(ValueError):
-        files.write_trace_document(e, meta, folder + "-big", max_entries=4)
 
 
 def test_text_round_trip(spark, folder):

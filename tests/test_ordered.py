@@ -81,8 +81,6 @@ def test_hash_rank_does_not_depend_on_partitions(facts, parts):
     assert (got.r.to_numpy() == np.arange(len(frame))).all()
     first = ordered.hash_rank(df, F.col("id"), 42, "r", upto=100, bits=6).toPandas().sort_values("r")
     assert list(first.id) == list(got.id[:100])
-    top = ordered.top_by_hash(df, F.col("id"), 42, 100, "r").toPandas().sort_values("r")
-    assert list(top.id) == list(first.id)
 
 
 def test_hash_rank_keep_ranks_survivors_only(facts):
@@ -92,13 +90,11 @@ def test_hash_rank_keep_ranks_survivors_only(facts):
     assert list(even.sort_values("r").id) == list(whole.id[:50])
 
 
-def test_first_by_id_two_ways(facts, monkeypatch):
+@pytest.mark.parametrize("n", [25, 4000])
+def test_first_by_id(facts, n):
     _, df = facts
-    small = ordered.first_by_id(df, "id", 25, "o").toPandas().sort_values("o")
-    monkeypatch.setattr(ordered, "SMALL_SAMPLE", 10)
-    large = ordered.first_by_id(df, "id", 25, "o").toPandas().sort_values("o")
-    assert list(small.id) == list(large.id) == list(range(25))
-    assert list(large.o) == list(range(25))
+    got = ordered.first_by_id(df, "id", n, "o").toPandas().sort_values("o")
+    assert list(got.id) == list(got.o) == list(range(n))
 
 
 def test_empty_input(spark):

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loadscope.operators import quantiles as module
 from loadscope.operators.quantiles import quantiles
 
 PROBS = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
@@ -17,18 +18,43 @@ def values(spark):
     return frame, spark.createDataFrame(frame).repartition(6)
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 1000, 200])
-def test_exact_with_and_without_brackets(values, accuracy):
+@pytest.mark.parametrize("rounds,points", [(2, 1000), (1, 50), (3, 20), (0, 10)])
+def test_exact_with_any_number_of_rounds(values, rounds, points):
     frame, df = values
-    got = quantiles(df, ["k"], ["x"], PROBS, extra={"mean": F.avg}, accuracy=accuracy).toPandas().sort_values("k")
+    how = {"rounds": rounds, "points": points, "accuracy": 1000}
+    got = quantiles(df, ["k"], ["x"], PROBS, extra={"mean": F.avg}, **how).toPandas().sort_values("k")
     groups = frame.groupby("k").x
     for name, p in PROBS.items():
         assert np.allclose(got[name], groups.quantile(p), rtol=1e-12)
     assert np.allclose(got["mean"], groups.mean()) and list(got["n"]) == list(groups.size())
-    whole = quantiles(df, [], ["x"], PROBS, accuracy=accuracy).toPandas()
+    whole = quantiles(df, [], ["x"], PROBS, **how).toPandas()
     assert np.allclose(whole[list(PROBS)].iloc[0], frame.x.quantile(list(PROBS.values())), rtol=1e-12)
 
 
+@pytest.mark.parametrize("n", [1, 2, 100, 1_000_000])
+def test_one_path_for_every_size(spark, n):
+    """The rows that are ordered in one task are a falling share of the group."""
+    df = spark.range(n).select(((F.col("id") * 7919) % n).cast("double").alias("x"))
+    got = quantiles(df, [], ["x"], {"p50": 0.5, "p99": 0.99}).first()
+    assert (got.n, got.p50, got.p99) == (n, (n - 1) * 0.5, pytest.approx((n - 1) * 0.99))
+
+
+def ordered_rows(df, n):
+    group = ["metric"]
+    values = df.select(F.lit("x").alias("metric"), "x")
+    bounds = df.sparkSession.range(1).selectExpr("'x' metric", "0 i", f"{0.5 * (n - 1)}D at", "cast(null as double) low", "cast(null as double) high")
+    for _ in range(module.ROUNDS):
+        bounds = module._narrowed(values, bounds, group, module.ACCURACY, module.POINTS)
+    b = bounds.first()
+    return df.where(F.col("x").between(b.low, b.high)).count()
+
+
+def test_the_ordered_share_falls(spark):
+    frames = {n: spark.range(n).select(((F.col("id") * 7919) % n).cast("double").alias("x")) for n in (20_000, 2_000_000)}
+    left = {n: ordered_rows(df, n) for n, df in frames.items()}
+    assert left[2_000_000] < 2_000_000 // 5_000 and left[2_000_000] / 2_000_000 < left[20_000] / 20_000
+
+
 def test_nulls_groups_without_values_and_empty_input(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0), ("b", None), (None, 7.0)], "k string, x double")
     got = {r.k: (r.n, r.p50) for r in quantiles(df, ["k"], ["x"], {"p50": 0.5}).collect()}
@@ -37,13 +63,6 @@ def test_nulls_groups_without_values_and_empty_input(spark):
     assert quantiles(df.where("false"), ["k"], ["x"], {"p50": 0.5}).count() == 0
 
 
-def test_only_the_bracket_is_ordered(values):
-    """With a coarse sketch most values must be counted below or dropped above the bracket."""
-    _, df = values
-    plan = quantiles(df, [], ["x"], {"p99": 0.99}, accuracy=1000)._jdf.queryExecution().executedPlan().toString()
-    assert "percentile_approx" in plan and "percentile(" not in plan
-
-
 def test_several_columns_share_the_passes(values):
     frame, df = values
     two = df.withColumn("y", F.col("x") * -2)

@@ -80,13 +80,11 @@ def test_cap_is_inclusive_and_first_survivors_are_taken(pairs):
     assert few.count() == 5  # fewer survivors than asked for
 
 
-def test_candidate_cap(pairs, monkeypatch):
+def test_candidate_cap(pairs):
     shuffled = [r.id for r in ordered.hash_rank(pairs, F.col("id"), 3, "r").orderBy("r").collect()]
     want = [i for i in shuffled[:12] if i + 1 <= 20][:4]
-    for limit in (10_000, 1):
-        monkeypatch.setattr(ordered, "SMALL_SAMPLE", limit)
-        got = traces.sample_entries(pairs, "id", 4, 20, 3, candidates=12).orderBy("ordinal").collect()
-        assert [r.id for r in got] == want
+    got = traces.sample_entries(pairs, "id", 4, 20, 3, candidates=12).orderBy("ordinal").collect()
+    assert [r.id for r in got] == want
     with pytest.raises(PySparkException):
         traces.sample_entries(pairs, "id", 4, 20, 3, candidates=41).collect()
 
