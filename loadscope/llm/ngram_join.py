@@ -44,7 +44,7 @@ BLOCK = 256
 #: Bits of the filter that picks the documents whose sets are compared.
 BITMAP = 1 << 25
 
-_POINTS = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, leaves array<bigint>, point array<int>"
+_POINTS = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, leaves array<bigint>, point binary"
 
 
 def _bound(size: int, percent: int) -> int:
@@ -73,6 +73,16 @@ def coordinates(size: int) -> int:
     return max(COORDINATES, 1 << (size // 2).bit_length())
 
 
+def packed(point: np.ndarray) -> bytes:
+    """A point in as few bytes as its largest coordinate needs; the first byte is the width."""
+    width = 1 if point.max(initial=0) < 256 else 4
+    return bytes((width,)) + point.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int32)
+
+
 def folded(point: np.ndarray, groups: int) -> np.ndarray:
     """A point in fewer groups: a coordinate is the hash modulo the number of groups, so the parts add up."""
     return point if len(point) == groups else point.reshape(-1, groups).sum(axis=0)
@@ -118,14 +128,14 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 keys.append(leaves(s, percent).view(np.int64))
                 groups = coordinates(len(s))
                 counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-                vectors.append(counts.astype(np.int32))
+                vectors.append(packed(counts))
             lists = lambda parts, kind: pa.ListArray.from_arrays(
                 pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))), pa.int32()),
                 pa.array(np.concatenate(parts) if parts else np.zeros(0), kind),
             )
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(one, pa.int64()),
-                 pa.array(two, pa.int64()), lists(keys, pa.int64()), lists(vectors, pa.int32())],
+                 pa.array(two, pa.int64()), lists(keys, pa.int64()), pa.array(vectors, pa.binary())],
                 ["doc_id", "n_shingles", "f1", "f2", "leaves", "point"],
             )
 
@@ -169,8 +179,8 @@ def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
             keep = []
-            for x, y, k in zip(batch.column("pa"), batch.column("pb"), range(len(batch)), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
+            for x, y, k in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), range(len(batch)), strict=True):
+                x, y = unpacked(x), unpacked(y)
                 groups = min(len(x), len(y))
                 most = int(np.minimum(folded(x, groups), folded(y, groups)).sum())
                 keep.append((100 + percent) * most >= percent * int(na[k] + nb[k]))
@@ -268,7 +278,7 @@ def _inside(members: DataFrame, label: DataFrame, classes: DataFrame, percent: i
         i, j = key[1].as_py(), key[2].as_py()
         take = lambda name: group.column(name).to_numpy()
         own, rep, comp, size = take("own"), take("rep"), take("comp"), take("n_shingles")
-        points = [p.values.to_numpy() for p in group.column("point")]
+        points = [unpacked(p) for p in group.column("point").to_pylist()]
         groups = min(map(len, points))
         point = np.array([folded(p, groups) for p in points])
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
