@@ -10,9 +10,10 @@ sets of similarity ``t`` differ in at most ``d = (1 - t) |union|`` shingles; wit
 ``d + 1`` groups, at least one group is the same in both, count and content. A
 leaf is therefore one group with one content. Sizes fall into classes (ratio
 ``CLASS_RATIO``), each with its own number of groups; a document that may have
-partners in the class below is indexed there too. If the only groups that agree
-are empty ones, both documents have that many empty groups: such documents also
-enter leaves of single shingles (the first ``d + 1`` by hash). No pair is lost.
+partners in the class below is indexed there too. With ``d + 1 + s`` groups, ``s + 1``
+agree; if these are all empty, both documents have more than ``s`` empty groups.
+Such documents, few by the choice of ``s``, also enter leaves of single shingles
+(the first ``d + 1`` by hash). No pair is lost.
 
 Inside a leaf no list of pairs is made. Members are first compared with the leaf's
 smallest document, and those that link join its component. Only then do members
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,9 +65,20 @@ def _class_start(c: int) -> int:
     return n
 
 
-def _class_groups(c: int, percent: int) -> int:
-    """Groups of a class: one more than a pair can differ in whose smaller set is of the class."""
-    return _bound(_class_start(c + 1) - 1, percent) + 1
+def _class_layout(c: int, percent: int) -> tuple[int, int]:
+    """Shingles that a pair can differ in whose smaller set is of the class, and the groups of the class.
+
+    One group more than the differences would do; the others allow for the empty
+    groups of all but a few sets.
+    """
+    differ = _bound(_class_start(c + 1) - 1, percent)
+    groups = differ + 1
+    while True:
+        empty = groups * math.exp(-_class_start(c) / groups)
+        spare = math.ceil(empty + 4 * math.sqrt(empty)) if differ else 0
+        if groups >= differ + 1 + min(spare, differ):
+            return differ, groups
+        groups += 1
 
 
 def coordinates(size: int) -> int:
@@ -88,27 +101,29 @@ def folded(point: np.ndarray, groups: int) -> np.ndarray:
     return point if len(point) == groups else point.reshape(-1, groups).sum(axis=0)
 
 
+@cache
+def _classes(size: int, percent: int) -> list[tuple[int, int, int]]:
+    """``(class, differ, groups)`` of the classes that index a set."""
+    c = size_class(size)
+    both = [c] if not c or size * percent > 100 * (_class_start(c) - 1) else [c, c - 1]
+    return [(k, *_class_layout(k, percent)) for k in both]
+
+
 def leaves(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Leaf keys of one sorted distinct set."""
     n = len(shingles)
     if n == 0:
         return np.zeros(0, np.uint64)
-    c = size_class(n)
-    classes = [c]
-    if c and n * percent <= 100 * (_class_start(c) - 1):
-        classes.append(c - 1)
     found = []
     bodies = mixed(shingles)
-    for k in classes:
-        groups = _class_groups(k, percent)
+    for k, differ, groups in _classes(n, percent):
         # groups are ranges of the hash, so they are contiguous in the sorted set
         at = ((shingles >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         counts = np.diff(np.append(first, n)).astype(np.uint64)
         content = np.add.reduceat(bodies, first)
-        tag = mixed(at[first] + np.uint64((k << 40) + (groups << 48)))
+        tag = mixed(at[first] + np.uint64(k << 40))
         found.append(mixed(mixed(content + tag) + counts))
-        differ = groups - 1
         if groups - len(first) >= groups - differ:
             found.append(mixed(shingles[: differ + 1] ^ mixed(np.array([k + 1], np.uint64))))
     return np.concatenate(found)
