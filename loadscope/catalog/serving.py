@@ -137,28 +137,29 @@ def _run_record(i):
     metrics = client.summary(i.client_output, i.duration_s, client.parse_slo(_SLO))
     blocks = client.latency_blocks(i.client_output).select(F.struct("*").alias("b"))
     merged = metrics.withColumn("_b", blocks.scalar()).select("*", "_b.*").drop("_b")
-    return client.run_record(_CONFIG, merged, _METADATA)
+    config = {**_CONFIG, "num_prompts": i.client_output.count(), "max_concurrency": 64}
+    return client.run_record(config, merged, _METADATA)
 
 
-@query(
-    "serving_run_record",
-    f"""
-    select '20240101-000000' as date, 'spark' as backend, 'org/model_a' as model_id,
-           'inf' as request_rate, '0.3.3' as version, '1' as tp, 'a' as flags,
+RECORD_SQL = f"""
+    select '20240101-000000' as date, 'spark' as backend, 'org/model_a' as model_id, 'org/model_a' as tokenizer_id,
+           'inf' as request_rate, 1.0::double as burstiness, (select count(*) from client_output)::bigint as num_prompts, 64 as max_concurrency,
+           '0.3.3' as version, '1' as tp, 'a' as flags,
            count(*) filter (success) as completed, sum(output_len)::bigint as total_output_tokens,
            round(count(*) filter ({_GOOD}) / max(dur_s), 12) as request_goodput
-    from client_output cross join dur""",
-)
-def serving_run_record(i):
-    record = _run_record(i)
+    from client_output cross join dur"""
+
+
+def record_fields(record):
+    """The configuration, metadata and some metrics of a run record."""
     meta = [F.col("metadata")[k].alias(k) for k in ("version", "tp", "flags")]
-    return rounded(
-        record.select(
-            "date", "backend", "model_id", "request_rate", *meta, "completed",
-            "total_output_tokens", "request_goodput",
-        ),
-        12,
-    )
+    config = ["date", "backend", "model_id", "tokenizer_id", "request_rate", "burstiness", "num_prompts", "max_concurrency"]
+    return rounded(record.select(*config, *meta, "completed", "total_output_tokens", "request_goodput"), 12)
+
+
+@query("serving_run_record", RECORD_SQL)
+def serving_run_record(i):
+    return record_fields(_run_record(i))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,29 @@ def read_results(spark: SparkSession, path: str | list[str], models: list[str])
     raw = spark.read.schema(schemas.SERVING_RESULT).option("multiLine", True).json(path)
     named = raw.select("*", F.col("_metadata.file_path").alias("path"))
     return named.withColumns(result_keys(F.col("path"), models)).drop("path")
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines, written in parallel."""
+    rows.write.json(path)
+
+
+def write_named(rows: DataFrame, name: str, folder: str, kind: str, **options) -> None:
+    """One file per value of ``name`` in ``folder``, as tools with keys in file names expect.
+
+    Each file is written by one task; the files are renamed, not copied. Their
+    number is that of the configurations of a sweep.
+    """
+    staged = f"{folder}/_staged"
+    rows.repartition(name).write.partitionBy(name).format(kind).options(**options).save(staged)
+    context = rows.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path
+    files = place(staged).getFileSystem(context._jsc.hadoopConfiguration())
+    for part in files.listStatus(place(staged)):
+        if not part.isDirectory():
+            continue
+        value = unquote(part.getPath().getName().partition("=")[2])
+        for file in files.listStatus(part.getPath()):
+            if file.getPath().getName().startswith("part-"):
+                files.rename(file.getPath(), place(f"{folder}/{value}"))
+    files.delete(place(staged), True)
