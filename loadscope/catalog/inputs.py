@@ -9,18 +9,15 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loadscope.operators import ordered
-from loadscope.session import write_table
 
 # Fixed values of the derived inputs, the same in Spark and SQL.
 FIRST_GUID = 1_000_000
 WARMUP_USERS = 10
 EPOCH_US = 1_704_067_200_000_000
 
-_prepared: dict[tuple[str, str, str], DataFrame] = {}
-
 
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -31,13 +28,6 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def _prepare(self, name: str, build) -> DataFrame:
-        """Build a derived table once per session and keep it in the shared folder."""
-        key = (self.spark.sparkContext.applicationId, self.dir, name)
-        if key not in _prepared:
-            _prepared[key] = write_table(build(), name)
-        return _prepared[key]
-
     # -- logs ---------------------------------------------------------------
 
     @property
@@ -52,13 +42,10 @@ class Inputs:
 
     @property
     def request_log(self) -> DataFrame:
-        return self._prepare("request_log", self._request_log)
-
-    def _request_log(self) -> DataFrame:
+        """A request is one user's events in order: a request's marks are few, whatever the table."""
         events = self.events.select("user_id", "t", "event_id")
-        runs = ordered.sorted_runs(events, ["user_id", "t", "event_id"])
-        numbered = ordered.run_row_number_by(runs, ["user_id"], "rn")
-        marks = ordered.run_lag(numbered, {"previous_us": "t"}, ["user_id"])
+        own = W.partitionBy("user_id").orderBy("t", "event_id")
+        marks = events.withColumns({"rn": F.row_number().over(own), "previous_us": F.lag("t").over(own)})
         user = F.col("user_id")
         return marks.select(
             (F.lit(FIRST_GUID) + user).cast("bigint").alias("request_guid"),
