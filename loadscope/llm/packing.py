@@ -16,8 +16,10 @@ row, so copies and large sources spread over all shards.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadscope.llm.token_counts import byte_symbols
 from loadscope.session import write_table
 
 WINDOW = 2048
 SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
-#: Cached words of a worker; the cache is emptied when it is full.
-CACHE_WORDS = 400_000
+#: Cached words, and cached parts of words, of a worker; a cache is emptied when it is full.
+CACHE_WORDS = 600_000
 #: Ids of the vocabulary are below this.
 VOCABULARY = 1 << 16
 
@@ -40,34 +43,85 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 _WHOLE, _REST, _COUNTS = 0, 1, 2
 
 
-def word_ids(path: str) -> Callable[[bytes], bytes]:
-    """Token ids of a UTF-8 text as little-endian 16-bit numbers.
+#: The vocabulary's words, in either case.
+_PARTS_OF_WORD = r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 
-    The vocabulary drops white space and never joins words across it, so words
-    between ASCII blanks are looked up one by one and only new ones are tokenized.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    encode = Tokenizer.from_file(path).encode_batch_fast
-    cache: dict[bytes, bytes] = {}
+#: Words of other letters are left whole to the library: classes of new characters differ between its parts and ours.
+_COMMON = re.compile("[\x00-\u05ff]*")
+
+
+class WordIds:
+    """Token ids of UTF-8 texts as little-endian 16-bit numbers; holds the caches of a worker.
+
+    The vocabulary drops white space and never joins words across it, so words between
+    ASCII blanks are looked up one by one. A new word is looked up by its parts, runs
+    of letters or signs, and only new parts are merged by the library's model. Words that
+    normalisation could change across parts, that may hold a special string or have
+    rarer letters go through the whole tokenizer.
+    """
 
-    def ids(text: bytes) -> bytes:
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.split = regex.compile(_PARTS_OF_WORD).findall
+        self.symbols = str.maketrans({chr(b): c for c, b in byte_symbols().items()})
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a run of letters or signs, lower-cased letter by letter."""
+        if part.isascii():
+            low = part.lower()
+            if not low.isprintable():
+                low = low.translate(self.symbols)
+        else:
+            low = "".join([c.lower() for c in part]).encode().decode("latin-1").translate(self.symbols)
+        return np.array([t.id for t in self.merge(low)], dtype="<u2").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        common = text.isascii() or (_COMMON.fullmatch(text) and "\u0130" not in text and unicodedata.is_normalized("NFC", text))
+        if not common or "<|" in text:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        out = []
+        for part in self.split(text):
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = self.parts[part] = self._part(part)
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def _learn(self, new: set[bytes], words: list[bytes]) -> None:
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+            new = set(words)
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        for word in new:
+            self.words[word] = self._word(word)
+
+    def __call__(self, text: bytes) -> bytes:
         words = text.split()
-        found = list(map(cache.get, words))
+        found = list(map(self.words.get, words))
         if None in found:
-            new = list({w for w, x in zip(words, found, strict=True) if x is None})
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for w, e in zip(part, encode([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    cache[w] = np.asarray(e.ids, dtype="<u2").tobytes()
-            found = list(map(cache.__getitem__, words))
+            self._learn({w for w, x in zip(words, found, strict=True) if x is None}, words)
+            found = list(map(self.words.__getitem__, words))
         return b"".join(found)
 
-    return ids
+
+_of_path: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One per worker and vocabulary."""
+    if path not in _of_path:
+        _of_path[path] = WordIds(path)
+    return _of_path[path]
 
 
 def _crc(ids: np.ndarray) -> int:

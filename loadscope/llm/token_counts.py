@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -38,7 +39,7 @@ _SEGMENT = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _SYNC = re.compile(rb"[^\t-\r ][\t-\r ]")
 
 
-def _byte_of_symbol() -> dict[str, int]:
+def byte_symbols() -> dict[str, int]:
     """Printable stand-ins of the vocabulary file to bytes: bytes that print stand for themselves, the others follow from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -51,7 +52,7 @@ class Transducer:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        symbols = _byte_of_symbol()
+        symbols = byte_symbols()
         special = {t["content"] for t in spec["added_tokens"]}
         raw = lambda s: bytes(symbols[c] for c in s)
         self.special = [s.encode() for s in special]
@@ -201,6 +202,10 @@ class Counter:
 
     def _segment(self, text: str) -> int:
         total = 0
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
+            # characters newer than the library are signs to it
+            known = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in text)
+            return sum(self.transducer.count(text[m.start() : m.end()].encode()) for m in self.words.finditer(known))
         for word in self.words.findall(text):
             n = self.of_word.get(word)
             if n is None:

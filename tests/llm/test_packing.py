@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -21,6 +23,23 @@ def ids(text):
     return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 1]
 
 
+WORDS = st.sampled_from([" ", "\n", "\x1c", "\xa0", "a", "Tion", "e\u0301", "\u0130", "'S", "'ll", "'", "\u017f", "9", "\u0663", "**", ".", "\u3042", "<|endoftext|>", "<|", "\u212b", "\u03a3"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(WORDS, max_size=25).map("".join) | st.text(max_size=40))
+def test_ids_like_the_library(text):
+    found = packing.word_ids(PATH)(text.encode())
+    assert np.frombuffer(found, "<u2").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_caches_are_emptied(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    ids_of = packing.WordIds(PATH)
+    for text in ("one two three four", "five six seven eight nine ten one two", "one eleven"):
+        assert np.frombuffer(ids_of(text.encode()), "<u2").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def texts(n):
     rng = random.Random(n)
     topics = [[chr(base + k) * 2 for k in range(30)] for base in (0x430, 0x3AC, 0x5D0, 0x4E00, 0xAC00, 0x3042)]

@@ -16,7 +16,7 @@ COUNTER = T.Counter(PATH)
 ODD = [
     "", " ", "\n", "a", "hello world", "don't we'll I'd 'sx ''t", "  two  spaces\n\n tab\t", "a  b    c", "a\x1c b\x1f", " x 　 y",
     "<|endoftext|>", "a<|endoftext|>b <|endoftext|>", "<|endoftext", "1234567 12.5 x2y", "ééé ñandú größe", "日本語のテキスト です", "🙂🙃 🙂",
-    "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "==== ---- ####", "x" * 5000, " " * 300 + "x", "\n" * 50, "á è", "\u0000\u0001 z",
+    "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "==== ---- ####", "x" * 5000, " " * 300 + "x", "\n" * 50, "á è", "\u0000\u0001 z", ":\U000323b0 x\U000323b0",
 ]
 
 
