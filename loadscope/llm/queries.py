@@ -125,10 +125,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op9_embedding_dedup",
     """
     with recursive v as (
-      select vec_id, list_transform(embedding, x -> cast(x as double)) as e from embeddings
+      select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
     ), g as (
       select vec_id, e from v
-      where e is not null and len(e) > 0 and len(list_filter(e, x -> x is null or not isfinite(x))) = 0 and len(list_filter(e, x -> x <> 0)) > 0
+      where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
     ), l as (
       select a.vec_id as x, b.vec_id as y from g a join g b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95
     ), r as (select vec_id as node, vec_id as reach from v union select r.node, l.y from r join l on r.reach = l.x)
@@ -146,11 +146,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""
     with recursive w as (
       select doc_id, list_filter(regexp_extract_all(
-        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), x -> x <> '') as w
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x <> '') as w
       from documents
     ), s as (
       select doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 3 then [array_to_string(w, ' ')]
-        else list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end) as g
+        else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end) as g
       from w
     ), n as (select doc_id, count(*) as n from s group by doc_id),
     o as (
