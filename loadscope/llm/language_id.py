@@ -13,6 +13,7 @@ Words of equal length are computed together.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ UNKNOWN = 1e-7
 SMOOTHING = 0.05
 PASSES = 2
 #: Words a worker collects or keeps at a time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
@@ -214,36 +215,59 @@ def learn(labelled: DataFrame, path: str, passes: int = PASSES) -> Model:
     return Model(path, languages, probability)
 
 
+class Scorer:
+    """Log-likelihoods of words; holds the cache of a worker."""
+
+    def __init__(self, path: str, probability: np.ndarray):
+        self.pieces, self.table = Pieces(path), _tables(probability)
+        self.row_of: dict[str, int] = {}
+        self.known = np.zeros((1 << 12, self.table.shape[1]))
+
+    def totals(self, texts: list[list[str]]) -> list[np.ndarray | None]:
+        """Log-likelihood of every language for each list of words; None without words."""
+        row_of = self.row_of
+        new = list({w for ws in texts for w in ws if w not in row_of})
+        if row_of and len(row_of) + len(new) > CACHE_WORDS:
+            row_of.clear()
+            new = list({w for ws in texts for w in ws})
+        if new:
+            first, last = len(row_of), len(row_of) + len(new)
+            row_of.update(zip(new, range(first, last), strict=True))
+            if last > len(self.known):
+                self.known = np.vstack([self.known, np.zeros((max(len(self.known), last - len(self.known)), self.known.shape[1]))])
+            self.known[first:last] = log_likelihood(self.pieces, self.table, new)
+        return [self.known[list(map(row_of.__getitem__, ws))].sum(axis=0) if ws else None for ws in texts]
+
+
+_scorers: dict[tuple[str, str], Scorer] = {}
+
+
+def _scorer(path: str, probability: np.ndarray) -> Scorer:
+    """The worker's scorer of a model; that of another model is dropped."""
+    key = (path, hashlib.md5(probability.tobytes()).hexdigest())
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(path, probability)
+    return _scorers[key]
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score``: the likeliest language and its share of the likelihoods."""
     shared = docs.sparkSession.sparkContext.broadcast(model.probability)
     languages, path = model.languages, model.path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, table = Pieces(path), _tables(shared.value)
-        row_of: dict[str, int] = {}
-        known = np.zeros((1 << 12, table.shape[1]))
+        scorer = _scorer(path, shared.value)
         for batch in batches:
             texts = batch.column("text")
             predicted, scores = [], []
             for at in range(0, len(texts), 256):
-                part = [words_of(t) if t else [] for t in texts.slice(at, 256).to_pylist()]
-                new = list({w for ws in part for w in ws if w not in row_of})
-                if len(row_of) + len(new) > CACHE_WORDS and row_of:
-                    row_of.clear()
-                    new = list({w for ws in part for w in ws})
-                if new:
-                    first = len(row_of)
-                    row_of.update(zip(new, range(first, first + len(new)), strict=True))
-                    if first + len(new) > len(known):
-                        known = np.vstack([known, np.zeros((max(len(known), first + len(new) - len(known)), table.shape[1]))])
-                    known[first : first + len(new)] = log_likelihood(pieces, table, new)
-                for ws in part:
-                    if not ws or not languages:
+                part = [words_of(t) if t and languages else [] for t in texts.slice(at, 256).to_pylist()]
+                for total in scorer.totals(part):
+                    if total is None:
                         predicted.append("und")
                         scores.append(0.0)
                         continue
-                    total = known[list(map(row_of.__getitem__, ws))].sum(axis=0)
                     best = int(total.argmax())
                     predicted.append(languages[best])
                     scores.append(float(1 / np.exp(total - total[best]).sum()))
