@@ -42,12 +42,22 @@ def prefix_sum(
 ) -> DataFrame:
     """Running sum of an integer column in the order of a unique integer id.
 
-    Two shuffles at most: the window and the join both use the cell, so they
-    share one, and the cell totals are map-side aggregated.
+    The rows are shuffled once: the window and the join both use the cell, and the
+    cell totals are map-side aggregated. The totals are summed in two levels, so only
+    one row per ``cell * cell`` ids is ordered globally, also where ids are sparse and
+    a cell holds few rows.
     """
     rows = df.withColumn("_cell", F.floor(F.col(row_id) / F.lit(cell)))
     totals = rows.groupBy("_cell").agg(F.sum(value).cast("bigint").alias("_total"))
-    offsets = _before(totals, "_cell", "_total", "_offset").select("_cell", "_offset")
+    totals = totals.withColumn("_block", F.floor(F.col("_cell") / F.lit(cell)))
+    blocks = totals.groupBy("_block").agg(F.sum("_total").alias("_amount"))
+    bases = _before(blocks, "_block", "_amount", "_base").select("_block", "_base")
+    in_block = W.partitionBy("_block").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        totals.withColumn("_near", F.coalesce(F.sum("_total").over(in_block), F.lit(0)))
+        .join(bases, "_block")
+        .select("_cell", (F.col("_near") + F.col("_base")).alias("_offset"))
+    )
     inside = W.partitionBy("_cell").orderBy(row_id)
     running = F.sum(value).over(inside.rowsBetween(W.unboundedPreceding, 0))
     if not inclusive:

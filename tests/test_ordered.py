@@ -74,6 +74,14 @@ def test_prefix_sum(facts, cell, inclusive):
     assert (got.s.to_numpy() == want.to_numpy()).all()
 
 
+def test_prefix_sum_of_sparse_ids(spark):
+    ids = [3, 70_000, 5_000_000, 5_000_001, 9_000_000_000_000]
+    df = spark.createDataFrame([(i, k + 1) for k, i in enumerate(ids)], "id bigint, v bigint")
+    for cell in (16, 1 << 16):
+        got = {r.id: r.s for r in ordered.prefix_sum(df, "id", "v", "s", cell=cell).collect()}
+        assert got == dict(zip(ids, [1, 3, 6, 10, 15], strict=True))
+
+
 @pytest.mark.parametrize("parts", [1, 4, 16])
 def test_hash_rank_does_not_depend_on_partitions(facts, parts):
     frame, df = facts
