@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadscope.llm.sampling import first_by_hash
+
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: The patterns, the group that holds the value and its least length.
 KINDS = ("assign", "access", "hex")
@@ -82,7 +84,7 @@ def _pairs(strings: DataFrame) -> DataFrame:
 def samples(found: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """``random, s`` from at most ``rows`` documents with pattern matches: matched values, and the other runs."""
     spans = F.concat("assign", "access", "hex")
-    chosen = found.where(F.size(spans) > 0).orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id").limit(rows)
+    chosen = first_by_hash(found.where(F.size(spans) > 0), "doc_id", rows)
     values = F.transform(spans, lambda s: F.when(s["rank"] == 0, F.regexp_extract(s["value"], ASSIGN, 2)).otherwise(s["value"]))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("text"), ASSIGN, " "), ACCESS, " "), HEX, " ")
     labelled = chosen.select(

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadscope.llm.sampling import first_by_hash
 from loadscope.session import write_table
 
 #: Most labelled documents to learn from, and most terms to learn.
@@ -305,11 +306,8 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learn from at most ``rows`` labelled documents, the first by a hash of the id."""
-    chosen = (
-        labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-        .groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
-        .orderBy(F.md5(F.col("doc_id").cast("string"))).limit(rows)
-    )
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    chosen = first_by_hash(known.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")), "doc_id", rows)
     # at most ``rows`` pairs of numbers are broadcast
     sample = write_table(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
     words = dict(sample.groupBy("toxic").agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))).cast("double")).collect())
