@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -81,7 +82,8 @@ class WordIds:
                 low = low.translate(self.symbols)
         else:
             low = "".join([c.lower() for c in part]).encode().decode("latin-1").translate(self.symbols)
-        return np.array([t.id for t in self.merge(low)], dtype="<u2").tobytes()
+        ids = [t.id for t in self.merge(low)]
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
@@ -89,7 +91,7 @@ class WordIds:
         if not common or "<|" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
         out = []
-        for part in self.split(text):
+        for part in [text] if text.isalpha() else self.split(text):
             ids = self.parts.get(part)
             if ids is None:
                 ids = self.parts[part] = self._part(part)
