@@ -1,10 +1,12 @@
 """Main text of pages by a vote of every host on the path of its content container.
 
 A page's blocks are scored by their text outside links, and the page votes for the
-deepest container that holds most of the score. Votes go to generalised paths, tags
+container that holds its article: the body may be left for the child that holds most
+of the score, any other container only for a child outside of which there is nothing
+but links, and an article element is never entered. Votes go to generalised paths, tags
 with their classes without numbers, and are counted per host in Spark. Every page is
 then extracted again with its host's winning path, or with its own where that path is
-absent. Navigation, notices, adverts, forms and reader comments are left out by tag, role,
+absent or would leave out part of the page's own container. Navigation, notices, adverts, forms and reader comments are left out by tag, role,
 class and id wherever they stand.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loadscope.session import write_table
 
-#: Share of a container's score that one child must hold to be entered.
+#: Share of the score that one child of the body must hold to be entered past other boxes.
 MOST = 0.75
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -36,6 +38,9 @@ _INLINE = {
 }
 _DROPPED = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "audio", "video", "canvas", "map", "fieldset", "datalist", "progress"}
 _CONTAINERS = {"html", "body", "div", "section", "article", "main", "td", "table", "tbody", "tr", "center", "blockquote", "header", "figure", "details"}
+#: Elements around the whole page, and those that may stand beside its text there.
+_FRAME = {"", "html", "body"}
+_BOXES = {"div", "td", "center"}
 _LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre"}
 #: An opening tag that ends an open element of these.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -62,6 +67,7 @@ class Node:
     away: bool
     inline: bool = False
     score: float = 0.0
+    kept: int = 0  # blocks that are more than a link
     children: list[int] = field(default_factory=list)
 
 
@@ -192,14 +198,41 @@ def parse(text: str) -> Page:
 
 def _score(page: Page) -> None:
     for node, block, links in page.blocks:
-        value = max(0, len(block) - 2 * links)
+        value, kept = max(0, len(block) - 2 * links), links < len(block)
         while node >= 0:
             page.nodes[node].score += value
+            page.nodes[node].kept += kept
             node = page.nodes[node].parent
 
 
+def _may_enter(page: Page, at: int, inner: int) -> bool:
+    """Whether an element may be left for its child: nothing but links stays outside, or boxes beside the text in the body."""
+    nodes = page.nodes
+    outer, child = nodes[at], nodes[inner]
+    if outer.tag == "article" or child.tag in _LEAVES or not child.score:
+        return False
+    if child.kept == outer.kept:
+        return True
+    if outer.tag not in _FRAME or child.score < MOST * outer.score:
+        return False
+    beside = [k for k in outer.children if k != inner and nodes[k].kept]
+    boxes = all(nodes[k].tag in _BOXES and nodes[k].path != child.path for k in beside) and not _titled(page, at).intersection(beside)
+    return boxes and sum(nodes[k].kept for k in beside) + child.kept == outer.kept
+
+
+def _titled(page: Page, root: int) -> set[int]:
+    """Children of an element that hold a top heading with text."""
+    found = set()
+    for k, node in enumerate(page.nodes):
+        if node.tag == "h1" and node.kept:
+            while k > 0 and page.nodes[k].parent != root:
+                k = page.nodes[k].parent
+            found.add(k)
+    return found
+
+
 def best_path(page: Page) -> str | None:
-    """Path of the deepest container that holds most of the page's score."""
+    """Path of the lowest container that holds the page's article."""
     _score(page)
     at = 0
     if not page.nodes[0].score:
@@ -207,13 +240,21 @@ def best_path(page: Page) -> str | None:
     best = 0
     while True:
         inner = max(page.nodes[at].children, key=lambda k: page.nodes[k].score, default=None)
-        if inner is None or page.nodes[inner].score < MOST * page.nodes[at].score or page.nodes[inner].tag in _LEAVES:
+        if inner is None or not _may_enter(page, at, inner):
             return page.nodes[best].path
         at = inner
         if page.nodes[at].tag in _CONTAINERS:
             best = at
 
 
+def _chosen(own: str | None, path: str) -> str:
+    """The host's path, or the page's own below the body where that one is an ancestor with more of the article."""
+    if own is None:
+        return path
+    last = own.rsplit("/", 1)[-1].split(".")[0]
+    return own if path.startswith(f"{own}/") and last not in _FRAME else path
+
+
 def text_at(page: Page, path: str) -> str | None:
     """Blocks below the elements of a path in page order, one a line; None if the page has no such element."""
     below = [False] * len(page.nodes)
@@ -269,9 +310,9 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for k in range(len(batch)):
                 page, path = parse(batch.column("html")[k].as_py() or ""), batch.column("path")[k].as_py()
-                text = text_at(page, path) if path else None
+                own = best_path(page)
+                text = text_at(page, _chosen(own, path)) if path else None
                 if not text:
-                    own = best_path(page)
                     text = text_at(page, own) if own is not None else "\n".join(b for _, b, _ in page.blocks)
                 texts.append(text or "")
             yield pa.RecordBatch.from_arrays(

@@ -61,3 +61,23 @@ def test_given_pages_round_trip(spark, sf_dir):
         parts = [p for p in body.replace("</h1>", "<p>").replace("<h1>", "").replace("</p>", "").replace("<b>", "").replace("</b>", "").replace("<br>", " ").split("<p>")]
         want = [" ".join(html.unescape(p).split()) for p in parts]
         assert text == "\n".join(w for w in want if w) and n == len(text)
+
+
+def test_headline_and_lead_beside_the_body_div(spark):
+    body = "".join(f"<p>{'long paragraph ' * 20}{k}</p>" for k in range(6))
+    want = ["Headline", "The lead.", *[("long paragraph " * 20) + str(k) for k in range(6)]]
+    inner = f"<h1>Headline</h1><p>The lead.</p><div class='entry'>{body}</div>"
+    parts = f"<section><p>one</p></section><section>{body}</section><blockquote>said</blockquote><table><tr><td>cell</td></tr></table>"
+    shapes = [f"<body><nav><a>x</a></nav><article>{inner}</article></body>", f"<body><div class='post'>{inner}</div><div class='box'>box</div></body>", f"<body><main>{inner}</main></body>"]
+    for n, shape in enumerate(shapes):
+        got = result(H.extract(frame(spark, [(k, f"http://h{n}.example/{k}", shape) for k in range(3)])))
+        assert all(text.split("\n") == want for _, text, _ in got.values())
+    got = result(H.extract(frame(spark, [(1, "http://p.example", f"<body><article>{parts}</article></body>")])))
+    assert got[1][1].split("\n") == ["one", *want[2:], "said", "cell"]
+
+
+def test_winner_does_not_cut_a_page_that_has_more_beside_it(spark):
+    entry = "<div class='entry'><p>%s</p></div>" % ("text " * 80)
+    rows = [(k, "http://q.example/x", f"<body><div class='post'>{entry}</div></body>") for k in range(4)]
+    rows.append((9, "http://q.example/y", f"<body><div class='post'><h1>Headline</h1>{entry}</div></body>"))
+    assert result(H.extract(frame(spark, rows)))[9][1].startswith("Headline\ntext")
