@@ -6,8 +6,10 @@ of the score, any other container only for a child outside of which there is not
 but links, and an article element is never entered. Votes go to generalised paths, tags
 with their classes without numbers, and are counted per host in Spark. Every page is
 then extracted again with its host's winning path, or with its own where that path is
-absent or would leave out part of the page's own container. Navigation, notices, adverts, forms and reader comments are left out by tag, role,
-class and id wherever they stand.
+absent or would leave out part of the page's own container. Navigation, notices, adverts,
+forms and reader comments are left out by tag and role wherever they stand. A class or id
+alone marks only elements around the article: in it, the id of a section is often its
+title, so that a second sign is asked for, see :func:`_judge`.
 """
 
 from __future__ import annotations
@@ -42,6 +44,9 @@ _CONTAINERS = {"html", "body", "div", "section", "article", "main", "td", "table
 _FRAME = {"", "html", "body"}
 _BOXES = {"div", "td", "center"}
 _LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that lay out a page and are no part of a text by their tag.
+_SIDE = {"div", "ul", "ol", "td", "center", "p"}
 #: An opening tag that ends an open element of these.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "body": set()}
@@ -56,6 +61,10 @@ _AWAY = set(
 _TOP = {"header", "masthead", "banner", "topbar"}
 _KEEPS = {"with", "has", "no", "without", "page", "article", "post", "entry", "main"}
 _COMMENTS = {"comment", "comments", "disqus", "reply", "replies", "respond"}
+#: Words that name adverts and nothing else; words of the page's frame; words that add nothing to a name.
+_ADVERTS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "disqus", "outbrain", "taboola"}
+_AROUND = {"nav", "navbar", "navigation", "menu", "sidebar", "footer", "breadcrumb", "breadcrumbs", "pagination", "pager", "masthead", "topbar", "popup", "modal"}
+_PLAIN = set("site box slot wrap wrapper container block unit area list bar buttons links section form thread count left right top bottom inner outer body content".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
 
@@ -68,6 +77,10 @@ class Node:
     inline: bool = False
     score: float = 0.0
     kept: int = 0  # blocks that are more than a link
+    mark: str = ""  # what its names say: "sure", "comments", "class", "id" or "part" (of a longer name)
+    first: int = 0  # blocks below it
+    last: int = -1
+    inside: bool = False  # stands in an article or main element
     children: list[int] = field(default_factory=list)
 
 
@@ -86,23 +99,83 @@ def _words(names: str) -> list[str]:
 
 
 def _is_away(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether an element is none of the article; ``inside``: it stands in an article or main element."""
+    """Whether tag, role or style say that an element is none of the article; ``inside``: it stands in an article or main element."""
     if tag in _DROPPED or (tag == "header" and not inside):
         return True
     if not attributes:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
         return True
-    if attributes.get("role", "").lower() in _ROLES:
-        return True
-    for names in (*attributes.get("class", "").split(), attributes.get("id", "")):
-        words = _words(names)
-        marks = _AWAY.intersection(words) | ({"header"} & set(words) if not inside and tag != "h1" else set())
-        if not marks or tag in ("html", "body", "main"):
+    return attributes.get("role", "").lower() in _ROLES
+
+
+def _mark(tag: str, attributes: dict[str, str], inside: bool, framed: bool) -> str:
+    """What class and id say, see :class:`Node`; ``framed``: it stands in the body itself."""
+    if not attributes or tag in ("html", "body", "main") or (inside and (tag in _LEAVES or tag in _INLINE)):
+        return ""
+    found = ""
+    for kind, names in (*(("class", c) for c in attributes.get("class", "").split()), ("id", attributes.get("id", "") if tag not in _LEAVES else "")):
+        words = set(_words(names))
+        marks = _AWAY & words | ({"header"} & words if not inside and tag != "h1" else set())
+        if not marks or not (marks & _COMMENTS or (tag != "article" and not _KEEPS & words)):
+            continue
+        rest = words - marks - _PLAIN
+        if marks & _COMMENTS and not rest - _KEEPS:
+            found = "comments"
+        elif rest:
+            found = found or "part"
+        elif (kind == "class" and (len(marks) > 1 or marks & _ADVERTS)) or (not inside and (marks & _AROUND or (framed and marks & (_TOP | _ADVERTS)))):
+            return "sure"
+        elif found != "comments":
+            found = kind
+    return found
+
+
+def _judge(page: Page) -> None:
+    """Leaves out the marked elements that a second sign confirms.
+
+    Where an article or main element holds half of the text, a mark outside of it is
+    enough. Elsewhere the sign is a name of two such words or of adverts, text that is
+    mostly links, a form with hardly any text, or a place at the edge of the article:
+    there a class that says nothing else is believed of a box without a heading, and
+    comments are.
+    """
+    nodes, blocks = page.nodes, page.blocks
+    if not any(n.mark for n in nodes):
+        return
+    marked, headed, formed = [False] * len(nodes), [False] * len(nodes), [False] * len(nodes)
+    for k, node in enumerate(nodes):
+        node.last = len(blocks) if node.last < 0 else node.last
+        marked[k] = bool(node.mark) or (node.parent >= 0 and marked[node.parent])
+    for k in range(len(nodes) - 1, 0, -1):
+        headed[nodes[k].parent] |= headed[k] or nodes[k].tag in _HEADINGS
+        formed[nodes[k].parent] |= formed[k] or nodes[k].tag == "form"
+    plain, size, linked = [0], [0], [0]
+    for node, text, links in blocks:
+        plain.append(plain[-1] + (not marked[node]))
+        size.append(size[-1] + len(text))
+        linked.append(linked[-1] + min(links, len(text)))
+    in_article = sum(len(text) for node, text, _ in blocks if nodes[node].inside or nodes[node].tag in ("article", "main"))
+    has_article = 2 * in_article >= size[-1] > 0
+    for k, node in enumerate(nodes):
+        node.away |= node.parent >= 0 and nodes[node.parent].away
+        if node.away or not node.mark:
+            continue
+        if node.mark == "sure" or node.inline or (has_article and not node.inside):
+            node.away = True
             continue
-        if marks & _COMMENTS or (tag != "article" and not _KEEPS.intersection(words)):
-            return True
-    return False
+        at = node.parent
+        while node.inside and nodes[at].tag not in ("article", "main"):
+            at = nodes[at].parent
+        low, high, first, last = nodes[at].first, nodes[at].last, node.first, node.last
+        edge = plain[high] > plain[low] and (plain[first] == plain[low] or plain[high] == plain[last])
+        alone = node.mark == "class" or (node.mark == "id" and not node.inside)
+        node.away = (
+            2 * (linked[last] - linked[first]) >= size[last] - size[first]
+            or (formed[k] and (node.mark == "comments" or last - first <= 2))
+            or (edge and (node.mark == "comments" or (alone and node.tag in _SIDE and not headed[k])))
+        )
+    page.blocks = [b for b in blocks if not nodes[b[0]].away]
 
 
 def parse(text: str) -> Page:
@@ -125,6 +198,8 @@ def parse(text: str) -> Page:
     def close(depth: int) -> None:
         if any(not nodes[k].inline for k in stack[depth:]):
             flush()
+        for k in stack[depth:]:
+            nodes[k].last = len(blocks)
         del stack[depth:]
 
     def add(raw: str) -> None:
@@ -171,6 +246,8 @@ def parse(text: str) -> Page:
         attributes = _attributes(m[3]) if m[3].strip() else {}
         inside = any(nodes[k].tag in ("article", "main") for k in stack)
         away = _is_away(tag, attributes, inside)
+        mark = _mark(tag, attributes, inside, nodes[stack[-1]].tag in _FRAME)
+        away |= inline and bool(mark)
         if tag == "a":
             linked = 1
         if inline and not away:
@@ -189,11 +266,13 @@ def parse(text: str) -> Page:
         names = sorted({re.sub(r"\d+", "#", c) for c in attributes.get("class", "").split()})
         parent = stack[-1]
         path = f"{nodes[parent].path}/{'.'.join([tag, *names])}"
-        nodes.append(Node(tag, parent, path, away or nodes[parent].away, inline))
+        nodes.append(Node(tag, parent, path, away or nodes[parent].away, inline, mark=mark, first=len(blocks), inside=inside))
         nodes[parent].children.append(len(nodes) - 1)
         stack.append(len(nodes) - 1)
     flush()
-    return Page(nodes, blocks)
+    page = Page(nodes, blocks)
+    _judge(page)
+    return page
 
 
 def _score(page: Page) -> None:

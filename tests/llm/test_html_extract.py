@@ -81,3 +81,36 @@ def test_winner_does_not_cut_a_page_that_has_more_beside_it(spark):
     rows = [(k, "http://q.example/x", f"<body><div class='post'>{entry}</div></body>") for k in range(4)]
     rows.append((9, "http://q.example/y", f"<body><div class='post'><h1>Headline</h1>{entry}</div></body>"))
     assert result(H.extract(frame(spark, rows)))[9][1].startswith("Headline\ntext")
+
+
+NAMES = ["discussion", "related-work", "social-impact", "legal-analysis", "search", "notice", "alert", "skip-lists", "share-of-costs", "comments-on-method"]
+
+
+def test_sections_whose_ids_are_titles(spark):
+    rows, want = [], []
+    for tag in ("section", "div", "h2", "p"):
+        for n, name in enumerate(NAMES):
+            parts = [f"<p>{'some words ' * 9}{k}</p>" for k in range(6)]
+            parts[3] = f"<{tag} id='{name}'>{'mid ' * 9}</{tag}>" if tag in ("h2", "p") else f"<{tag} id='{name}'><h2 id='{name}-2'>T</h2><p>{'mid ' * 9}</p></{tag}>"
+            text = ["some words " * 9 + str(k) for k in range(6)]
+            text[3] = ("" if tag in ("h2", "p") else "T\n") + ("mid " * 9).strip()
+            if n % 2:  # at the end, and last in the page
+                parts.append(parts.pop(3))
+                text.append(text.pop(3))
+            for outer in ("<article>%s</article>", "<main>%s</main>", "<div class='post'>%s</div>"):
+                rows.append((len(rows), f"http://{len(rows)}.example", f"<body><nav>n</nav>{outer % ''.join(parts)}<footer>f</footer></body>"))
+                want.append("\n".join(text))
+    got = result(H.extract(frame(spark, rows)))
+    assert [got[k][1] for k in range(len(rows))] == want
+
+
+def test_furniture_in_an_article_by_a_second_sign(spark):
+    text = "<p>%s</p>" % ("some words " * 9)
+    boxes = [
+        "<div class='related'><h3>More</h3><ul><li><a href='/a'>one two three</a><li><a href='/b'>four</a></ul></div>", "<div class='ad-slot'>Buy now</div>",
+        "<div class='cookie-notice'>We use them</div>", "<div id='search'><form><input name='q'></form>Find</div>", "<div role='alert'>Hear</div>",
+    ]
+    tail = "<div class='share'>Tell others</div><section id='comments'><h2>2 comments</h2><p>I do not think so at all.</p></section>"
+    rows = [(k, f"http://{k}.example", f"<body><article>{text}{box}{text}{tail}</article></body>") for k, box in enumerate(boxes)]
+    want = "\n".join([("some words " * 9).strip()] * 2)
+    assert [t for _, t, _ in result(H.extract(frame(spark, rows))).values()] == [want] * len(boxes)
