@@ -9,8 +9,11 @@ whole first, then the best one that is left is cut to the room. The last window
 a shard is cut into sequences whose lengths are powers of two, so nothing is padded.
 
 Shards have about ``SHARD_TOKENS`` tokens and a document less than one window in
-its shard, which bounds the memory of a task. Documents are dealt by a hash of their
-row, so copies and large sources spread over all shards.
+its shard, which bounds the memory of a task. Documents are dealt by their lexical key,
+the two rarest terms that other documents have too: documents of one
+first term go to one shard, terms that are larger than a shard are cut by the second
+one, and only pairs of terms that are larger still by a hash of the row. Related documents and
+copies thus meet however many shards there are; neighbours that share neither term may not.
 """
 
 from __future__ import annotations
@@ -257,6 +260,68 @@ def fill_windows(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: in
     return sequences
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(1)
+
+
+def _keyed(rest: DataFrame, frequency: np.ndarray) -> DataFrame:
+    """Rests with their lexical key: the two rarest terms that more than one document has, by one order for all documents.
+
+    Terms within a factor of eight count as equally rare and are ordered by a hash: else
+    the key would be the term that fewest of a group of related documents share.
+    """
+    rare = np.where(frequency > 1, np.floor(np.log2(np.maximum(frequency, 2)) / 3), np.inf)
+    rank = np.empty(VOCABULARY, dtype=np.int64)
+    rank[np.lexsort((_mixed(np.arange(1, VOCABULARY + 1)), rare))] = np.arange(VOCABULARY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.empty((2, len(batch)), dtype=np.int64)
+            for k, blob in enumerate(batch.column("ids").to_pylist()):
+                ranks = rank[np.frombuffer(blob, dtype="<u2")]
+                keys[:, k] = first = ranks.min()
+                if len(others := ranks[ranks > first]):
+                    keys[1, k] = others.min()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys[0]), pa.array(keys[1])], [*batch.schema.names, "first", "second"])
+
+    names = "doc_id bigint, uid bigint, start bigint, doc_tokens bigint, ids binary"
+    return rest.select("doc_id", "uid", "start", "doc_tokens", "ids").mapInArrow(run, f"{names}, first bigint, second bigint")
+
+
+def _dealt(keyed: DataFrame, shard_tokens: int) -> DataFrame:
+    """Rests with their shard. Sums of the first terms, at most ``VOCABULARY``, and the pairs larger than a shard reach the driver."""
+    pairs = write_table(keyed.groupBy("first", "second").agg(F.sum(F.length("ids") / 2).cast("long").alias("n")), "pairs")
+    light = np.zeros(VOCABULARY, dtype=np.int64)
+    for first, n in pairs.where(F.col("n") <= shard_tokens).groupBy("first").agg(F.sum("n")).collect():
+        light[first] = n
+    large = sorted((f * VOCABULARY + s, n) for f, s, n in pairs.where(F.col("n") > shard_tokens).collect())
+    split = light > shard_tokens
+    ends = np.cumsum(np.where(split, 0, light))
+    base = (ends - np.where(split, 0, light)) // shard_tokens
+    parts = np.where(split, -(-light // shard_tokens), 1)
+    at = int(base.max()) + 1
+    blocks = np.cumsum(np.where(split, parts, 0))
+    base = np.where(split, at + blocks - parts, base)
+    at += int(blocks[-1])
+    codes = np.array([c for c, _ in large] + [1 << 40], dtype=np.int64)
+    cuts = np.array([-(-n // shard_tokens) for _, n in large] + [1], dtype=np.int64)
+    from_ = at + np.cumsum(cuts) - cuts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second, uid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("first", "second", "uid"))
+            shard = base[first] + (_mixed(second) % parts[first].astype(np.uint64)).astype(np.int64)
+            code = first * VOCABULARY + second
+            k = np.searchsorted(codes, code)
+            shard = np.where(codes[k] == code, from_[k] + (_mixed(uid) % cuts[k].astype(np.uint64)).astype(np.int64), shard)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "uid", "start", "doc_tokens", "ids")), pa.array(shard)], ["doc_id", "uid", "start", "doc_tokens", "ids", "shard"])
+
+    return keyed.mapInArrow(run, "doc_id bigint, uid bigint, start bigint, doc_tokens bigint, ids binary, shard bigint")
+
+
 def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces of documents in sequences: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
@@ -272,7 +337,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, shar
     tokens, count = rest.agg(F.sum("length"), F.count("*")).first()
     idf = np.log1p((documents - frequency + 0.5) / (frequency + 0.5))
     mean = (tokens or 1) / max(1, count)
-    shards = max(1, -(-(tokens or 0) // shard_tokens))
 
     def fill(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         group = group.sort_by("uid")
@@ -286,7 +350,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, shar
                 offset += n
         return pa.Table.from_batches([_columns(rows, PIECES)])
 
-    dealt = rest.select("doc_id", "uid", "start", "doc_tokens", "ids", F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard"))
+    dealt = _dealt(write_table(_keyed(rest, frequency), "keyed"), shard_tokens)
     filled = dealt.groupBy("shard").applyInArrow(fill, PIECES)
     names = [f.split()[0] for f in PIECES.split(", ")]
     return parts.where(f"kind = {_WHOLE}").select(*names).unionByName(filled)

@@ -111,3 +111,23 @@ def test_scores_are_bm25():
                 tf = int((d == t).sum())
                 want[k] += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean)) if tf else 0
         assert np.allclose(index.scores(seed), want)
+
+
+def test_related_documents_meet_at_any_number_of_shards(spark):
+    rng = random.Random(3)
+    terms = rng.sample(sorted(w[:-4] for w in LIBRARY.get_vocab() if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha() and len(w) > 9), 760)
+    common, rows = terms[:40], []
+    for g in range(60):
+        own = terms[40 + 12 * g : 52 + 12 * g]
+        rows += [(g * 4 + k, " ".join(rng.choice(own if rng.random() < 0.5 else common) for _ in range(63))) for k in range(4)]  # four fill a window
+    rows += [(1000 + k, "the very same text " * 15 + "again and again") for k in range(80)]  # a key larger than a shard
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for shard_tokens in (1 << 19, 16_000, 3_000):
+        pieces = packing.pack(df, PATH, window=256, shard_tokens=shard_tokens).collect()
+        check(pieces, rows, 256)
+        groups = {}
+        for p in pieces:
+            groups.setdefault(p.sequence_id, []).append((p.doc_id // 4, p.doc_id))
+        met = {d for t in groups.values() for g, d in t if d < 1000 and any(h == g and e != d for h, e in t)}
+        assert len(met) > 0.6 * 240
