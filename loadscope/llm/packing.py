@@ -19,8 +19,6 @@ copies thus meet however many shards there are; neighbours that share neither te
 from __future__ import annotations
 
 import os
-import re
-import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -32,13 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.llm.token_counts import byte_symbols
+from loadscope.llm.words import BLANK, distinct, ranges, slices, spans
 from loadscope.session import write_table
 
 WINDOW = 2048
 SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
-#: Cached words, and cached parts of words, of a worker; a cache is emptied when it is full.
-CACHE_WORDS = 600_000
+#: A task forgets the parts of words from before the last slices when it knows more.
+KNOWN_PARTS = 150_000
+#: Parts in one list for the library.
+_PARTS_AT_ONCE = 10_000
 #: Ids of the vocabulary are below this.
 VOCABULARY = 1 << 16
 
@@ -51,18 +52,50 @@ _WHOLE, _REST, _COUNTS = 0, 1, 2
 _PARTS_OF_WORD = r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 
 
-#: Words of other letters are left whole to the library: classes of new characters differ between its parts and ours.
-_COMMON = re.compile("[\x00-\u05ff]*")
+#: Blank, letter, digit, sign: a digit is a part of its own, the others are runs.
+_KIND = np.where(BLANK, 0, 3).astype(np.uint8)
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _parts_in(kind: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of one kind that no bound crosses."""
+    n = len(kind)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    change = np.ones(n + 1, dtype=bool)
+    np.not_equal(kind[1:], kind[:-1], out=change[1:n])
+    change[:n] |= kind == 2
+    change[bounds] = True
+    return np.flatnonzero(change[:n] & (kind > 0)), np.flatnonzero(change[1:] & (kind > 0)) + 1
+
+
+def _rare(words: list[bytes]) -> np.ndarray:
+    """Words left whole to the library: classes of new characters differ between its parts and ours.
+
+    These are words with letters from U+0580 on, combining marks of U+0300-U+037F, the
+    letter U+0130, or the sign that begins a special string.
+    """
+    data = np.frombuffer(b" ".join(words) + b"  ", dtype=np.uint8)
+    odd = (data >= 0xD6) | (data == 0xCC) | (data == 0xCD)
+    odd[:-1] |= (data[:-1] == 0xC4) & (data[1:] == 0xB0)
+    odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+    lengths = np.array([len(w) for w in words]) + 1
+    seen = np.concatenate([[0], np.cumsum(odd)])
+    stop = np.cumsum(lengths)
+    return seen[stop] > seen[stop - lengths]
 
 
 class WordIds:
-    """Token ids of UTF-8 texts as little-endian 16-bit numbers; holds the caches of a worker.
+    """Token ids of whole texts by the library, once for each distinct word of a slice; made anew by every task.
 
     The vocabulary drops white space and never joins words across it, so words between
-    ASCII blanks are looked up one by one. A new word is looked up by its parts, runs
-    of letters or signs, and only new parts are merged by the library's model. Words that
-    normalisation could change across parts, that may hold a special string or have
-    rarer letters go through the whole tokenizer.
+    ASCII blanks are independent. Words are cut into parts, runs of letters or signs,
+    and the parts that the last slices did not have go to the library's model in one
+    list. Words that normalisation could change across parts, that may hold a special
+    string or have rarer letters go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -71,62 +104,108 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merge = self.tokenizer.model.tokenize
-        self.split = regex.compile(_PARTS_OF_WORD).findall
-        self.symbols = str.maketrans({chr(b): c for c, b in byte_symbols().items()})
-        self.words: dict[bytes, bytes] = {}
+        self.model = Tokenizer(self.tokenizer.model)
+        self.split = regex.compile(" |" + _PARTS_OF_WORD).findall
+        self.symbols = str.maketrans({chr(b): c for c, b in byte_symbols().items() if b != 0x20})
+        self.last = np.zeros(VOCABULARY, dtype=bool)  # ids that end a part: one for each part
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.parts: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        """Ids of a run of letters or signs, lower-cased letter by letter."""
-        if part.isascii():
-            low = part.lower()
-            if not low.isprintable():
-                low = low.translate(self.symbols)
-        else:
-            low = "".join([c.lower() for c in part]).encode().decode("latin-1").translate(self.symbols)
-        ids = [t.id for t in self.merge(low)]
-        return struct.pack(f"<{len(ids)}H", *ids)
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        common = text.isascii() or (_COMMON.fullmatch(text) and "\u0130" not in text and unicodedata.is_normalized("NFC", text))
-        if not common or "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        out = []
-        for part in [text] if text.isalpha() else self.split(text):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self.parts[part] = self._part(part)
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
-
-    def _learn(self, new: set[bytes], words: list[bytes]) -> None:
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = set(words)
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        for word in new:
-            self.words[word] = self._word(word)
-
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        found = list(map(self.words.get, words))
-        if None in found:
-            self._learn({w for w, x in zip(words, found, strict=True) if x is None}, words)
-            found = list(map(self.words.__getitem__, words))
-        return b"".join(found)
-
-
-_of_path: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    """One per worker and vocabulary."""
-    if path not in _of_path:
-        _of_path[path] = WordIds(path)
-    return _of_path[path]
+        self.older: dict[str, bytes] = {}
+
+    def _ids_of_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct lower-case parts; parts of one slice at least, and of at most two, are remembered."""
+        if len(self.parts) > KNOWN_PARTS:
+            self.parts, self.older = {}, self.parts
+        known, older = self.parts, self.older
+        found = [known.get(p) or older.get(p) for p in parts]
+        new = [p for p, x in zip(parts, found, strict=True) if x is None]
+        if new:
+            mapped = " ".join(new).encode().decode("latin-1").translate(self.symbols).split(" ")
+            lists = [mapped[at : at + _PARTS_AT_ONCE] for at in range(0, len(mapped), _PARTS_AT_ONCE)]
+            at = 0
+            for some, got in zip(lists, self.model.encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False), strict=True):
+                row = np.array(got.ids, dtype="<u2")
+                stop = (np.flatnonzero(self.last[row]) + 1) * 2
+                ids, low = row.tobytes(), 0
+                for part, high in zip(new[at : at + len(some)], stop.tolist(), strict=True):
+                    known[part] = ids[low:high]
+                    low = high
+                at += len(some)
+            found = [x or known[p] for p, x in zip(parts, found, strict=True)]
+        return found
+
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and the number of ids of each."""
+        if not words:
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        rare = _rare(words)
+        text = b" ".join([w for w, odd in zip(words, rare.tolist(), strict=True) if not odd]).decode()
+        if not unicodedata.is_normalized("NFC", text):
+            rare |= [not unicodedata.is_normalized("NFC", w.decode()) for w in words]
+            text = b" ".join([w for w, odd in zip(words, rare.tolist(), strict=True) if not odd]).decode()
+        common, other = np.flatnonzero(~rare), np.flatnonzero(rare)
+        parts = self.split(text.replace("\u03a3", "\u03c3").lower())  # a capital sigma's lower case depends on its place
+        number: dict[str, int] = {" ": 0}
+        at = np.array([number.setdefault(p, len(number)) for p in parts], dtype=np.int64)
+        blobs = [b"", *self._ids_of_parts(list(number)[1:])]
+        ids = np.frombuffer(b"".join(blobs), dtype="<u2")
+        sizes = np.array([len(x) for x in blobs], dtype=np.int64) // 2
+        whole = [np.array(self.tokenizer.encode(words[k].decode(), add_special_tokens=False).ids, dtype=np.uint16) for k in other.tolist()]
+        counts = np.zeros(len(words), dtype=np.int64)
+        if len(common):
+            counts[common] = np.bincount(np.cumsum(at == 0), weights=sizes[at], minlength=len(common)).astype(np.int64)
+        counts[other] = [len(x) for x in whole]
+        row = np.concatenate([ids[ranges((np.cumsum(sizes) - sizes)[at], sizes[at])], *whole])
+        if not len(other):
+            return row, counts
+        order = np.concatenate([common, other])
+        start = np.empty(len(words), dtype=np.int64)  # where a word's ids lie in that row
+        start[order] = np.cumsum(counts[order]) - counts[order]
+        return row[ranges(start, counts)], counts
+
+    def of_slice(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice in a row, and the ids before each text.
+
+        ASCII words are cut into parts in place; words with an apostrophe, with a special
+        string's sign or with other letters are cut by the pattern.
+        """
+        kind = _KIND[data]
+        starts, ends, _ = spans(kind > 0, bounds)
+        strange = (data >= 0x80) | (data == 0x27)
+        strange[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+        seen = np.concatenate([[0], np.cumsum(strange, dtype=np.int32)])
+        odd = np.flatnonzero(seen[ends] > seen[starts])
+        if len(odd):
+            mark = np.zeros(len(data) + 1, dtype=np.int8)
+            mark[starts[odd]] = 1
+            np.add.at(mark, ends[odd], -1)
+            kind[np.cumsum(mark[:-1], dtype=np.int8) > 0] = 0
+        low, high = _parts_in(kind, bounds)
+        small = _LOWER[data]
+        one, of_part = distinct(small, low, high)
+        raw = small.tobytes().decode("latin-1")
+        blobs = self._ids_of_parts([raw[a:b] for a, b in zip(low[one].tolist(), high[one].tolist(), strict=True)])
+        sizes = np.array(list(map(len, blobs)), dtype=np.int64) // 2
+        ids = np.frombuffer(b"".join(blobs), dtype="<u2")
+        first, size, place = (np.cumsum(sizes) - sizes)[of_part], sizes[of_part], low
+        if len(odd):
+            at, to = starts[odd], ends[odd]
+            one, of_word = distinct(data, at, to)
+            raw = data.tobytes()
+            more, counts = self.of_words([raw[a:b] for a, b in zip(at[one].tolist(), to[one].tolist(), strict=True)])
+            place = np.concatenate([low, at])
+            order = np.argsort(place, kind="stable")
+            first = np.concatenate([first, (len(ids) + np.cumsum(counts) - counts)[of_word]])[order]
+            size, place, ids = np.concatenate([size, counts[of_word]])[order], place[order], np.concatenate([ids, more])
+        stops = np.concatenate([[0], np.cumsum(size)])
+        return ids[ranges(first, size)], stops[np.searchsorted(place, bounds)]
+
+    def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text in order; a null text has none."""
+        for _, data, bounds in slices(texts):
+            ids, at = self.of_slice(data, bounds)
+            for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                yield ids[low:high]
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -144,17 +223,17 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, window: int) -> DataFram
     """Whole windows as pieces, the rest of every document with its ids, and each task's document frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(path)
+        ids_of = WordIds(path)
         task = TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u2").tobytes()
+        end = np.array([end_id], dtype="<u2")
         documents = sequences = 0
         counts = np.zeros(VOCABULARY, dtype=np.int64)
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for at in range(0, len(texts), 256):
+            found = ids_of.texts(batch.column("text"))
+            for at in range(0, len(batch), 256):
                 rows = []
-                for doc_id, text in zip(batch.column("doc_id").slice(at, 256).to_pylist(), texts.slice(at, 256).to_pylist(), strict=True):
-                    ids = np.frombuffer(ids_of(text or b"") + end, dtype="<u2")
+                for doc_id in batch.column("doc_id").slice(at, 256).to_pylist():
+                    ids = np.concatenate([next(found), end])
                     counts[np.unique(ids)] += 1
                     uid = (task << 40) + documents
                     documents += 1

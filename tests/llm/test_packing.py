@@ -3,15 +3,17 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loadscope.llm import packing
+from loadscope.llm import packing, words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
+IDS = packing.WordIds(PATH)
 
 ODD = [
     None, "", " ", "Hello,  World", "don't WE'LL", "a\x1cb c", "é É", "<|endoftext|> x<|startoftext|>", "日本語 🙂", "ΣΑΣ Σ",
@@ -29,15 +31,17 @@ WORDS = st.sampled_from([" ", "\n", "\x1c", "\xa0", "a", "Tion", "e\u0301", "\u0
 @settings(max_examples=300, deadline=None)
 @given(st.lists(WORDS, max_size=25).map("".join) | st.text(max_size=40))
 def test_ids_like_the_library(text):
-    found = packing.word_ids(PATH)(text.encode())
-    assert np.frombuffer(found, "<u2").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    (found,) = IDS.texts(pa.array([text]))
+    assert found.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
-def test_caches_are_emptied(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
-    ids_of = packing.WordIds(PATH)
-    for text in ("one two three four", "five six seven eight nine ten one two", "one eleven"):
-        assert np.frombuffer(ids_of(text.encode()), "<u2").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+def test_ids_of_many_texts_and_slices(monkeypatch):
+    rng = random.Random(5)
+    some = [None, "", "one two", "é<|endoftext|>x y", "a\x00 a a\x00b", "w" * 40 + " " + "w" * 40] + ["".join(rng.choices(["ab", "Ab,", " ", "é", "\n", "x" * 17], k=30)) for _ in range(60)]
+    want = [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in some]
+    for size in (1, 64, 1 << 20):
+        monkeypatch.setattr(words, "SLICE_BYTES", size)
+        assert [x.tolist() for x in packing.WordIds(PATH).texts(pa.array(some, pa.string()))] == want
 
 
 def texts(n):
