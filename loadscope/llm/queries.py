@@ -11,14 +11,17 @@ from loadscope.llm import (
     embedding_dedup,
     exact_dedup,
     html_extract,
+    id_files,
     language_id,
     mixing,
     ngram_join,
     packing,
     secret_scan,
+    token_alignment,
     token_counts,
     toxicity,
 )
+from loadscope.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +169,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(_table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+@_query("op11_id_files")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "id-files")
+    id_files.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=2)
+    return id_files.read(spark, folder)
+
+
+@_query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

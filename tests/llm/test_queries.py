@@ -15,4 +15,4 @@ def test_query(spark, sf_dir, name, monkeypatch):
 
 
 def test_one_query_per_operator():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] and {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] and {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
