@@ -17,6 +17,7 @@ from loadscope.llm import (
     ngram_join,
     packing,
     secret_scan,
+    source_divergence,
     token_alignment,
     token_counts,
     toxicity,
@@ -181,3 +182,42 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_token_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query(
+    "op13_source_divergence",
+    r"""
+    with d as (
+      select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+      from documents
+    ), o as (select k, lang, source, unnest(w) as term from d),
+    kept as (select lang, term from o group by all having count(distinct k) >= 30),
+    v as (select lang, count(*) as v from kept group by lang),
+    n as (select lang, source, term, count(*) as n from o join kept using (lang, term) group by all),
+    g as (select distinct lang, source from d),
+    dense as (
+      select g.lang, g.source, kept.term, coalesce(n.n, 0) as n
+      from g join kept using (lang) left join n on n.lang = g.lang and n.source = g.source and n.term = kept.term
+    ), p as (
+      select lang, source, term, n, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) over (partition by lang, source)::hugeint + 5 * v) as p from dense join v using (lang)
+    ), q as (
+      select lang, term, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) over (partition by lang)::hugeint + 5 * v) as q
+      from (select lang, term, sum(n) as n from n group by all) join v using (lang)
+    ), f as (
+      select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+      from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+    ), pair as (
+      select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(f.value, 0) as bigint) as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+    ), term as (
+      select lang, source, 'term' as part, term as item, cast(p - q as bigint) as value from p join q using (lang, term) where n > 0 and p > q
+    ), r as (
+      select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+      from (select * from pair union all select * from term)
+    )
+    select * from r where part = 'pair' or rank <= 50
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, sf_dir, "documents"))
