@@ -10,11 +10,11 @@ character, so tokens that share a character and byte-fallback pieces are placed
 the bytes they decode to. A batch whose decoded bytes are not its text is done again
 unit by unit, and a document with such a unit has no tokens.
 
-Neither tokenizer joins white space to what stands before it, so a text falls into
-units, white space and the word behind it, that are aligned once for all texts of a
-slice. Texts with other white space than ASCII's are one unit.
+Neither tokenizer joins white space to what stands before it (but for the signs that
+pieces of the vocabulary tell), so a text falls into units, white space and the word
+behind it, that are aligned once for all texts of a slice. Texts with other white space than ASCII's are one unit.
 
-A slice (`words.SLICE_BYTES` of text, or one longer text) leaves one row per document,
+A slice (twice `words.SLICE_BYTES` of text, or one longer text) leaves one row per document,
 which units it holds and how often, and one row for the slice: its id pairs, the
 documents that hold each, and the pairs of each unit. Pairs are summed over the
 corpus by joins and aggregations; each slice gets back the counts of its own pairs only.
@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loadscope.llm import words
 from loadscope.llm.token_counts import byte_symbols
-from loadscope.llm.words import BLANK, distinct, ranges, slices
+from loadscope.llm.words import BLANK, distinct, ranges
 from loadscope.session import write_table
 
 #: Units of one call of the libraries, in bytes.
@@ -115,9 +116,10 @@ class PieceSide(Side):
         pieces = [self.model.id_to_piece(k) for k in range(n)]
         self.fallback = np.array([self.model.is_byte(k) for k in range(n)])
         self.table = _flat([bytes([int(p[3:5], 16)]) if b else p.replace(_MARK, " ").encode() for p, b in zip(pieces, self.fallback, strict=True)])
-        #: whether no piece holds white space behind another character
-        blanks = re.compile(f"[{_MARK}\\s]*[^{_MARK}\\s]*")
-        self.splits = all(b or blanks.fullmatch(p) for p, b in zip(pieces, self.fallback, strict=True))
+        #: white space that no piece holds behind another character
+        self.opens = BLANK.copy()
+        inner = {ord(" " if c == _MARK else c) for p in pieces for c in re.findall(f"(?<=[^{_MARK} \\t-\\r])[{_MARK} \\t-\\r]", p)}
+        self.opens[list(inner)] = False
 
     def tokens(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
@@ -146,7 +148,8 @@ class Aligner:
     def _batches(self, units: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
         """Numbers and bytes of units that are tokenized together; units that end in white space are alone."""
         some, size = [], 0
-        for k, unit in enumerate(units):
+        for k in sorted(range(len(units)), key=units.__getitem__):  # neighbours use the same parts of the vocabulary
+            unit = units[k]
             if BLANK[unit[-1]] or _WIDE.search(unit):
                 yield [k], [unit]
                 continue
@@ -267,13 +270,11 @@ def _numbers(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
-def _units(data: np.ndarray, bounds: np.ndarray, splits: bool) -> tuple[np.ndarray, np.ndarray]:
+def _units(data: np.ndarray, bounds: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the units; every text that is not empty begins with a blank."""
-    blank = BLANK[data]
     begin = np.zeros(len(data) + 1, dtype=bool)
-    begin[1:-1] = blank[1:] & ~blank[:-1]
-    wide = {int(np.searchsorted(bounds, m.start(), side="right")) - 1 for m in _WIDE.finditer(data.tobytes())} if splits else range(len(bounds) - 1)
-    for k in wide:
+    begin[1:-1] = opens[data[1:]] & ~BLANK[data[:-1]]
+    for k in {int(np.searchsorted(bounds, m.start(), side="right")) - 1 for m in _WIDE.finditer(data.tobytes())}:
         begin[bounds[k] : bounds[k + 1]] = False
     begin[bounds] = True
     starts = np.flatnonzero(begin[:-1])
@@ -296,7 +297,7 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             whole = pc.and_kleene(pc.greater(pc.binary_length(texts), 0), pc.invert(pc.match_substring(texts, _MARK)))
             texts = pc.if_else(whole, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())), pa.scalar(None, pa.large_string()))
             ids = given.column("doc_id").to_pylist()
-            for row, data, bounds in slices(texts):
+            for row, data, bounds in words.slices(texts, 2 * words.SLICE_BYTES):
                 yield batch(list(_rows(aligner, number, ids[row : row + len(bounds) - 1], data, bounds)))
                 number += 1
 
@@ -304,7 +305,7 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 
 def _rows(aligner: Aligner, number: int, ids: list[int | None], data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple]:
-    starts, ends = _units(data, bounds, aligner.b.splits)
+    starts, ends = _units(data, bounds, aligner.b.opens)
     one, kind = distinct(data, starts, ends)
     raw = data.tobytes()
     units = aligner.align([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
@@ -322,7 +323,8 @@ def _rows(aligner: Aligner, number: int, ids: list[int | None], data: np.ndarray
     sizes = units.pairs_of[unit]
     first = np.cumsum(units.pairs_of) - units.pairs_of
     n_pairs = max(1, len(units.codes))
-    linked = np.unique(np.repeat(doc, sizes) * n_pairs + units.pair[ranges(first[unit], sizes)])
+    linked = np.sort(np.repeat(doc, sizes) * n_pairs + units.pair[ranges(first[unit], sizes)])
+    linked = linked[np.append(True, linked[1:] != linked[:-1])] if len(linked) else linked
     docs_of_pair = np.bincount(linked % n_pairs, minlength=len(units.codes))
     places = np.searchsorted(doc, np.arange(len(ids) + 1))
     kinds, text = kind.tolist(), units.text

@@ -76,7 +76,11 @@ def found(df):
 
 
 ALIGNER = token_alignment.Aligner(PATH_A, PATH_B)
-BITS = st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "\xa0", "　", " ", "\x1c", "\x85", "the", "Tion", "'s", "ll", "9", "**", ".", "é", "é", "🙂", "語", "▁", "<s>", "<|endoftext|>", "\x00", ""])
+BITS = st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "\xa0", "　", " ", "\x1c", "\x85", ";", "\r", "the", "Tion", "'s", "ll", "9", "**", ".", "é", "é", "🙂", "語", "▁", "<s>", "<|endoftext|>", "\x00", ""])
+
+
+def test_the_vocabularies_fall_into_units():
+    assert ALIGNER.b.opens[ord(" ")] and ALIGNER.b.opens[ord("\n")] and not ALIGNER.b.opens[ord("\r")] and not ALIGNER.b.opens[ord("a")]
 
 
 @settings(max_examples=400, deadline=None)
