@@ -10,7 +10,9 @@ from loadscope.catalog.traces import LENGTHS, REPLAY_RATE, poisson_sql, replay_s
 from loadscope.operators import arrivals, traces
 
 SEED, RATE, SLICE_S = 42, 2.0, 600
-REPLAY_N, WRAP_N = "(select count(*) * 3 // 20 from events)", "(select count(*) * 2 from events)"
+#: Nine tenths of what the scaled log holds, and twice as many arrivals as events.
+REPLAY_N = f"(select floor((max(t_us) - min(t_us)) * {REPLAY_RATE} * 9 / 10000000)::bigint from arrival_log)"
+WRAP_N = "(select count(*) * 2 from events)"
 DOWN_RATE, UP_RATE, ATTACH_RATE, MAX_LENGTH = 0.5, 50.0, 0.1, 200
 
 
@@ -80,7 +82,8 @@ def arrival_gamma(i):
 
 @query("arrival_replay", f"with {replay_sql(REPLAY_RATE, SEED)} select ordinal, arrival_time from o where ordinal < {REPLAY_N}")
 def arrival_replay(i):
-    return arrivals.replay(i.arrival_log, "t_us", REPLAY_RATE, i.table("events").count() * 3 // 20, SEED)
+    low, high = i.arrival_log.agg(F.min("t_us"), F.max("t_us")).first()
+    return arrivals.replay(i.arrival_log, "t_us", REPLAY_RATE, int((high - low) * REPLAY_RATE * 9 // 10_000_000), SEED)
 
 
 @query(

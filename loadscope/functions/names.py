@@ -69,9 +69,9 @@ def profile_keys(path: Column, models: list[str]) -> dict[str, Column]:
 
 
 def result_keys(path: Column, models: list[str]) -> dict[str, Column]:
-    """Keys of ``results_{dataset}[_eager][_v1]_{model}[_bz_..].json``."""
+    """Keys of ``results_{dataset}[_eager][_v1]_{model}[_bz_..][_part_{k}].json``."""
     name = F.element_at(F.split(path, "/"), -1)
-    pattern = rf"^results_(.+?)(_eager)?(_v1)?_{_alternatives(models)}(?:_bz_.*)?\.json$"
+    pattern = rf"^results_(.+?)(_eager)?(_v1)?_{_alternatives(models)}(?:_bz_.*?)?(?:_part_[0-9]+)?\.json$"
     return {
         "dataset": F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")),
         "eager": F.regexp_extract(name, pattern, 2) != "",

@@ -139,14 +139,18 @@ def replay(
     if on_short not in ("raise", "wrap"):
         raise ValueError(f"on_short is 'raise' or 'wrap', not {on_short!r}")
     rebased = rebase(log.select(F.col(time_us).alias("t")), "t")
-    stats = rebased.agg(
-        F.struct(F.count("t").alias("rows"), (F.max("t") / F.lit(float(SECOND_US))).alias("last")).alias("s")
+    # one row per second of the log: factor, length, laps and the cut all come from it
+    seconds = write_table(
+        rebased.groupBy(F.floor(F.col("t") / SECOND_US).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"), F.count("t").alias("stamped"), F.max("t").alias("high")),
+        "seconds",
+    )
+    stats = seconds.agg(
+        F.struct(F.coalesce(F.sum("stamped"), F.lit(0)).alias("rows"), (F.max("high") / F.lit(float(SECOND_US))).alias("last")).alias("s")
     ).scalar()
     # count / (count / last) = last: the mean rate cancels only in exact arithmetic, so keep both steps.
     factor = F.lit(float(target_rate)) / (F.col("s.rows") / F.col("s.last"))
     buckets = (
-        rebased.groupBy(F.floor(F.col("t") / SECOND_US).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("rows"))
+        seconds.select("bucket", "rows")
         .withColumn("s", stats)
         .where(F.col("bucket") < F.ceil("s.last"))
         .withColumn("x", F.col("rows") * factor)

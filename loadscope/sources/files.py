@@ -11,6 +11,9 @@ from loadscope import schemas
 from loadscope.functions.names import result_keys
 from loadscope.operators.client import BULKY_FIELDS
 
+#: Tasks that write the rows of one name.
+WRITERS = 16
+
 _ENTRY = [f.name for f in schemas.TRACE_ENTRY.fields]
 
 
@@ -63,22 +66,28 @@ def write_rows(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
-def write_named(rows: DataFrame, name: str, folder: str, kind: str, **options) -> None:
-    """One file per value of ``name`` in ``folder``, as tools with keys in file names expect.
+def write_named(rows: DataFrame, name: str, folder: str, kind: str, *, writers: int = WRITERS, **options) -> None:
+    """Files named by a column, as tools with keys in file names expect.
 
-    Each file is written by one task; the files are renamed, not copied. Their
-    number is that of the configurations of a sweep.
+    A name with many rows is written by up to ``writers`` tasks, and a task may cut its
+    rows into several files. The first file has the name itself, the others have
+    ``_part_1`` and so on before the extension. Files are renamed, not copied; a rename that
+    fails, or would replace a file, raises and leaves the staged files in place. The number of names is that of the
+    configurations of a sweep.
     """
     staged = f"{folder}/_staged"
-    rows.repartition(name).write.partitionBy(name).format(kind).options(**options).save(staged)
+    salted = rows.withColumn("_writer", F.spark_partition_id() % writers).repartition(name, "_writer").drop("_writer")
+    salted.write.partitionBy(name).format(kind).options(**options).save(staged)
     context = rows.sparkSession.sparkContext
     place = context._jvm.org.apache.hadoop.fs.Path
     files = place(staged).getFileSystem(context._jsc.hadoopConfiguration())
     for part in files.listStatus(place(staged)):
         if not part.isDirectory():
             continue
-        value = unquote(part.getPath().getName().partition("=")[2])
-        for file in files.listStatus(part.getPath()):
-            if file.getPath().getName().startswith("part-"):
-                files.rename(file.getPath(), place(f"{folder}/{value}"))
+        stem, dot, extension = unquote(part.getPath().getName().partition("=")[2]).rpartition(".")
+        found = sorted((f.getPath().getName(), f.getPath()) for f in files.listStatus(part.getPath()) if f.getPath().getName().startswith("part-"))
+        for k, (_, file) in enumerate(found):
+            target = place(f"{folder}/{stem}{f'_part_{k}' if k else ''}{dot}{extension}")
+            if files.exists(target) or not files.rename(file, target):
+                raise OSError(f"could not rename {file} to {target}")
     files.delete(place(staged), True)

@@ -1,9 +1,11 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from loadscope.functions.names import result_keys
 from loadscope.operators import traces
 from loadscope.session import shared_path
 from loadscope.sources import corpora, files, logs
@@ -96,3 +98,27 @@ def test_results(spark, tmp_path):
     (tmp_path / "results_sharegpt_eager_v1_org_m.json").write_text('{"mean_tpot_ms": 1.5,\n "output_throughput": 9.0, "x": []}')
     got = files.read_results(spark, str(tmp_path), ["org_m"]).first().asDict()
     assert got == {"mean_tpot_ms": 1.5, "output_throughput": 9.0, "dataset": "sharegpt", "eager": True, "v1": 1, "model": "org_m"}
+
+
+def test_named_files_hold_all_rows(spark, folder):
+    """Several tasks and several files for one name, and names that differ only in rows."""
+    df = spark.range(0, 1000, 1, 7).select(F.when(F.col("id") % 3 == 0, "results_b_org_m.json").otherwise("results_a_org_m.json").alias("file"), F.col("id").cast("double").alias("mean_tpot_ms"))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 100)
+    try:
+        files.write_named(df, "file", folder, "json")
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    got = spark.read.json(f"{folder}/results_*.json").select("*", F.col("_metadata.file_path").alias("path"))
+    got = got.select("mean_tpot_ms", result_keys(F.col("path"), ["org_m"])["dataset"].alias("dataset"))
+    assert sorted((r.dataset, r.mean_tpot_ms) for r in got.collect()) == sorted(("b" if k % 3 == 0 else "a", float(k)) for k in range(1000))
+    names = os.listdir(folder)
+    assert "results_a_org_m.json" in names and "results_a_org_m_part_1.json" in names and "_staged" not in names
+
+
+def test_a_failed_rename_raises(spark, folder):
+    os.makedirs(folder)
+    df = spark.createDataFrame([("y.json", 1)], "file string, n int")
+    with open(f"{folder}/y.json", "w") as f:
+        f.write("taken")
+    with pytest.raises(Exception, match="y.json"):
+        files.write_named(df, "file", folder, "json")
