@@ -14,6 +14,7 @@ is fitted on a bounded sample of labelled documents.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,10 +34,14 @@ STEMS = range(4, 9)
 #: Letters from which a misspelling counts.
 FUZZY_LENGTH = 5
 WINDOW = 40
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+#: Terms that a task counts before it passes them on.
+FLUSH_TERMS = 50_000
 CACHE_STATES = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
+_MARKS = '"“”«»„\n'
+_MARK = re.compile(f"[{_MARKS}]")
 _DIGITS = str.maketrans("013457", "oieast")
 _NONE, _EXACT, _FUZZY = 0, 1, 2
 
@@ -132,14 +137,35 @@ class Automaton:
         return (_FUZZY, fuzzy) if fuzzy else (_NONE, 0.0)
 
 
-def _in_quotation(text: str, start: int) -> bool:
-    """Whether a quotation is open at a place of its line and closed after it."""
-    low = text.rfind("\n", 0, start) + 1
-    high = text.find("\n", start)
-    before, after = text[low:start], text[start : high if high >= 0 else len(text)]
-    if before.count('"') % 2 and '"' in after:
-        return True
-    return any(before.rfind(a) > before.rfind(b) and b in after for a, b in ("“”", "«»", "„“"))
+class Quotations:
+    """Places of line ends and quotation marks of a text, found once."""
+
+    def __init__(self, text: str):
+        places: dict[str, list[int]] = {c: [] for c in _MARKS}
+        for m in _MARK.finditer(text):
+            places[m[0]].append(m.start())
+        self.at = places
+
+    def holds(self, start: int) -> bool:
+        """Whether a quotation is open at a place of its line and closed after it."""
+        ends = self.at["\n"]
+        line = bisect_left(ends, start)
+        low, high = ends[line - 1] + 1 if line else 0, ends[line] if line < len(ends) else 1 << 62
+
+        def last(mark: str) -> int:
+            found = self.at[mark]
+            k = bisect_left(found, start)
+            return found[k - 1] if k and found[k - 1] >= low else -1
+
+        def follows(mark: str) -> bool:
+            found = self.at[mark]
+            k = bisect_left(found, start)
+            return k < len(found) and found[k] < high
+
+        straight = self.at['"']
+        if (bisect_left(straight, start) - bisect_left(straight, low)) % 2 and follows('"'):
+            return True
+        return any(last(a) > last(b) and follows(b) for a, b in ("“”", "«»", "„“"))
 
 
 class Reader:
@@ -154,9 +180,11 @@ class Reader:
         words = _WORD.findall(lower)
         hits = list(map(self.hit.get, words))
         if None in hits:
+            new = {w for w, h in zip(words, hits, strict=True) if h is None}
             if len(self.hit) > CACHE_WORDS:
                 self.hit.clear()
-            for w in {w for w, h in zip(words, hits, strict=True) if h is None}:
+                new = set(words)
+            for w in new:
                 kind, weight = self.automaton.read(w)
                 if not kind and not w.isalpha() and not w.isdigit():
                     kind, weight = self.automaton.read(w.translate(_DIGITS))
@@ -167,11 +195,12 @@ class Reader:
         exact = fuzzy = quoted = densest = 0.0
         count = 0
         if at:
-            spans = [m.start() for m in _WORD.finditer(lower)] if '"' in text or "“" in text or "«" in text or "„" in text else None
+            quotations = Quotations(lower) if _MARK.search(lower.replace("\n", "")) else None
+            spans = [m.start() for m in _WORD.finditer(lower)] if quotations else None
             weights = []
             for k in at:
                 kind, weight = hits[k]
-                if spans is not None and len(lower) == len(text) and _in_quotation(text, spans[k]):
+                if quotations and quotations.holds(spans[k]):
                     quoted += weight
                     weight = 0.0
                 elif kind == _EXACT:
@@ -233,7 +262,7 @@ def _terms(labelled: DataFrame) -> DataFrame:
                     c = counts.setdefault((t, toxic), [0, 0])
                     c[0] += n
                     c[1] += 1
-                if len(counts) > CACHE_WORDS:
+                if len(counts) > FLUSH_TERMS:
                     yield flush()
         yield flush()
 

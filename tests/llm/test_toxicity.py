@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 from pyspark.sql import functions as F
@@ -89,3 +90,30 @@ def test_odd_rows(spark):
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
     assert {r.predicted for r in T.toxicity(docs, labels.limit(0)).collect()} == {0}
     assert T.toxicity(docs.limit(0), labels).collect() == []
+
+
+def test_a_full_cache_changes_nothing(monkeypatch):
+    texts = ["one idiot two", "three idiot one", "four five one two", "one two idiot"]
+    want = [T.Reader({"idiot": 2.0}).features(t) for t in texts]
+    monkeypatch.setattr(T, "CACHE_WORDS", 2)
+    reader = T.Reader({"idiot": 2.0})
+    assert [reader.features(t) for t in texts] == want
+
+
+def test_quotations_like_a_walk_along_the_line():
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choices(['"', "“", "”", "«", "»", "„", "\n", "a", "b "], k=rng.randrange(40)))
+        held = T.Quotations(text)
+        for start in range(len(text)):
+            low, high = text.rfind("\n", 0, start) + 1, text.find("\n", start)
+            before, after = text[low:start], text[start : high if high >= 0 else len(text)]
+            want = before.count('"') % 2 == 1 and '"' in after or any(before.rfind(a) > before.rfind(b) and b in after for a, b in ("“”", "«»", "„“"))
+            assert held.holds(start) == want
+
+
+def test_many_hits_on_one_line_take_linear_time():
+    text = '"' + "idiot " * 100_000 + '"'
+    start = time.process_time()
+    T.Reader({"idiot": 2.0}).features(text)
+    assert time.process_time() - start < 10
