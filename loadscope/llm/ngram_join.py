@@ -204,12 +204,15 @@ def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough, from pairs with sizes."""
+def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose sets are similar enough, from pairs with sizes; only their documents' sets are made."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = write_table(_sets(docs, wanted, width), "sets")
     texts = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}"))
     overlap = F.size(F.array_intersect("sa", "sb"))
     joined = pairs.select("a", "b", "na", "nb").join(texts("b"), "b").join(texts("a"), "a")
-    return joined.where((100 + percent) * overlap >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+    found = joined.where((100 + percent) * overlap >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+    return write_table(found, "links")
 
 
 def _relabel(label: DataFrame, edges: DataFrame) -> DataFrame:
@@ -236,21 +239,16 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         "classes",
     )
     members = _members(full, classes)
-    wanted = write_table(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    sets = write_table(_sets(docs, wanted, width), "sets")
-    label = wanted.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp"))
+    label = members.select("rep").distinct().select("rep", F.col("rep").alias("comp"))
     first = members.where("lo < rep").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = write_table(_linked(_allowed(first, classes, percent), sets, percent), "links")
+    edges = _linked(write_table(_allowed(first, classes, percent), "allowed"), docs, width, percent)
     label = _relabel(label, edges)
     # in a leaf of two, the only pair has met
-    rest = write_table(_inside(members.where("size > 2"), label, classes, percent), "rest")
-    best = rest.groupBy("ca", "cb").agg(F.max(F.struct("most", "a", "b", "na", "nb")).alias("p")).select("p.*")
-    edges = write_table(edges.unionByName(_linked(best, sets, percent)), "links")
-    label = _relabel(label, edges)
-    comp = lambda k: label.select(F.col("rep").alias(k), F.col("comp").alias(f"now_{k}"))
-    apart = rest.join(comp("a"), "a").join(comp("b"), "b").where("now_a <> now_b")
-    edges = write_table(edges.unionByName(_linked(apart, sets, percent)), "links")
-    label = _relabel(label, edges)
+    crowded = members.where("size > 2")
+    for nearest in (True, False):  # a document's likeliest partner first, then whatever is still apart
+        rest = write_table(_inside(crowded, label, classes, percent, nearest), "rest")
+        edges = write_table(edges.unionByName(_linked(rest, docs, width, percent)), "links")
+        label = _relabel(label, edges)
 
     part = label.select(F.col("rep"), "comp")
     grouped = classes.select(*key, "rep").join(part, "rep", "left").select(*key, F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("component_id"))
@@ -270,12 +268,13 @@ def _members(full: DataFrame, classes: DataFrame) -> DataFrame:
     return write_table(found.join(sizes, "leaf").select("leaf", "rep", "lo", "size"), "members")
 
 
-def _inside(members: DataFrame, label: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _inside(members: DataFrame, label: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs in a leaf of different components, without its smallest document, that the boxes and points allow.
 
     A leaf is cut into blocks of about ``BLOCK`` documents, and two blocks meet in
-    one group of bounded size, however many documents share the leaf. Returns ``a, b``
-    with their sizes, components and largest similarity in millionths.
+    one group of bounded size, however many documents share the leaf. With ``nearest``
+    a document of a block gives one pair, that with the greatest possible similarity,
+    so the rows out of two blocks are as many as their documents. Returns ``a, b`` with their sizes.
     """
     at = members.join(label, "rep").select("leaf", "rep", "lo", "size", "comp")
     several = at.groupBy("leaf").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("leaf")
@@ -297,7 +296,7 @@ def _inside(members: DataFrame, label: DataFrame, classes: DataFrame, percent: i
         groups = min(map(len, points))
         point = np.array([folded(p, groups) for p in points])
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found: list[list[np.ndarray]] = [[] for _ in range(7)]
+        found: list[list[np.ndarray]] = [[] for _ in range(4)]
         if len(left) and len(right):
             box, least = point[right].max(axis=0), size[right].min()
             fits = (100 + percent) * np.minimum(point[left], box).sum(axis=1) >= percent * (size[left] + least)
@@ -306,20 +305,21 @@ def _inside(members: DataFrame, label: DataFrame, classes: DataFrame, percent: i
                 most = np.minimum(point[others], point[k]).sum(axis=1, dtype=np.int64)
                 fine = (100 + percent) * most >= percent * (size[others] + size[k])
                 others, most = others[fine], most[fine]
+                if nearest and len(others):
+                    others = others[[np.argmax(most / (size[others] + size[k] - most))]]
                 swap = rep[others] < rep[k]
                 order = lambda values: (np.where(swap, values[others], values[k]), np.where(swap, values[k], values[others]))  # noqa: B023,E731
                 (a, b), (na, nb) = order(rep), order(size)
-                ca, cb = np.minimum(comp[others], comp[k]), np.maximum(comp[others], comp[k])
-                for column, values in zip(found, (a, b, na, nb, ca, cb, most * 1_000_000 // (size[others] + size[k] - most)), strict=True):
+                for column, values in zip(found, (a, b, na, nb), strict=True):
                     column.append(values)
         joined = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in found]
-        return pa.table(joined, names=["a", "b", "na", "nb", "ca", "cb", "most"])
+        return pa.table(joined, names=["a", "b", "na", "nb"])
 
-    schema = "a bigint, b bigint, na bigint, nb bigint, ca bigint, cb bigint, most bigint"
-    return inner.groupBy("leaf", "i", "j").applyInArrow(meet, schema).distinct()
+    return inner.groupBy("leaf", "i", "j").applyInArrow(meet, "a bigint, b bigint, na bigint, nb bigint").distinct()
 
 
 def unique(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The smallest document of every group, with all columns; documents without words and null ids stay."""
+    """The smallest document of every group, with all columns, whatever their names; documents without words and null ids stay."""
     drop = similar(docs, width, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(drop, docs["doc_id"] == F.col("_id"), "left_anti")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    return rows.join(drop, F.col("_doc.doc_id") == F.col("_id"), "left_anti").select("_doc.*")
