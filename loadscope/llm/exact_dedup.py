@@ -1,10 +1,11 @@
 """Exact duplicates by 128-bit content hash, with a byte comparison inside the groups.
 
-One aggregation per content hash carries the number of rows, the id that stays,
-and the smallest and largest normalised text of the group. Texts of a group are
-equal byte for byte exactly when these two are, so no group is gathered: every
-task combines its own rows before the shuffle. Only ids, sizes and hashes are kept
-of the groups. Were two different texts to share a hash, the rows of that hash
+One aggregation per content hash counts the rows and picks the id that stays; no text
+is shuffled for it. Of the hashes with several rows a second one takes the smallest
+and largest normalised text. Texts of a group are equal byte for byte exactly when
+these two are, so no group is gathered: every task combines its own rows before the
+shuffle. Which rows have such a hash is read from a map of bits of fixed size; rows that
+it names by chance are compared with themselves. Only ids, sizes and hashes are kept of the groups. Were two different texts to share a hash, the rows of that hash
 would be grouped by the whole text instead.
 """
 
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from loadscope.session import write_table
 
+#: Bits of the map that tells hashes of several rows: 4 MB.
+BITS = 1 << 25
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -31,6 +35,18 @@ def _md5(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def _perhaps(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The rows with one of the hashes, and a few others: a map of ``BITS`` bits, whatever the table, says which."""
+    # the functions count from 1
+    place = lambda: F.pmod(F.xxhash64("h"), F.lit(BITS)) + 1
+    at = hashes.select(place().alias("_p"))
+    bits = at.groupBy(F.bitmap_bucket_number("_p").alias("_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    placed = rows.withColumn("_k", F.bitmap_bucket_number(place())).withColumn("_bit", F.bitmap_bit_position(place()))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("long")
+    # BITS / 8 bytes at most
+    return placed.join(F.broadcast(bits), "_k").where(byte.bitwiseAND(F.expr("shiftleft(1L, cast(_bit % 8 as int))")) != 0).select(*rows.columns)
+
+
 def duplicates(docs: DataFrame, keep: str = "max", content_hash: Callable[[Column], Column] = _md5) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``.
 
@@ -42,11 +58,12 @@ def duplicates(docs: DataFrame, keep: str = "max", content_hash: Callable[[Colum
     """
     rows = docs.select("doc_id", normalised(F.col("text")).alias("norm")).select("doc_id", "norm", content_hash(F.col("norm")).alias("h"))
     stays = getattr(F, keep)
-    groups = write_table(
-        rows.groupBy("h").agg(stays("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.min("norm").alias("lo"), F.max("norm").alias("hi"))
-        .select("h", "keep_id", "group_size", (F.col("lo") != F.col("hi")).alias("mixed")),
-        "groups",
+    counted = write_table(rows.groupBy("h").agg(stays("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "counted")
+    bounds = (
+        _perhaps(rows, counted.where("group_size > 1").select("h")).groupBy("h")
+        .agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi").select("h", F.lit(True).alias("mixed"))
     )
+    groups = write_table(counted.join(bounds, "h", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))), "groups")
     sha = F.sha2("norm", 256).alias("text_sha256")
     verdict = lambda: (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept")
     plain = (
