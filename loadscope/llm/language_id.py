@@ -32,7 +32,7 @@ UNKNOWN = 1e-7
 SMOOTHING = 0.05
 PASSES = 2
 #: Words a worker collects or keeps at a time.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
@@ -51,6 +51,21 @@ def words_of(text: str) -> list[str]:
     return words
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bits that tell hashes of pieces from most others.
+_SEEN_BITS = 20
+
+
+def _codes(words: list[str], n: int) -> np.ndarray:
+    """``[word, place]``: code points of words of equal length, one added."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), n).astype(np.uint64) + np.uint64(1)
+
+
+def _stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
 class Pieces:
     """The vocabulary, and the pieces at every place of words of equal length."""
 
@@ -63,22 +78,44 @@ class Pieces:
         self.of = {n: k for k, n in enumerate(plain)}
         self.size = len(plain)
         self.longest = max(map(len, plain))
+        self.lengths = np.array(list(map(len, plain)))
+        self.letters = np.zeros((self.size, self.longest), dtype=np.uint64)
+        keys = np.zeros(self.size, dtype=np.uint64)
+        for n in range(1, self.longest + 1):
+            rows = np.flatnonzero(self.lengths == n)
+            codes = _codes([plain[k] for k in rows.tolist()], n)
+            self.letters[rows, :n] = codes
+            for k in range(n):
+                keys[rows] = (keys[rows] + codes[:, k]) * _BASE
+        keys = _stirred(keys)
+        self.ids = np.argsort(keys, kind="stable")
+        self.keys = keys[self.ids]
+        self.seen = np.zeros(1 << _SEEN_BITS, dtype=bool)
+        self.seen[keys >> np.uint64(64 - _SEEN_BITS)] = True
 
     def places(self, words: list[str]) -> np.ndarray:
-        """``[word, from, length - 1]``: id of the piece, ``size`` where there is none, ``size + 1`` for an unknown letter."""
-        n, get = len(words[0]), self.of.get
+        """``[word, from, length - 1]``: id of the piece, ``size`` where there is none, ``size + 1`` for an unknown letter.
+
+        Substrings of one length are hashed for all words at once. A table of bits tells
+        most that are no piece, the sorted hashes find the others, and the letters decide.
+        """
+        n = len(words[0])
         reach = min(n, self.longest)
         out = np.full((len(words), n, reach), self.size, dtype=np.int32)
-        at, ids = [], []
-        for k, word in enumerate(words):
-            for i in range(n):
-                base = (k * n + i) * reach - i - 1
-                for j in range(i + 1, min(n, i + reach) + 1):
-                    piece = get(word[i:j])
-                    if piece is not None:
-                        at.append(base + j)
-                        ids.append(piece)
-        out.ravel()[at] = ids
+        codes = _codes(words, n)
+        raw = np.zeros((len(words), n), dtype=np.uint64)
+        for size in range(1, reach + 1):
+            raw = (raw[:, : n - size + 1] + codes[:, size - 1 :]) * _BASE
+            key = _stirred(raw)
+            row, at = np.nonzero(self.seen[key >> np.uint64(64 - _SEEN_BITS)])
+            found = key[row, at]
+            place = np.minimum(np.searchsorted(self.keys, found), self.size - 1)
+            hit = self.keys[place] == found
+            row, at, piece = row[hit], at[hit], self.ids[place[hit]]
+            same = self.lengths[piece] == size
+            for k in range(size):
+                same &= self.letters[piece, k] == codes[row, at + k]
+            out[row[same], at[same], size - 1] = piece[same]
         single = out[:, :, 0]
         single[single == self.size] = self.size + 1
         return out
