@@ -58,7 +58,7 @@ def _unit(blobs) -> np.ndarray:
 
 
 def _cells(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """``rep, vec, cells``: the class's cell in every table, numbered over all tables; vectors of each length apart."""
+    """``rep, vec, copies, cells``: the class's cell in every table, numbered over all tables; vectors of each length apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -75,14 +75,30 @@ def _cells(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
                 cells[rows] = (signs * weights).sum(axis=2)
             flat = pa.array(cells.ravel(), pa.int64())
             at = pa.array(np.arange(len(blobs) + 1) * tables, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("vec"), pa.ListArray.from_arrays(at, flat)], ["rep", "vec", "cells"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(at, flat)], [*batch.schema.names, "cells"])
 
-    return classes.select("rep", "vec").mapInArrow(run, "rep bigint, vec binary, cells array<bigint>")
+    return classes.select("rep", "vec", "copies").mapInArrow(run, "rep bigint, vec binary, copies bigint, cells array<bigint>")
+
+
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """For a symmetric table of links, the first member that each member reaches."""
+    root = np.arange(len(linked))
+    while True:
+        least = np.where(linked, root[None, :], len(linked)).min(axis=1, initial=len(linked))
+        new = np.minimum(root, least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 def _links(placed: DataFrame, threshold: float) -> DataFrame:
-    """Linked pairs ``a < b`` of classes, each once."""
-    entries = placed.select("rep", "vec", "cells", F.octet_length("vec").alias("n"), F.posexplode("cells").alias("t", "cell"))
+    """``rep, n, root``: for each class and tile in which it has links, the vectors it links with there and one class it reaches.
+
+    A pair counts in the first table that brings it together. A tile gives a row per
+    member at most, however many of its pairs link.
+    """
+    entries = placed.select("rep", "vec", "copies", "cells", F.octet_length("vec").alias("n"), F.posexplode("cells").alias("t", "cell"))
     key = ["n", "t", "cell"]
     crowded = entries.groupBy(*key).agg(F.count("*").alias("size")).where("size > 1")
     tiles = (
@@ -90,7 +106,7 @@ def _links(placed: DataFrame, threshold: float) -> DataFrame:
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("own", F.pmod(F.hash("rep"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "vec", "cells")
+        .select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "vec", "copies", "cells")
     )
 
     def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
@@ -100,14 +116,24 @@ def _links(placed: DataFrame, threshold: float) -> DataFrame:
         unit = _unit(group.column("vec").to_pylist())
         cells = group.column("cells").chunk(0).flatten().to_numpy().reshape(len(rep), -1)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        x, y = np.nonzero(unit[left] @ unit[right].T >= threshold)
-        x, y = left[x], right[y]
-        once = (rep[x] < rep[y]) if i == j else rep[x] != rep[y]
-        once &= ~(cells[x, :table] == cells[y, :table]).any(axis=1)
-        x, y = rep[x[once]], rep[y[once]]
-        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
-
-    return tiles.groupBy(*key, "i", "j").applyInArrow(meet, "a bigint, b bigint")
+        copies = group.column("copies").to_numpy()
+        linked = unit[left] @ unit[right].T >= threshold
+        linked &= rep[left][:, None] != rep[right][None, :]
+        x, y = np.nonzero(linked)
+        met = (cells[left[x], :table] == cells[right[y], :table]).any(axis=1)
+        linked[x[met], y[met]] = False
+        n = np.zeros(len(rep), dtype=np.int64)
+        n[left] = linked @ copies[right]
+        if i != j:
+            n[right] = copies[left] @ linked
+        whole = np.zeros((len(rep), len(rep)), dtype=bool)
+        whole[np.ix_(left, right)] = linked
+        whole |= whole.T
+        root = _roots(whole)
+        found = np.flatnonzero(n)
+        return pa.table({"rep": pa.array(rep[found], pa.int64()), "n": pa.array(n[found], pa.int64()), "root": pa.array(rep[root[found]], pa.int64())})
+
+    return tiles.groupBy(*key, "i", "j").applyInArrow(meet, "rep bigint, n bigint, root bigint")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, seed: int = 11) -> DataFrame:
@@ -125,9 +151,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     bits, tables = layout(classes.count(), threshold)
     placed = write_table(_cells(classes, bits, tables, seed), "cells")
     links = write_table(_links(placed, threshold), "links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    beside = both.join(classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("beside"))
-    joined = connected_components(links)
+    beside = links.groupBy(F.col("rep").alias("a")).agg(F.sum("n").alias("beside"))
+    joined = connected_components(links, "rep", "root")
     info = (
         classes.join(beside, F.col("rep") == F.col("a"), "left").drop("a")
         .join(joined, F.col("rep") == F.col("node"), "left")
