@@ -89,7 +89,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     "op8_mixing",
     r"""
-    with z as (
+    with recursive z as (
       select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
         md5(coalesce(cast(doc_id as varchar), '')) as h
       from documents
@@ -108,21 +108,31 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), u as (
       select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole from t
     ), p as (
-      select z.doc_id, z.size, no, source_size, target, whole, target - whole * source_size as missing,
+      select z.doc_id, z.size, u.no, source_size, target, whole, target - whole * source_size as missing,
         sum(size) over (partition by no order by h, doc_id, size rows unbounded preceding) as stop
       from z join u on z.source is not distinct from u.source
     ), g as (
       select no, max(missing) - coalesce(sum(size) filter (stop <= missing), 0) as gap from p group by no
-    ), f as (
-      select no, arg_max(stop, (size, -stop)) as fill from p join g using (no) where stop > missing and size > 0 and size <= gap group by no
-    )
+    ), fill as (  -- the largest that fits, then in order what fits up to the first that does not, and again
+      select no, gap, list({'stop': stop, 'size': size} order by stop) as rest, true as big, null::hugeint as stop
+      from p join g using (no) where stop > missing and size > 0 and size <= gap group by no, gap
+      union all
+      select no, gap - case when x.size <= gap then x.size else 0 end,
+        case when big then list_filter(rest, lambda y: y.stop <> x.stop and y.size <= gap - x.size)
+          when x.size <= gap then rest[2:] else list_filter(rest, lambda y: y.size <= gap) end,
+        x.size > gap, case when x.size <= gap then x.stop end
+      from (
+        select *, case when big then list_filter(rest, lambda y: y.size = list_max(list_transform(rest, lambda z: z.size)))[1] else rest[1] end as x
+        from fill where len(rest) > 0
+      )
+    ), f as (select no, stop as fill from fill where stop is not null)
     select doc_id, size, cast(source_size as bigint) as source_size, target,
-      cast(size * (whole + case when stop <= missing or (size > 0 and coalesce(stop = fill, false)) then 1 else 0 end) as bigint) as taken
-    from p left join f using (no)
+      cast(size * (whole + case when stop <= missing or (size > 0 and fill is not null) then 1 else 0 end) as bigint) as taken
+    from p left join f on f.no = p.no and f.fill = p.stop
     """,
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"), rounds=1).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @_query(
