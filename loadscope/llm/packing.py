@@ -37,7 +37,7 @@ WINDOW = 2048
 SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
 #: A task forgets the parts of words from before the last slices when it knows more.
-KNOWN_PARTS = 150_000
+KNOWN_PARTS = 200_000
 #: Parts in one list for the library.
 _PARTS_AT_ONCE = 10_000
 #: Ids of the vocabulary are below this.
@@ -173,8 +173,7 @@ class WordIds:
         starts, ends, _ = spans(kind > 0, bounds)
         strange = (data >= 0x80) | (data == 0x27)
         strange[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
-        seen = np.concatenate([[0], np.cumsum(strange, dtype=np.int32)])
-        odd = np.flatnonzero(seen[ends] > seen[starts])
+        odd = np.flatnonzero(np.logical_or.reduceat(strange, starts)) if len(starts) else starts
         if len(odd):
             mark = np.zeros(len(data) + 1, dtype=np.int8)
             mark[starts[odd]] = 1

@@ -77,11 +77,16 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
         raw, number = data.tobytes(), {}
         low[long] = [number.setdefault(raw[a:b], len(number)) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
         high[long] = 0
-    kind = np.minimum(lengths, 2 * _HEAD + 1).astype(np.uint64)  # lengths tell words with zero bytes, and long words, apart
-    mixed = (low * np.uint64(0x9E3779B97F4A7C15)) ^ ((high + kind * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xBF58476D1CE4E5B9))
+    kind = np.minimum(lengths, 2 * _HEAD + 1).astype(np.uint8)  # lengths tell words with zero bytes, and long words, apart
+    mixed = high + kind * np.uint64(0xD6E8FEB86659FD93)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= low * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(32)
     order = np.argsort(mixed, kind="stable")
-    low, high, kind, mixed = low[order], high[order], kind[order], mixed[order]
+    low = low[order]  # one after another: a slice has more than a million words
+    high = high[order]
+    kind = kind[order]
+    mixed = mixed[order]
     if _clash(low, high, kind, mixed):  # two words under one number: order by the words themselves
         by_word = np.lexsort((kind, high, low))
         order, low, high, kind = order[by_word], low[by_word], high[by_word], kind[by_word]
