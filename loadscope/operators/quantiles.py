@@ -2,8 +2,8 @@
 
 ``percentile`` keeps every distinct value of a group in one task. Here a bracket
 around each quantile is narrowed in rounds: the values inside the bracket are sketched,
-the values below are counted, and the sketch gives a bracket of about two thousandths
-of the rows. After ``ROUNDS`` rounds about one row in a hundred million of a group is
+the values below are counted, and the sketch gives a bracket of about six thousandths
+of the rows. After ``ROUNDS`` rounds about one row in 26,000 of a group is
 left; only those are counted by value, ordered, and read off at the exact rank.
 
 Sketches are merged in two levels. A group's rows are dealt over ``SALTS`` partial
