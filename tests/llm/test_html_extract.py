@@ -1,4 +1,5 @@
 import html
+import time
 
 from pyspark.sql import functions as F
 
@@ -114,3 +115,20 @@ def test_furniture_in_an_article_by_a_second_sign(spark):
     rows = [(k, f"http://{k}.example", f"<body><article>{text}{box}{text}{tail}</article></body>") for k, box in enumerate(boxes)]
     want = "\n".join([("some words " * 9).strip()] * 2)
     assert [t for _, t, _ in result(H.extract(frame(spark, rows))).values()] == [want] * len(boxes)
+
+
+def test_quotes_in_values_without_quotes_and_open_objects(spark):
+    pages = [
+        "<article><p title=it's>First words.</p><p>Second words.</p></article>",
+        "<article><p>First words.</p><img alt=Don't src=x><p>Second words.</p></article>",
+        "<article><p>First words.</p><object data=x><p>Second words.</p></article>",
+        '<article><p title="a > b">First words.</p><p title = \'c > "d\'>Second words.</p></article>',
+    ]
+    got = result(H.extract(frame(spark, [(k, f"http://q{k}.example/", "<html><body>" + p + "</body></html>") for k, p in enumerate(pages)])))
+    assert {k: v[1] for k, v in got.items()} == {k: "First words.\nSecond words." for k in range(len(pages))}
+
+
+def test_tags_that_never_end_take_linear_time():
+    start = time.process_time()
+    H.parse("<p " + '="x" ' * 20_000 + "<p>word")
+    assert time.process_time() - start < 10
