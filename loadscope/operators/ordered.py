@@ -6,10 +6,11 @@ Three ways to cut an ordered table into bounded pieces are used here:
   ``CELL`` rows, whatever the data looks like;
 * **hash order** — the leading bits of a row hash are uniform, so every cell
   gets the same share of the rows;
-* **any other order** — Spark's own range partitioning over a sort key that ends
-  in a unique id. Because the id is part of the key, a hot time stamp or a hot
-  group is cut like everything else. The runs are written to the shared folder,
-  so every later step sees the same cuts even after an executor is lost.
+* **any other order** — runs between boundaries of a sort key that ends in a unique
+  id. Because the id is part of the key, a hot time stamp or a hot group is cut like
+  everything else. The boundaries come from a sample by hash of the id, so every
+  scan sees the same cuts, also after an executor is lost: nothing is written, and
+  the rows are shuffled once.
 
 Each piece is ordered on its own; only one row per piece goes through an
 un-partitioned window.
@@ -24,11 +25,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loadscope.functions.randomness import HASH_BITS, hash52
-from loadscope.session import write_table
 
 CELL = 1 << 16
 HASH_CELL_BITS = 16
-_LOCAL_BITS = 33
+#: Sampled rows for every run; a run's size differs from the mean by about an eighth.
+SAMPLED = 64
 
 
 def _before(pieces: DataFrame, order: str, amount: str, out: str) -> DataFrame:
@@ -100,56 +101,82 @@ def hash_rank(
     return rows.drop("_cell", "_key", "_tie", "_offset")
 
 
-def first_by_id(df: DataFrame, row_id: str, n: int, out: str) -> DataFrame:
-    """The first ``n`` rows in id order with their 0-based position; ``n`` may grow with the table."""
-    numbered = row_number(df, [row_id], out)
-    return numbered.withColumn(out, F.col(out) - 1).where(F.col(out) < n)
+def first_by_id(df: DataFrame, row_id: str, n: int, out: str, *, cell: int = CELL) -> DataFrame:
+    """The first ``n`` rows in the order of a unique integer id with their 0-based position.
 
+    ``n`` may grow with the table. Ids are counted by block and, in the block of the
+    ``n``-th row only, by cell; rows beyond that cell are neither sorted nor shuffled.
+    """
+    at = F.floor(F.col(row_id) / F.lit(cell))
 
-def sorted_runs(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
-    """Range-partition by ``order`` (which must end in a unique column) and number the runs.
+    def last_before(rows: DataFrame, piece: Column, taken: Column | int) -> DataFrame:
+        """The piece that holds the ``n``-th row, and the rows before it."""
+        counts = rows.groupBy(piece.alias("_piece")).agg(F.count(F.lit(1)).alias("_rows"))
+        placed = _before(counts, "_piece", "_rows", "_offset").withColumn("_offset", F.col("_offset") + taken)
+        return placed.where(F.col("_offset") < n).agg(F.max_by(F.struct("_piece", "_offset"), "_piece").alias("_at"))
+
+    block = F.floor(at / F.lit(cell))
+    first = last_before(df, block, F.lit(0)).scalar()
+    inside = df.withColumn("_first", first).where(block == F.col("_first._piece")).select(row_id, "_first")
+    taken = F.lit(0) if n < 1 else first["_offset"]
+    last = last_before(inside, at, taken).scalar()["_piece"]
+    head = df.where(at <= last).withColumn("_one", F.lit(1).cast("bigint"))
+    numbered = prefix_sum(head, row_id, "_one", out, inclusive=False, cell=cell).drop("_one")
+    return numbered.where(F.col(out) < n)
 
-    Adds ``_run`` (increasing with the order) and ``_pos`` (0-based inside a run).
-    """
-    keys = [F.col(c) for c in order]
-    ranged = (
-        df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    )
-    mark = F.monotonically_increasing_id()
-    numbered = ranged.sortWithinPartitions(*keys).withColumn("_mark", mark)
-    return write_table(
-        numbered.withColumn("_run", F.shiftright("_mark", _LOCAL_BITS))
-        .withColumn("_pos", F.col("_mark").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
-        .drop("_mark"),
-        "runs",
-    )
 
+def _key(order: list[str]) -> Column:
+    return F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)])
 
-def run_row_number(runs: DataFrame, out: str) -> DataFrame:
-    """1-based global row number of a table from :func:`sorted_runs`; no further shuffle."""
+
+def sorted_runs(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
+    """Adds ``_run``: even ranges of ``order`` (which must end in a unique column), increasing with it.
+
+    About ``partitions`` runs, by default as many as shuffle partitions. The boundaries
+    are every 64th row of a sample of at most about 64 rows a run.
+    """
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    share = F.lit(float(SAMPLED * partitions) * 2.0**HASH_BITS) / F.nullif(rows, F.lit(0))
+    spread = F.shiftrightunsigned(F.xxhash64(F.lit("run"), order[-1]), 64 - HASH_BITS)
+    sample = df.where(spread < share).select(_key(order).alias("_at"))
+    numbered = sample.withColumn("_no", F.row_number().over(W.orderBy("_at")))
+    chosen = numbered.where(F.col("_no") % SAMPLED == 0)
+    bounds = chosen.agg(F.array_sort(F.collect_list("_at")).alias("_bounds")).scalar()
+    # a binary search: the number of boundaries up to the row
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((2 * partitions).bit_length()))])
+
+    def further(found: Column, step: Column) -> Column:
+        reached = (found + step <= F.size("_bounds")) & (F.get("_bounds", found + step - 1) <= F.col("_at"))
+        return F.when(reached, found + step).otherwise(found)
+
+    placed = df.withColumns({"_bounds": bounds, "_at": _key(order)})
+    return placed.withColumn("_run", F.aggregate(steps, F.lit(0), further)).drop("_bounds", "_at")
+
+
+def run_row_number(runs: DataFrame, order: list[str], out: str) -> DataFrame:
+    """1-based global row number of a table from :func:`sorted_runs`."""
     sizes = runs.groupBy("_run").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = _before(sizes, "_run", "_rows", "_offset").select("_run", "_offset")
+    local = F.row_number().over(W.partitionBy("_run").orderBy(*order))
     return (
-        runs.join(F.broadcast(offsets), "_run")  # one row per range partition
-        .withColumn(out, F.col("_pos") + F.col("_offset") + 1)
-        .drop("_offset")
+        runs.withColumn("_local", local)
+        .join(F.broadcast(offsets), "_run")  # one row per run
+        .withColumn(out, F.col("_local") + F.col("_offset"))
+        .drop("_local", "_offset")
     )
 
 
-def run_row_number_by(runs: DataFrame, keys: list[str], out: str) -> DataFrame:
+def run_row_number_by(runs: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """1-based row number inside each key, for runs sorted by ``keys`` first.
 
     A key that spans several runs is numbered run by run; what precedes it comes
     from a table with one row per run.
     """
-    key = F.struct(*keys)
-    per_key = runs.groupBy("_run", *keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_start")
-    )
+    key = _key(keys)
+    per_key = runs.groupBy("_run", *keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_key", key)
     edges = per_key.groupBy("_run").agg(
-        F.min_by(key, "_start").alias("_head"),
-        F.max_by(key, "_start").alias("_tail"),
-        F.max_by("_n", "_start").alias("_tail_n"),
+        F.min("_key").alias("_head"), F.max("_key").alias("_tail"), F.max_by("_n", "_key").alias("_tail_n")
     )
     same_tail = W.partitionBy("_tail").orderBy("_run").rowsBetween(W.unboundedPreceding, 0)
     edges = edges.withColumn("_upto", F.sum("_tail_n").over(same_tail))
@@ -161,33 +188,35 @@ def run_row_number_by(runs: DataFrame, keys: list[str], out: str) -> DataFrame:
         .otherwise(0)
         .alias("_carry"),
     )
-    local = W.partitionBy("_run", *keys).orderBy("_pos")
+    # partitioned by the run alone, so that a row number and a lag share the shuffle's layout
+    by = W.partitionBy("_run").orderBy(*keys, *order)
+    start = F.min("_place").over(W.partitionBy("_run", *keys))
     return (
-        runs.withColumn("_local", F.row_number().over(local))
-        .join(F.broadcast(edges), "_run")  # one row per range partition
+        runs.withColumn("_place", F.row_number().over(by))
+        .withColumn("_local", F.col("_place") - start + 1)
+        .join(F.broadcast(edges), "_run")  # one row per run
         .withColumn(
             out,
             F.col("_local")
             + F.when(key.eqNullSafe(F.col("_head")), F.col("_carry")).otherwise(0),
         )
-        .drop("_local", "_head", "_carry")
+        .drop("_place", "_local", "_head", "_carry")
     )
 
 
-def run_lag(runs: DataFrame, values: dict[str, str], keys: list[str] | None = None) -> DataFrame:
+def run_lag(runs: DataFrame, order: list[str], values: dict[str, str], keys: list[str] | None = None) -> DataFrame:
     """Previous row's values (``{out: column}``) in run order, NULL at the start of a key.
 
     The first row of a run takes the last row of the run before it, from a table
     with one row per run.
     """
     keys = keys or []
+    full = [*keys, *order]
     kept = {**{f"_key{i}": k for i, k in enumerate(keys)}, **{f"_value{i}": c for i, c in enumerate(values.values())}}
-    ends = runs.groupBy("_run").agg(F.max("_pos").alias("_pos"))
     row = F.struct(F.lit(True).alias("_seen"), *[F.col(c).alias(n) for n, c in kept.items()])
-    last = runs.select("_run", "_pos", row.alias("_last")).join(F.broadcast(ends), ["_run", "_pos"])
-    last = last.groupBy("_run").agg(F.any_value("_last").alias("_last"))
+    last = runs.groupBy("_run").agg(F.max_by(row, _key(full)).alias("_last"))
     last = last.select("_run", F.lag("_last").over(W.orderBy("_run")).alias("_carried"))
-    before = W.partitionBy("_run").orderBy("_pos")
+    before = W.partitionBy("_run").orderBy(*full)
     near = {n: F.lag(c).over(before) for n, c in kept.items()}
     joined = runs.withColumns({**near, "_seen": F.lag(F.lit(True)).over(before)}).join(F.broadcast(last), "_run")
 
@@ -207,8 +236,8 @@ def row_number(
 ) -> DataFrame:
     """1-based row number over the table, or inside each key; ``order`` ends in a unique id."""
     runs = sorted_runs(df, [*(keys or []), *order], partitions)
-    numbered = run_row_number_by(runs, keys, out) if keys else run_row_number(runs, out)
-    return numbered.drop("_run", "_pos")
+    numbered = run_row_number_by(runs, keys, order, out) if keys else run_row_number(runs, order, out)
+    return numbered.drop("_run")
 
 
 def lag(
@@ -217,4 +246,4 @@ def lag(
 ) -> DataFrame:
     """Values of the previous row over the table, or inside each key."""
     runs = sorted_runs(df, [*(keys or []), *order], partitions)
-    return run_lag(runs, values, keys).drop("_run", "_pos")
+    return run_lag(runs, order, values, keys).drop("_run")

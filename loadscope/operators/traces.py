@@ -175,7 +175,7 @@ def attach_pairs(
     """
     runs = ordered.sorted_runs(rows, order)
     needed = runs.agg(F.count(F.lit(1)).alias("c")).scalar()
-    numbered = ordered.run_row_number(runs, "ordinal").drop("_run", "_pos")
+    numbered = ordered.run_row_number(runs, order, "ordinal").drop("_run")
     numbered = numbered.withColumn("ordinal", F.col("ordinal") - 1)
     ranked = ordered.hash_rank(pairs, F.col(pair_id), seed, "_rank", upto=needed)
     ranked = with_lengths(ranked, count_tokens).withColumn("_fits", fits(max_length))

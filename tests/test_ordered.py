@@ -98,11 +98,28 @@ def test_hash_rank_keep_ranks_survivors_only(facts):
     assert list(even.sort_values("r").id) == list(whole.id[:50])
 
 
-@pytest.mark.parametrize("n", [25, 4000])
-def test_first_by_id(facts, n):
+@pytest.mark.parametrize("n", [0, 25, 4000, 9000])
+@pytest.mark.parametrize("cell", [9, 1 << 16])
+def test_first_by_id(facts, n, cell):
     _, df = facts
-    got = ordered.first_by_id(df, "id", n, "o").toPandas().sort_values("o")
-    assert list(got.id) == list(got.o) == list(range(n))
+    for step, shift in ((1, 0), (11, -500)):
+        ids = df.withColumn("id", F.col("id") * step + shift)
+        got = ordered.first_by_id(ids, "id", n, "o", cell=cell).toPandas().sort_values("o")
+        have = min(n, df.count())
+        assert list(got.o) == list(range(have)) and list(got.id) == [i * step + shift for i in range(have)]
+
+
+def test_order_is_planned_without_a_job(facts, spark):
+    """Nothing is written or counted when a lag or a row number is planned, and the rows are shuffled once."""
+    _, df = facts
+    group = spark.sparkContext.statusTracker()
+    before = group.getJobIdsForGroup(None)
+    lagged = ordered.lag(df, ["t", "id"], {"p": "t"}, keys=["k"])
+    ordered.row_number(df, ["t", "id"], "rn")
+    assert group.getJobIdsForGroup(None) == before
+    plan = lagged._jdf.queryExecution().executedPlan().toString()
+    # whole rows by run, and the last row of a run of every task
+    assert plan.count("Exchange hashpartitioning(_run") == 2
 
 
 def test_empty_input(spark):
@@ -111,6 +128,7 @@ def test_empty_input(spark):
     assert ordered.lag(empty, ["t", "id"], {"p": "t"}, keys=["k"]).count() == 0
     assert ordered.prefix_sum(empty, "id", "t", "s").count() == 0
     assert ordered.hash_rank(empty, F.col("id"), 1, "r", upto=5).count() == 0
+    assert ordered.first_by_id(empty, "id", 5, "o").count() == 0
 
 
 def test_shared_folder_comes_from_the_session(spark):

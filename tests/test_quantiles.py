@@ -18,10 +18,10 @@ def values(spark):
     return frame, spark.createDataFrame(frame).repartition(6)
 
 
-@pytest.mark.parametrize("rounds,points", [(2, 1000), (1, 50), (3, 20), (0, 10)])
-def test_exact_with_any_number_of_rounds(values, rounds, points):
+@pytest.mark.parametrize("rounds,bins", [(2, 1 << 16), (1, 50), (3, 20), (0, 10)])
+def test_exact_with_any_number_of_rounds(values, rounds, bins):
     frame, df = values
-    how = {"rounds": rounds, "points": points, "accuracy": 1000}
+    how = {"rounds": rounds, "bins": bins}
     got = quantiles(df, ["k"], ["x"], PROBS, extra={"mean": F.avg}, **how).toPandas().sort_values("k")
     groups = frame.groupby("k").x
     for name, p in PROBS.items():
@@ -33,26 +33,44 @@ def test_exact_with_any_number_of_rounds(values, rounds, points):
 
 @pytest.mark.parametrize("n", [1, 2, 100, 1_000_000])
 def test_one_path_for_every_size(spark, n):
-    """The rows that are ordered in one task are a falling share of the group."""
     df = spark.range(n).select(((F.col("id") * 7919) % n).cast("double").alias("x"))
     got = quantiles(df, [], ["x"], {"p50": 0.5, "p99": 0.99}).first()
     assert (got.n, got.p50, got.p99) == (n, (n - 1) * 0.5, pytest.approx((n - 1) * 0.99))
 
 
-def ordered_rows(df, n):
-    group = ["metric"]
+def left_to_order(df):
+    """Most different values that one task orders in the last step, and most bins in a step before."""
     values = df.select(F.lit("x").alias("metric"), "x")
-    bounds = df.sparkSession.range(1).selectExpr("'x' metric", "0 i", f"{0.5 * (n - 1)}D at", "cast(null as double) low", "cast(null as double) high")
+    brackets = module._logarithmic(values, ["metric"], [0.01, 0.5, 0.99])
     for _ in range(module.ROUNDS):
-        bounds = module._narrowed(values, bounds, group, module.ACCURACY, module.POINTS)
-    b = bounds.first()
-    return df.where(F.col("x").between(b.low, b.high)).count()
+        brackets = module._narrowed(values, brackets, ["metric"], module.BINS)
+    return max(r.n for r in module._within(values, brackets, ["metric"]).groupBy("i").agg(F.countDistinct("x").alias("n")).collect())
 
 
-def test_the_ordered_share_falls(spark):
-    frames = {n: spark.range(n).select(((F.col("id") * 7919) % n).cast("double").alias("x")) for n in (20_000, 2_000_000)}
-    left = {n: ordered_rows(df, n) for n, df in frames.items()}
-    assert left[2_000_000] < 2_000_000 // 5_000 and left[2_000_000] / 2_000_000 < left[20_000] / 20_000
+#: Two hundred thousand neighbouring doubles beside two values that keep the brackets wide.
+CROWD = "case id when 0 then 1.04D when 1 then 1D + pow(2D, -22) else 1D + (id % 200000) * pow(2D, -52) end"
+
+
+@pytest.mark.parametrize("shape,most", [("id", 64), ("exp(rand(3) * 600 - 300)", 64), ("1 + rand(4)", 64), (CROWD, module.BINS)])
+def test_what_is_ordered_does_not_grow(spark, shape, most):
+    """A narrow range, a wide one and a crowd between outliers: at most a bin's width of doubles."""
+    for n in (10_000, 1_000_000):
+        assert left_to_order(spark.range(n).selectExpr(f"cast({shape} as double) x")) <= most
+
+
+def test_neighbouring_doubles_and_odd_values(spark):
+    """Ten thousand neighbouring doubles, both zeros, subnormals, infinities, NaN: as numpy orders them."""
+    near = 1.0 + np.arange(10_000) * 2.0**-52
+    for xs in (near, np.array([-0.0, 0.0, 5e-324, -5e-324, 1e-310]), np.array([-1e308, -3.0, -2.0, 4.0, 1e308])):
+        df = spark.createDataFrame(pd.DataFrame({"x": xs})).repartition(3)
+        got = quantiles(df, [], ["x"], PROBS).first()
+        for name, p in PROBS.items():
+            at = p * (len(xs) - 1)
+            low, high = np.sort(xs)[[int(np.floor(at)), int(np.ceil(at))]]
+            assert got[name] == (low if low == high else low + (high - low) * (at - np.floor(at)))
+    odd = spark.createDataFrame([(float(v),) for v in ("-inf", "1", "2", "inf", "inf", "nan", "nan")], "x double")
+    got = quantiles(odd, [], ["x"], {"p0": 0.0, "p50": 0.5, "p100": 1.0}).first()
+    assert (got.p0, got.p50) == (float("-inf"), float("inf")) and np.isnan(got.p100)
 
 
 def test_nulls_groups_without_values_and_empty_input(spark):
@@ -66,8 +84,8 @@ def test_nulls_groups_without_values_and_empty_input(spark):
 def test_several_columns_share_the_passes(values):
     frame, df = values
     two = df.withColumn("y", F.col("x") * -2)
-    got = {r.metric: (r.n, r.p25) for r in quantiles(two, [], ["x", "y"], {"p25": 0.25}, accuracy=1000).collect()}
+    got = {r.metric: (r.n, r.p25) for r in quantiles(two, [], ["x", "y"], {"p25": 0.25}).collect()}
     assert got["x"] == pytest.approx((len(frame), frame.x.quantile(0.25)))
     assert got["y"] == pytest.approx((len(frame), (frame.x * -2).quantile(0.25)))
-    keyed = quantiles(two, ["k"], ["x", "y"], {"p25": 0.25}, accuracy=1000)
+    keyed = quantiles(two, ["k"], ["x", "y"], {"p25": 0.25})
     assert keyed.count() == 2 * frame.k.nunique()
