@@ -28,6 +28,8 @@ from loadscope.functions.randomness import HASH_BITS, hash52
 
 CELL = 1 << 16
 HASH_CELL_BITS = 16
+#: Rows tried first for every row wanted of a shuffle that drops rows.
+TRIED = 4
 #: Sampled rows for every run; a run's size differs from the mean by about an eighth.
 SAMPLED = 64
 
@@ -81,16 +83,18 @@ def hash_rank(
     counted first, at most ``2**bits`` rows, which bounds the broadcast. With
     ``upto`` the second scan stops at the last cell needed: the cutoff is a plain
     filter on the id ahead of ``keep``, so an expensive ``keep`` (token counting)
-    runs once over the table and again only for about ``upto`` rows. A top-n by
+    runs for a few times ``upto`` rows: first for the cells of the first ``TRIED * upto``
+    rows, and for the others only where too few of those are kept. A top-n by
     sorting would instead send ``n`` rows of every task to a single one.
     """
+    early = keep is not None and upto is not None
     keep = keep or (lambda rows: rows)
     keyed = df.withColumn("_key", hash52(row_id, seed)).withColumn("_tie", row_id)
     keyed = keyed.withColumn("_cell", F.shiftright("_key", HASH_BITS - bits))
-    counts = keep(keyed).groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    limit = upto if upto is None or isinstance(upto, Column) else F.lit(upto)
+    counts = _early_counts(keyed, keep, limit) if early else _per_cell(keep(keyed))
     offsets = _before(counts, "_cell", "_rows", "_offset").select("_cell", "_offset")
     if upto is not None:
-        limit = upto if isinstance(upto, Column) else F.lit(upto)
         offsets = offsets.where(F.col("_offset") < limit)
         keyed = keyed.where(F.col("_cell") <= offsets.agg(F.max("_cell").alias("c")).scalar())
     inside = W.partitionBy("_cell").orderBy("_key", "_tie")
@@ -101,6 +105,25 @@ def hash_rank(
     return rows.drop("_cell", "_key", "_tie", "_offset")
 
 
+def _per_cell(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def _early_counts(keyed: DataFrame, keep: Callable[[DataFrame], DataFrame], limit: Column) -> DataFrame:
+    """Kept rows of the first cells, and those of all others only if the first hold fewer than ``limit``.
+
+    The others are joined with one row, or none if they are not needed: adaptive
+    execution then leaves out their scan.
+    """
+    tried = _before(_per_cell(keyed), "_cell", "_rows", "_offset").where(F.col("_offset") < limit * TRIED)
+    last = F.coalesce(tried.agg(F.max("_cell").alias("c")).scalar(), F.lit(-1))
+    near = _per_cell(keep(keyed.where(F.col("_cell") <= last)))
+    short = near.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("_found")).where(F.col("_found") < limit)
+    others = keyed.where(F.col("_cell") > last).withColumn("_open", F.lit(1))
+    needed = others.join(F.broadcast(short.select(F.lit(1).alias("_open"))), "_open", "left_semi").drop("_open")
+    return near.unionByName(_per_cell(keep(needed)))
+
+
 def first_by_id(df: DataFrame, row_id: str, n: int, out: str, *, cell: int = CELL) -> DataFrame:
     """The first ``n`` rows in the order of a unique integer id with their 0-based position.
 

@@ -32,13 +32,18 @@ def read_request_log(spark: SparkSession, path: str | list[str], models: list[st
 
 
 def read_step_log(spark: SparkSession, path: str | list[str], models: list[str] | None = None) -> DataFrame:
-    """Step log. Rows of one file are told apart by time stamp; equal ones by row content."""
-    log = _profiles(spark, path, schemas.STEP_LOG, models)
-    return log.withColumn("step_id", F.xxhash64(*log.columns))
+    """Step log. ``step_id`` is the split of a row and its position there: unique for equal rows too.
+
+    It follows from the files and the size of splits alone, so every scan of a session, and one
+    repeated after an executor is lost, gives a row the same one.
+    """
+    return _profiles(spark, path, schemas.STEP_LOG, models, row_id="step_id")
 
 
-def _profiles(spark: SparkSession, path, schema: StructType, models: list[str] | None) -> DataFrame:
+def _profiles(spark: SparkSession, path, schema: StructType, models: list[str] | None, row_id: str | None = None) -> DataFrame:
     log = read_csv(spark, path, schema, with_path=models is not None)
+    if row_id is not None:
+        log = log.withColumn(row_id, F.monotonically_increasing_id())
     log = log.withColumnRenamed("timestamp", "timestamp_us")
     if models is None:
         return log

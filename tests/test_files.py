@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from loadscope.functions.names import result_keys
-from loadscope.operators import traces
+from loadscope.operators import ordered, traces
 from loadscope.session import shared_path
 from loadscope.sources import corpora, files, logs
 
@@ -46,6 +46,24 @@ def test_record_without_bulky_fields(spark, folder):
     assert spark.read.json(folder).columns == ["completed"]
 
 
+def test_equal_steps_have_ids_of_their_own(spark, tmp_path):
+    """Three files of equal rows at one time stamp, cut into many splits: unique ids, the same in every scan."""
+    columns = "timestamp,run_idx,is_warmup_step,num_decoding_tokens,num_prefilling_tokens,num_finetuning_fwd_tokens,num_finetuning_bwd_tokens,num_bwd_layers"
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text(columns + "\n" + "5,1,0,256,0,0,0,0\n" * 2000)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        log = logs.read_step_log(spark, str(tmp_path))
+        assert log.rdd.getNumPartitions() > 6
+        ids = {r.step_id for r in log.select("step_id").collect()}
+        assert len(ids) == 6000 and ids == {r.step_id for r in log.where("run_idx = 1").collect()}
+        sizes = ordered.sorted_runs(log, ["timestamp_us", "step_id"], 8).groupBy("_run").count().toPandas()["count"]
+        assert sizes.max() < 6000 / 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_logs_by_name(spark, tmp_path):
     name = (
         "inference_request_profiling_overhead_test_org_m_tensor_parallelism_2_max_requests_per_batch_8"

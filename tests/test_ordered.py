@@ -98,6 +98,23 @@ def test_hash_rank_keep_ranks_survivors_only(facts):
     assert list(even.sort_values("r").id) == list(whole.id[:50])
 
 
+@pytest.mark.parametrize("n,modulus,most", [(50, 2, 1000), (50, 150, 18_000), (10, 10_000, 18_000)])
+def test_hash_rank_stops_early(facts, spark, n, modulus, most):
+    """Rows are looked at for a few times ``n`` only; all of them, at most three times, where few are kept."""
+    frame, df = facts
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch[batch["id"] % modulus == 0]
+
+    got = ordered.hash_rank(df, F.col("id"), 1, "r", upto=n, keep=lambda d: d.mapInPandas(look, d.schema)).toPandas()
+    whole = ordered.hash_rank(df.where(F.col("id") % modulus == 0), F.col("id"), 1, "r").toPandas().sort_values("r")
+    assert list(got.sort_values("r").id) == list(whole.id[:n])
+    assert seen.value < most
+
+
 @pytest.mark.parametrize("n", [0, 25, 4000, 9000])
 @pytest.mark.parametrize("cell", [9, 1 << 16])
 def test_first_by_id(facts, n, cell):
