@@ -2,8 +2,8 @@
 
 A page's blocks are scored by their text outside links, and the page votes for the
 container that holds its article: the body may be left for the child that holds most
-of the score, any other container only for a child outside of which there is nothing
-but links, and an article element is never entered. Votes go to generalised paths, tags
+of the score past boxes with a class or id of their own, any other container only for a
+child outside of which there is nothing but links, and an article element is never entered. Votes go to generalised paths, tags
 with their classes without numbers, and are counted per host in Spark. Every page is
 then extracted again with its host's winning path, or with its own where that path is
 absent or would leave out part of the page's own container. Navigation, notices, adverts,
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loadscope.session import write_table
 
-#: Share of the score that one child of the body must hold to be entered past other boxes.
+#: Share of the score that one child of the body must hold to be entered past other named boxes.
 MOST = 0.75
 
 #: A quote begins a string only behind an equals sign; no way back into it keeps the search linear in a tag.
@@ -33,14 +34,17 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-_RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "math", "title", "noembed", "noframes", "xmp"}
+_RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "noembed", "noframes", "xmp", "desc", "metadata"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp",
     "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "label", "nobr", "ruby", "rb", "rt", "rp",
+    "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mspace",
+    "svg", "g", "defs", "use", "path", "circle", "ellipse", "line", "polygon", "polyline", "rect", "text", "tspan",
+    "symbol", "clippath", "mask", "lineargradient", "radialgradient", "stop", "filter", "animate",
 }
-_DROPPED = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "audio", "video", "canvas", "map", "fieldset", "datalist", "progress"}
-_CONTAINERS = {"html", "body", "div", "section", "article", "main", "td", "table", "tbody", "tr", "center", "blockquote", "header", "figure", "details"}
+_DROPPED = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "audio", "video", "canvas", "map", "datalist", "progress"}
+_CONTAINERS = {"html", "body", "div", "section", "article", "main", "td", "table", "tbody", "tr", "center", "blockquote", "header", "figure", "details", "fieldset"}
 #: Elements around the whole page, and those that may stand beside its text there.
 _FRAME = {"", "html", "body"}
 _BOXES = {"div", "td", "center"}
@@ -73,7 +77,7 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "for
 class Node:
     tag: str
     parent: int
-    path: str
+    path: int  # number of its generalised path in the page, see :class:`Page`
     away: bool
     inline: bool = False
     score: float = 0.0
@@ -81,7 +85,8 @@ class Node:
     mark: str = ""  # what its names say: "sure", "comments", "class", "id" or "part" (of a longer name)
     first: int = 0  # blocks below it
     last: int = -1
-    inside: bool = False  # stands in an article or main element
+    within: int = -1  # the article or main element that it stands in
+    named: bool = False  # has a class or id
     children: list[int] = field(default_factory=list)
 
 
@@ -89,6 +94,26 @@ class Node:
 class Page:
     nodes: list[Node]
     blocks: list[tuple[int, str, int]]  # node, text, letters in links
+    #: Numbers of paths by the parent's number and the last step, so that deep pages stay small.
+    paths: dict[tuple[int, str], int]
+
+    def path_of(self, k: int) -> str:
+        """The whole path of a node."""
+        step = {number: name for (_, name), number in self.paths.items()}
+        names = []
+        while k > 0:
+            names.append(step[self.nodes[k].path])
+            k = self.nodes[k].parent
+        return "".join(f"/{name}" for name in reversed(names))
+
+    def number_of(self, path: str) -> int | None:
+        """The number of a whole path; None if the page has no such element."""
+        at: int | None = 0
+        for name in path.split("/")[1:]:
+            at = self.paths.get((at, name))
+            if at is None:
+                return None
+        return at
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -156,21 +181,19 @@ def _judge(page: Page) -> None:
         plain.append(plain[-1] + (not marked[node]))
         size.append(size[-1] + len(text))
         linked.append(linked[-1] + min(links, len(text)))
-    in_article = sum(len(text) for node, text, _ in blocks if nodes[node].inside or nodes[node].tag in ("article", "main"))
+    in_article = sum(len(text) for node, text, _ in blocks if nodes[node].within >= 0 or nodes[node].tag in ("article", "main"))
     has_article = 2 * in_article >= size[-1] > 0
     for k, node in enumerate(nodes):
         node.away |= node.parent >= 0 and nodes[node.parent].away
         if node.away or not node.mark:
             continue
-        if node.mark == "sure" or node.inline or (has_article and not node.inside):
+        if node.mark == "sure" or node.inline or (has_article and node.within < 0):
             node.away = True
             continue
-        at = node.parent
-        while node.inside and nodes[at].tag not in ("article", "main"):
-            at = nodes[at].parent
+        at = node.within if node.within >= 0 else node.parent
         low, high, first, last = nodes[at].first, nodes[at].last, node.first, node.last
         edge = plain[high] > plain[low] and (plain[first] == plain[low] or plain[high] == plain[last])
-        alone = node.mark == "class" or (node.mark == "id" and not node.inside)
+        alone = node.mark == "class" or (node.mark == "id" and node.within < 0)
         node.away = (
             2 * (linked[last] - linked[first]) >= size[last] - size[first]
             or (formed[k] and (node.mark == "comments" or last - first <= 2))
@@ -180,8 +203,15 @@ def _judge(page: Page) -> None:
 
 
 def parse(text: str) -> Page:
-    """Elements and text blocks of a page; unclosed and misnested tags are accepted."""
-    nodes = [Node("", -1, "", False)]
+    """Elements and text blocks of a page; unclosed and misnested tags are accepted.
+
+    Time is linear in the tags, however deep they nest: an element knows the article it
+    stands in, and the open elements of every tag are at hand by their depth.
+    """
+    nodes = [Node("", -1, 0, False)]
+    paths: dict[tuple[int, str], int] = {}
+    depths: dict[str, list[int]] = {}  # depths in the stack by tag
+    solid = [0]  # depths of what is not inline
     blocks: list[tuple[int, str, int]] = []
     stack = [0]
     pieces: list[str] = []
@@ -197,11 +227,14 @@ def parse(text: str) -> Page:
         links = 0
 
     def close(depth: int) -> None:
-        if any(not nodes[k].inline for k in stack[depth:]):
+        if solid[-1] >= depth:
             flush()
-        for k in stack[depth:]:
+        while len(stack) > depth:
+            k = stack.pop()
             nodes[k].last = len(blocks)
-        del stack[depth:]
+            depths[nodes[k].tag].pop()
+            if not nodes[k].inline:
+                solid.pop()
 
     def add(raw: str) -> None:
         nonlocal links
@@ -211,9 +244,9 @@ def parse(text: str) -> Page:
             if linked:
                 links += len(raw)
 
-    at, size = 0, len(text)
+    at, size, tags_end = 0, len(text), text.rfind(">") + 1
     while at < size:
-        m = _TAG.search(text, at)
+        m = _TAG.search(text, at) if at < tags_end or "<!--" in text[at:] else None
         if m is None:
             add(text[at:])
             break
@@ -225,12 +258,9 @@ def parse(text: str) -> Page:
         if m[1]:
             if tag == "a":
                 linked = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    close(k)
-                    break
-                if tag in _INLINE and not nodes[stack[k]].inline:
-                    break
+            opened = depths.get(tag)
+            if opened and (tag not in _INLINE or opened[-1] > solid[-1]):
+                close(opened[-1])
             continue
         if tag in _RAW and not m[3].rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(text, at)
@@ -245,48 +275,56 @@ def parse(text: str) -> Page:
             continue
         inline = tag in _INLINE
         attributes = _attributes(m[3]) if m[3].strip() else {}
-        inside = any(nodes[k].tag in ("article", "main") for k in stack)
+        parent = stack[-1]
+        within = parent if nodes[parent].tag in ("article", "main") else nodes[parent].within
+        inside = within >= 0
         away = _is_away(tag, attributes, inside)
         mark = _mark(tag, attributes, inside, nodes[stack[-1]].tag in _FRAME)
         away |= inline and bool(mark)
         if tag == "a":
             linked = 1
         if inline and not away:
+            if tag == "text" and pieces:
+                pieces.append(" ")
             continue
         if not inline:
             linked = linked if tag == "a" else 0
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph; items end items
-                open_ = nodes[stack[k]].tag
-                if open_ == "p" or open_ in _ENDS.get(tag, ()):
-                    close(k)
-                    if open_ == "p":
-                        continue
-                elif open_ in _STOPS.get(tag, ()) or (tag not in _ENDS and open_ not in _INLINE):
-                    break
+            if tag in _ENDS:  # items end items up to their list
+                stop = max((depths[t][-1] for t in _STOPS[tag] if depths.get(t)), default=0)
+                ended = [d[k] for t in (*_ENDS[tag], "p") if (d := depths.get(t)) and (k := bisect_right(d, stop)) < len(d)]
+                if ended:
+                    close(min(ended))
+            while nodes[stack[solid[-1]]].tag == "p":  # a block ends an open paragraph
+                close(solid[-1])
             flush()
-        names = sorted({re.sub(r"\d+", "#", c) for c in attributes.get("class", "").split()})
+        names = sorted({re.sub(r"\d+", "#", c).replace("/", "|") for c in attributes.get("class", "").split()})
         parent = stack[-1]
-        path = f"{nodes[parent].path}/{'.'.join([tag, *names])}"
-        nodes.append(Node(tag, parent, path, away or nodes[parent].away, inline, mark=mark, first=len(blocks), inside=inside))
+        within = parent if nodes[parent].tag in ("article", "main") else nodes[parent].within
+        path = paths.setdefault((nodes[parent].path, ".".join([tag, *names])), len(paths) + 1)
+        named = bool(attributes.get("class") or attributes.get("id"))
+        nodes.append(Node(tag, parent, path, away or nodes[parent].away, inline, mark=mark, first=len(blocks), within=within, named=named))
         nodes[parent].children.append(len(nodes) - 1)
+        depths.setdefault(tag, []).append(len(stack))
+        if not inline:
+            solid.append(len(stack))
         stack.append(len(nodes) - 1)
     flush()
-    page = Page(nodes, blocks)
+    page = Page(nodes, blocks, paths)
     _judge(page)
     return page
 
 
 def _score(page: Page) -> None:
     for node, block, links in page.blocks:
-        value, kept = max(0, len(block) - 2 * links), links < len(block)
-        while node >= 0:
-            page.nodes[node].score += value
-            page.nodes[node].kept += kept
-            node = page.nodes[node].parent
+        page.nodes[node].score += max(0, len(block) - 2 * links)
+        page.nodes[node].kept += links < len(block)
+    for node in reversed(page.nodes[1:]):  # parents stand before their children
+        page.nodes[node.parent].score += node.score
+        page.nodes[node.parent].kept += node.kept
 
 
 def _may_enter(page: Page, at: int, inner: int) -> bool:
-    """Whether an element may be left for its child: nothing but links stays outside, or boxes beside the text in the body."""
+    """Whether an element may be left for its child: nothing but links stays outside, or named boxes beside the text in the body."""
     nodes = page.nodes
     outer, child = nodes[at], nodes[inner]
     if outer.tag == "article" or child.tag in _LEAVES or not child.score:
@@ -296,19 +334,16 @@ def _may_enter(page: Page, at: int, inner: int) -> bool:
     if outer.tag not in _FRAME or child.score < MOST * outer.score:
         return False
     beside = [k for k in outer.children if k != inner and nodes[k].kept]
-    boxes = all(nodes[k].tag in _BOXES and nodes[k].path != child.path for k in beside) and not _titled(page, at).intersection(beside)
+    boxes = all(nodes[k].tag in _BOXES and nodes[k].named and nodes[k].path != child.path for k in beside) and not _titled(page, at).intersection(beside)
     return boxes and sum(nodes[k].kept for k in beside) + child.kept == outer.kept
 
 
 def _titled(page: Page, root: int) -> set[int]:
     """Children of an element that hold a top heading with text."""
-    found = set()
-    for k, node in enumerate(page.nodes):
-        if node.tag == "h1" and node.kept:
-            while k > 0 and page.nodes[k].parent != root:
-                k = page.nodes[k].parent
-            found.add(k)
-    return found
+    holds = [node.tag == "h1" and node.kept > 0 for node in page.nodes]
+    for k in range(len(holds) - 1, 0, -1):
+        holds[page.nodes[k].parent] |= holds[k]
+    return {k for k in page.nodes[root].children if holds[k]}
 
 
 def best_path(page: Page) -> str | None:
@@ -321,7 +356,7 @@ def best_path(page: Page) -> str | None:
     while True:
         inner = max(page.nodes[at].children, key=lambda k: page.nodes[k].score, default=None)
         if inner is None or not _may_enter(page, at, inner):
-            return page.nodes[best].path
+            return page.path_of(best)
         at = inner
         if page.nodes[at].tag in _CONTAINERS:
             best = at
@@ -337,10 +372,13 @@ def _chosen(own: str | None, path: str) -> str:
 
 def text_at(page: Page, path: str) -> str | None:
     """Blocks below the elements of a path in page order, one a line; None if the page has no such element."""
+    number = page.number_of(path)
+    if number is None:
+        return None
     below = [False] * len(page.nodes)
     found = False
     for k, node in enumerate(page.nodes):
-        own = node.path == path and not node.away
+        own = node.path == number and not node.away
         found |= own
         below[k] = own or (node.parent >= 0 and below[node.parent])
     if not found:
@@ -379,7 +417,8 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty page, or one without text outside what is left out, has the empty
     text. Pages without a host use their own best container. Rows that repeat a page
     count as often in the vote and are extracted each. Columns other than ``page_id``,
-    ``url`` and ``html`` are not read.
+    ``url`` and ``html`` are not read. An empty table gives no rows. A page of any length
+    or depth is parsed whole, in time linear in its tags.
     """
     chosen = write_table(winners(pages), "winners")
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host"))

@@ -1,5 +1,7 @@
 import html
+import random
 import time
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
@@ -132,3 +134,86 @@ def test_tags_that_never_end_take_linear_time():
     start = time.process_time()
     H.parse("<p " + '="x" ' * 20_000 + "<p>word")
     assert time.process_time() - start < 10
+
+
+def test_unnamed_lead_beside_the_body_div(spark):
+    body = "".join(f"<p>{'long paragraph ' * 20}{k}</p>" for k in range(4))
+    want = "\n".join(["lead paragraph", *[("long paragraph " * 20) + str(k) for k in range(4)]])
+    got = result(H.extract(frame(spark, [(k, "http://lead.example/", f"<body><div>lead paragraph</div><div class='body'>{body}</div></body>") for k in range(3)])))
+    assert {t for _, t, _ in got.values()} == {want}
+
+
+def test_text_of_formulas_drawings_and_field_sets(spark):
+    page = """<body><article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><p>An <svg class="icon"><title>t</title><g><path d="M0"/></g>
+    <text>left</text><text>right</text></svg> drawing.</p><fieldset><legend>Legend</legend><p>In a set.</p></fieldset><form><fieldset>asked</fieldset></form></article></body>"""
+    assert result(H.extract(frame(spark, [(1, "http://m.example/", page)])))[1][1] == "Let x=1 be.\nAn left right drawing.\nLegend\nIn a set."
+
+
+def test_deep_pages_take_linear_time():
+    for odd in ("<div>%d", "<div class='note'>%d<h1>h</h1>", "<li><div>%d", "<div><span hidden>x</i>%d"):
+        start = time.process_time()
+        page = H.parse("<body>" + "".join(odd % k for k in range(20_000)) + "</x>" * 20_000)
+        H.best_path(page)
+        H.text_at(page, "/body")
+        assert time.process_time() - start < 10
+
+
+class Plain(HTMLParser):
+    """Text of an article by the standard parser: blocks end where a tag of a block starts or ends."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside = self.away = 0
+        self.blocks, self.piece = [], []
+
+    def cut(self):
+        text = " ".join("".join(self.piece).split())
+        self.blocks += [text] * bool(text)
+        self.piece = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.away += tag in AWAY
+        if tag == "br":
+            self.piece.append(" ")
+        elif tag not in SPANS:
+            self.cut()
+
+    def handle_endtag(self, tag):
+        if tag not in SPANS and tag != "br":
+            self.cut()
+        self.inside -= tag == "article"
+        self.away -= tag in AWAY
+
+    def handle_data(self, data):
+        if self.inside and not self.away:
+            self.piece.append(data)
+
+
+AWAY, SPANS = {"nav", "aside", "form", "script", "style"}, {"b", "i", "a", "span", "sub", "math", "mi", "code"}
+
+
+def grown(rng, depth=0):
+    """Random closed elements with text, in and out of blocks."""
+    words = lambda: " ".join(rng.choice(["one", "two &amp; three", "&lt;four&gt;", "f\u00fcnf", "six &#55;", "  eight\n"]) for _ in range(rng.randrange(1, 6)))
+    spans = lambda: "".join(rng.choice([words(), f"<b>{words()}</b>", f"<span class='x{rng.random()}'>{words()}</span>", "<br>", f"<math><mi>{words()}</mi></math>"]) for _ in range(3))
+    parts = []
+    for _ in range(rng.randrange(1, 5)):
+        kind = rng.choice(["p", "h2", "li", "div", "section", "blockquote", "table", "fieldset", "nav", "aside", "form", "script"])
+        inner = grown(rng, depth + 1) if kind in ("div", "section", "blockquote", "fieldset") and depth < 5 else "x" if kind == "script" else spans()
+        parts.append({"li": f"<ul><li>{inner}</li><li>{spans()}</li></ul>", "table": f"<table><tr><td>{inner}</td><td>{spans()}</td></tr></table>"}.get(kind, f"<{kind}>{inner}</{kind}>"))
+    return "".join(parts) + words()
+
+
+def test_generated_articles_like_the_standard_parser(spark):
+    rng = random.Random(6)
+    rows = [
+        (k, f"http://{k % 7}.example/{k}", f"<body><header>Site</header><nav>menu</nav><article>{grown(rng)}<p>{'some words ' * 30}</p></article><footer>end</footer></body>")
+        for k in range(300)
+    ]
+    got = result(H.extract(frame(spark, rows)))
+    for k, _, page in rows:
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        assert got[k][1] == "\n".join(plain.blocks), page
