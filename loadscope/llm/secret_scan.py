@@ -2,8 +2,8 @@
 
 Two first-order models over the characters of candidate strings, one of random strings
 and one of ordinary identifiers, are compared by their log-likelihood ratio. They are
-trained from labelled samples: in a bounded number of documents with pattern matches,
-the matched values are random strings and all other long runs are identifiers. Counts
+trained from labelled samples: in bounded numbers of documents, values of pattern
+matches are random strings and all other long runs are identifiers. Counts
 of character pairs, of which there are at most ``len(ALPHABET) ** 2`` per model, are all
 that leaves the cluster. Everything runs as column expressions.
 
@@ -28,12 +28,14 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 LEAST = {"assign": 12, "access": 18}
 MARKOV = "markov"
-_RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+_RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}+"
 _IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}+"
-#: Documents that the models are trained from, the first by a hash of the id.
+#: Documents that each model is trained from, the first by a hash of the id.
 TRAIN_ROWS = 5_000
-SMOOTHING = 0.5
-#: Least log-likelihood ratio of a string, in all and per pair of characters.
+#: Added to the count of every pair of identifiers, and of random strings, which are known to be nearly even.
+SMOOTHING = (0.5, 4.0)
+#: Least length and log-likelihood ratio of a string, in all and per pair of characters.
+LEAST_LENGTH = 12
 LEAST_TOTAL, LEAST_MEAN = 15.0, 0.6
 
 _SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
@@ -82,18 +84,21 @@ def _pairs(strings: DataFrame) -> DataFrame:
 
 
 def samples(found: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``random, s`` from at most ``rows`` documents with pattern matches: matched values, and the other runs."""
+    """``random, s``: matched values from at most ``rows`` documents with pattern matches, other runs from as many of all.
+
+    Values of hexadecimal digits alone are left out: they would make all other pairs of
+    characters look less random, and so are other runs of small and capital letters with
+    digits, which nobody has labelled. Only strings, no texts, meet in the task that cuts the sample.
+    """
     spans = F.concat("assign", "access", "hex")
-    chosen = first_by_hash(found.where(F.size(spans) > 0), "doc_id", rows)
     values = F.transform(spans, lambda s: F.when(s["rank"] == 0, F.regexp_extract(s["value"], ASSIGN, 2)).otherwise(s["value"]))
+    matched = found.where(F.size(spans) > 0).select("doc_id", F.filter(values, lambda v: ~v.rlike("^[0-9a-f]*$")).alias("s"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("text"), ASSIGN, " "), ACCESS, " "), HEX, " ")
-    labelled = chosen.select(
-        F.concat(
-            F.transform(values, lambda v: F.struct(F.lit(1).alias("random"), v.alias("s"))),
-            F.transform(F.regexp_extract_all(rest, F.lit(_IDENTIFIER), F.lit(0)), lambda v: F.struct(F.lit(0).alias("random"), v.alias("s"))),
-        ).alias("x")
-    )
-    return labelled.select(F.explode("x").alias("x")).select("x.random", "x.s")
+    runs = F.regexp_extract_all(rest, F.lit(_IDENTIFIER), F.lit(0))
+    plain = F.filter(runs, lambda v: ~(v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]")))
+    others = found.select("doc_id", plain.alias("s"))
+    chosen = [first_by_hash(part, "doc_id", rows).select(F.lit(k).alias("random"), F.explode("s").alias("s")) for k, part in ((1, matched), (0, others))]
+    return chosen[0].unionByName(chosen[1])
 
 
 def ratios(strings: DataFrame) -> list[float]:
@@ -104,36 +109,74 @@ def ratios(strings: DataFrame) -> list[float]:
         counts[r.random][ALPHABET.index(r.pair[0])][ALPHABET.index(r.pair[1])] += r.n
     out = []
     for a in range(size):
-        whole = [sum(c[a]) + SMOOTHING * size for c in counts]
-        out += [math.log((counts[1][a][b] + SMOOTHING) / whole[1]) - math.log((counts[0][a][b] + SMOOTHING) / whole[0]) for b in range(size)]
+        whole = [sum(c[a]) + more * size for c, more in zip(counts, SMOOTHING)]
+        logs = [[math.log((c[a][b] + more) / all_) for b in range(size)] for c, more, all_ in zip(counts, SMOOTHING, whole)]
+        out += [r - i for i, r in zip(*logs)]
     return out
 
 
-def _looks_random(value: Column, table: Column) -> Column:
-    """Whether a string's log-likelihood ratio is high enough, in all and per pair."""
-    place = F.transform(F.split(value, ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
-    total = F.aggregate(
-        F.slice(place, 2, F.length(value) - 1),
-        F.struct(F.element_at(place, 1).alias("a"), F.lit(0.0).alias("sum")),
-        lambda acc, b: F.struct(b.alias("a"), (acc["sum"] + F.get(table, acc["a"] * len(ALPHABET) + b)).alias("sum")),
-        lambda acc: acc["sum"],
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _random_part(run: Column, table: Column) -> Column:
+    """The random string in a run of at least two characters as a span, or NULL.
+
+    That is the whole run where its log-likelihood ratio is high enough, in all and per
+    pair; otherwise the stretch that most exceeds the least ratio per pair, if it is long
+    and high enough.
+    """
+    value, pairs = run["value"], F.length(run["value"]) - 1
+    places = F.transform(F.split(value, ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
+    scores = _let(
+        places,
+        lambda p: F.zip_with(F.slice(p, F.lit(1), pairs), F.slice(p, F.lit(2), pairs), lambda a, b: F.get(table, a * len(ALPHABET) + b)),
     )
-    return (total >= LEAST_TOTAL) & (total >= LEAST_MEAN * (F.length(value) - 1))
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(0.0).alias("total"), F.lit(0.0).alias("now"), F.lit(0).alias("since"),
+        F.lit(0.0).alias("best"), F.lit(0).alias("first"), F.lit(0).alias("last"),
+    )
+
+    def longer(acc: Column, score: Column) -> Column:
+        """The stretch that ends here goes on as long as it exceeds the least ratio."""
+        goes_on, gain = acc["now"] > 0, score - LEAST_MEAN
+        now, since = F.when(goes_on, acc["now"] + gain).otherwise(gain), F.when(goes_on, acc["since"]).otherwise(acc["at"])
+        better = now > acc["best"]
+        return F.struct(
+            (acc["at"] + 1).alias("at"), (acc["total"] + score).alias("total"), now.alias("now"), since.alias("since"),
+            F.when(better, now).otherwise(acc["best"]).alias("best"),
+            F.when(better, since).otherwise(acc["first"]).alias("first"), F.when(better, acc["at"] + 1).otherwise(acc["last"]).alias("last"),
+        )
+
+    def span(found: Column) -> Column:
+        whole = (found["total"] >= LEAST_TOTAL) & (found["total"] >= LEAST_MEAN * pairs)
+        length = found["last"] - found["first"]
+        part = (length + 1 >= LEAST_LENGTH) & (found["best"] + LEAST_MEAN * length >= LEAST_TOTAL)
+        inner = F.struct(
+            (run["start"] + found["first"]).alias("start"), run["rank"].alias("rank"), (run["start"] + found["last"] + 1).alias("end"),
+            F.substring(value, found["first"] + 1, length + 1).alias("value"),
+        )
+        return F.when(whole, run).when(part, inner)
+
+    return _let(F.aggregate(scores, start, longer), span)
 
 
 def secrets(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id, spans, base``: all spans as ``start, rank, end, value``, sorted; ``base`` counts those of the patterns.
 
     Ranks follow ``assign, access, hex, markov``. A string that the models find must not
-    overlap a pattern match. Null and empty texts have no spans; rows that repeat an id
-    are scanned each; an empty table gives no rows. Only ``doc_id`` and ``text`` are read.
+    overlap a pattern match; it has at least ``LEAST_LENGTH`` characters and is a whole run of
+    them or the best stretch of a longer one, one a run. Null and empty texts have no spans; rows that repeat an id
+    are scanned each; an empty table gives no rows; texts of any length are scanned whole. Only ``doc_id`` and ``text`` are read.
     """
     found = scan(docs)
     numbers = ",".join(f"{x:.6f}" for x in ratios(samples(found, rows)))
     table = F.split(F.lit(numbers), ",").cast("array<double>")
     base = F.concat("assign", "access", "hex")
     free = lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    runs = F.filter(_matches(F.col("text"), _RUN, 3), lambda c: free(c) & _looks_random(c["value"], table))
+    parts = F.transform(_matches(F.col("text"), _RUN, 3), lambda c: _random_part(c, table))
+    runs = F.filter(parts, lambda c: c.isNotNull() & free(c))
     out = found.select("doc_id", "text", base.alias("base")).select("doc_id", F.array_sort("base").alias("base"), runs.alias("runs"))
     return out.select("doc_id", "base", F.array_sort(F.concat("base", "runs")).alias("spans"))
 

@@ -61,3 +61,29 @@ def test_spans_keep_the_patterns_and_add_random_strings(spark):
     assert sum(got[1000 + k].spans == "markov:12:52" for k in range(40)) >= 34  # some strings hold long words by chance
     assert all(got[2000 + k].spans == "" for k in range(len(names)))
     assert sum(got[k].n_markov for k in range(200)) == 0
+
+
+def test_short_strings_and_strings_inside_longer_runs(spark, sf_dir):
+    """Among the given documents, random strings are found from 12 characters on and behind names and paths; the names are not."""
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    shapes = [("key is ", 19), ("key is ", 14), ("client_auth_name=", 32), ("/usr/local/share/lib/", 32)]
+    rows, at = [], {}
+    for k in range(160):
+        lead, n = shapes[k % 4]
+        at[10**9 + k] = (len(lead), len(lead) + n)
+        rows.append((10**9 + k, lead + noise(n)))
+    rows += [(2 * 10**9 + k, lead + "configuration") for k, (lead, _) in enumerate(shapes)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    added = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in S.report(docs.unionByName(added)).where("doc_id >= 1000000000").collect()}
+    found = [0] * 4
+    for i, (first, last) in at.items():
+        for span in got[i].split(",") if got[i] else []:
+            kind, a, b = span.split(":")
+            covered = min(int(b), last) - max(int(a), first)
+            if kind == "markov" and covered >= 0.75 * (last - first):
+                found[i % 4] += 1
+                assert int(a) >= first - len(shapes[i % 4][0].split()[-1]) and int(b) <= last
+    assert found[0] >= 36 and found[1] >= 28 and found[2] >= 36 and found[3] >= 36
+    assert all(got[2 * 10**9 + k] == "" for k in range(4))
