@@ -8,6 +8,7 @@ from loadscope.catalog.inputs import sql_hash, sql_tokens, sql_uniform
 from loadscope.catalog.registry import query, rounded
 from loadscope.catalog.traces import LENGTHS, REPLAY_RATE, poisson_sql, replay_sql
 from loadscope.operators import arrivals, traces
+from loadscope.session import write_table
 
 SEED, RATE, SLICE_S = 42, 2.0, 600
 #: Nine tenths of what the scaled log holds, and twice as many arrivals as events.
@@ -151,6 +152,26 @@ def arrival_scale_rate(i):
     return rounded(arrivals.rate_report(scaled, "timestamp_s"), 6)
 
 
+_HALF_LOG = """
+    log as (select event_id, timestamp_s - min(timestamp_s) over () as timestamp_s from burst_log where model = 'ChatGPT'),
+    target as (select floor(count(*) / max(timestamp_s) / 2 * max(timestamp_s))::bigint as n from log),"""
+
+
+@query(
+    "arrival_halved_log",
+    f"""
+    with {_HALF_LOG}
+    kept as (select * from (select event_id, timestamp_s, row_number() over (order by {sql_hash('event_id', SEED)}, event_id) as rk from log)
+             where rk <= (select n from target))
+    select event_id, 0 as copy, round(timestamp_s - min(timestamp_s) over (), 6) as timestamp_s from kept""",
+)
+def arrival_halved_log(i):
+    """The whole log at half its own rate."""
+    log = arrivals.rebase(_chat(i), "timestamp_s")
+    own = arrivals.rate_report(log, "timestamp_s").first()
+    return rounded(arrivals.scale_rate(log, "event_id", "timestamp_s", own["rate"] / 2, SEED), 6)
+
+
 @query(
     "arrival_min_gap",
     """
@@ -174,7 +195,8 @@ def arrival_min_gap(i):
     from a left join u on u.ordinal = a.ordinal""",
 )
 def trace_attach_prompts(i):
-    scaled = arrivals.scale_rate(_slice(i), "event_id", "timestamp_s", ATTACH_RATE, SEED)
+    # numbering reads its rows several times
+    scaled = write_table(arrivals.scale_rate(_slice(i), "event_id", "timestamp_s", ATTACH_RATE, SEED), "scaled")
     pairs = traces.first_exchange_of_turns(i.turns)
     attached = traces.attach_pairs(
         scaled, pairs, "conv_id", MAX_LENGTH, SEED, order=["timestamp_s", "event_id"]

@@ -234,7 +234,7 @@ def mean_gap(schedule: DataFrame, column: str = "arrival_time") -> DataFrame:
 
 def sample_exactly(log: DataFrame, row_id: Column, n: int, seed) -> DataFrame:
     """Exactly ``n`` rows without replacement (all of them when there are fewer)."""
-    return ordered.hash_rank(log, row_id, seed, "_rank", upto=n).drop("_rank")
+    return ordered.hash_first(log, row_id, seed, n)
 
 
 def upsample(log: DataFrame, row_id: str, column: str, n: int, have: int, seed) -> DataFrame:
@@ -257,8 +257,8 @@ def scale_rate(
     """A log starting at 0 brought to ``target_rate`` per second over the same duration.
 
     Reads one row of counts, then samples down, copies up or keeps the rows, and
-    rebases to the first arrival. ``copy`` tells copies apart. The sample is written
-    once, so that neither the rebase nor what follows draws it again.
+    rebases to the first arrival. ``copy`` tells copies apart. The sample is a filter on
+    the hash of the row, so that nothing is written and no row is shuffled for it.
     """
     stats = log.agg(F.count(F.lit(1)).alias("n"), F.max(column).alias("duration")).first()
     have, target = stats["n"], int(target_rate * (stats["duration"] or 0.0))
@@ -268,7 +268,7 @@ def scale_rate(
         scaled = upsample(log, row_id, column, target, have, seed)
     else:
         scaled = log.withColumn("copy", F.lit(0))
-    return rebase(write_table(scaled, "scaled"), column)
+    return rebase(scaled, column)
 
 
 # -- summarised -----------------------------------------------------------------

@@ -119,9 +119,34 @@ def _early_counts(keyed: DataFrame, keep: Callable[[DataFrame], DataFrame], limi
     last = F.coalesce(tried.agg(F.max("_cell").alias("c")).scalar(), F.lit(-1))
     near = _per_cell(keep(keyed.where(F.col("_cell") <= last)))
     short = near.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("_found")).where(F.col("_found") < limit)
-    others = keyed.where(F.col("_cell") > last).withColumn("_open", F.lit(1))
-    needed = others.join(F.broadcast(short.select(F.lit(1).alias("_open"))), "_open", "left_semi").drop("_open")
-    return near.unionByName(_per_cell(keep(needed)))
+    # 0 on both sides, from columns: an equality of literals would be folded into a join without a key
+    others = keyed.where(F.col("_cell") > last).withColumn("_open", F.shiftright("_cell", 62))
+    needed = others.join(F.broadcast(short.select(F.shiftright("_found", 62).alias("_open"))), "_open", "left_semi").drop("_open")
+    return near.unionByName(_per_cell(keep(needed))).groupBy("_cell").agg(F.sum("_rows").alias("_rows"))
+
+
+def _last_before(rows: DataFrame, piece: Column, n: int, taken: Column) -> DataFrame:
+    """The piece that holds the ``n``-th row, and the rows before it; ``taken`` rows come before all."""
+    counts = rows.groupBy(piece.alias("_piece")).agg(F.count(F.lit(1)).alias("_rows"))
+    placed = _before(counts, "_piece", "_rows", "_offset").withColumn("_offset", F.col("_offset") + taken)
+    return placed.where(F.col("_offset") < n).agg(F.max_by(F.struct("_piece", "_offset"), "_piece").alias("_at"))
+
+
+def hash_first(df: DataFrame, row_id: Column, seed, n: int, bits: int = HASH_CELL_BITS) -> DataFrame:
+    """The first ``n`` rows of a seeded shuffle, all of them when there are fewer.
+
+    A plain filter: the key of the ``n``-th row is found from counts of hash cells, then of
+    the cells inside that one, and the rows of the last cell, one in ``4**bits``, are ordered.
+    No other row is shuffled, and nothing is written.
+    """
+    keys = df.select(hash52(row_id, seed).alias("_key"), row_id.alias("_tie"))
+    outer, inner = (F.shiftright("_key", HASH_BITS - k * bits) for k in (1, 2))
+    first = _last_before(keys, outer, n, F.lit(0)).scalar()
+    inside = keys.withColumn("_at", first).where(outer == F.col("_at._piece"))
+    second = _last_before(inside, inner, n, first["_offset"]).scalar()
+    last = keys.withColumn("_at", second).where(inner == F.col("_at._piece"))
+    bound = _last_before(last, F.struct("_key", "_tie"), n, second["_offset"]).scalar()["_piece"]
+    return df.where(F.struct(hash52(row_id, seed).alias("_key"), row_id.alias("_tie")) <= bound)
 
 
 def first_by_id(df: DataFrame, row_id: str, n: int, out: str, *, cell: int = CELL) -> DataFrame:
@@ -131,18 +156,11 @@ def first_by_id(df: DataFrame, row_id: str, n: int, out: str, *, cell: int = CEL
     ``n``-th row only, by cell; rows beyond that cell are neither sorted nor shuffled.
     """
     at = F.floor(F.col(row_id) / F.lit(cell))
-
-    def last_before(rows: DataFrame, piece: Column, taken: Column | int) -> DataFrame:
-        """The piece that holds the ``n``-th row, and the rows before it."""
-        counts = rows.groupBy(piece.alias("_piece")).agg(F.count(F.lit(1)).alias("_rows"))
-        placed = _before(counts, "_piece", "_rows", "_offset").withColumn("_offset", F.col("_offset") + taken)
-        return placed.where(F.col("_offset") < n).agg(F.max_by(F.struct("_piece", "_offset"), "_piece").alias("_at"))
-
     block = F.floor(at / F.lit(cell))
-    first = last_before(df, block, F.lit(0)).scalar()
+    first = _last_before(df, block, n, F.lit(0)).scalar()
     inside = df.withColumn("_first", first).where(block == F.col("_first._piece")).select(row_id, "_first")
     taken = F.lit(0) if n < 1 else first["_offset"]
-    last = last_before(inside, at, taken).scalar()["_piece"]
+    last = _last_before(inside, at, n, taken).scalar()["_piece"]
     head = df.where(at <= last).withColumn("_one", F.lit(1).cast("bigint"))
     numbered = prefix_sum(head, row_id, "_one", out, inclusive=False, cell=cell).drop("_one")
     return numbered.where(F.col(out) < n)
@@ -162,7 +180,7 @@ def sorted_runs(df: DataFrame, order: list[str], partitions: int | None = None)
     rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     share = F.lit(float(SAMPLED * partitions) * 2.0**HASH_BITS) / F.nullif(rows, F.lit(0))
     spread = F.shiftrightunsigned(F.xxhash64(F.lit("run"), order[-1]), 64 - HASH_BITS)
-    sample = df.where(spread < share).select(_key(order).alias("_at"))
+    sample = df.where(spread < share).select(_key(order).alias("_at")).distinct()
     numbered = sample.withColumn("_no", F.row_number().over(W.orderBy("_at")))
     chosen = numbered.where(F.col("_no") % SAMPLED == 0)
     bounds = chosen.agg(F.array_sort(F.collect_list("_at")).alias("_bounds")).scalar()

@@ -27,7 +27,7 @@ def build_burst_trace(
 ) -> BurstTrace:
     """A trace whose arrivals follow a slice of ``log`` (``row_id, timestamp_s``) at ``rate`` per second."""
     cut = write_table(arrivals.time_slice(log, "timestamp_s", duration_s, seed), "slice")
-    scaled = arrivals.scale_rate(cut, row_id, "timestamp_s", rate)
+    scaled = write_table(arrivals.scale_rate(cut, row_id, "timestamp_s", rate), "scaled")  # numbering reads it several times
 
     def attach(rows: DataFrame, order: list[str]) -> DataFrame:
         joined = traces.attach_pairs(rows, pairs, pair_id, max_length, seed, order=order, strict=strict)

@@ -150,3 +150,20 @@ def test_empty_input(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 1999, 5999, 6000, 9000])
+@pytest.mark.parametrize("bits", [2, 16])
+def test_hash_first_is_the_head_of_the_shuffle(facts, n, bits):
+    frame, df = facts
+    ranked = ordered.hash_rank(df, F.col("id"), 5, "rank").where(F.col("rank") < n).toPandas()
+    got = ordered.hash_first(df.repartition(3), F.col("id"), 5, n, bits=bits).toPandas()
+    assert sorted(got.id) == sorted(ranked.id) and len(got) == min(n, len(frame))
+
+
+def test_hash_first_shuffles_no_rows(facts, spark):
+    _, df = facts
+    head = ordered.hash_first(df, F.col("id"), 5, 100)
+    plan = head._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Filter") and head.columns == df.columns
+    assert ordered.hash_first(df.where("false"), F.col("id"), 5, 10).collect() == []
