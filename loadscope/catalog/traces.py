@@ -257,6 +257,6 @@ def trace_with_warmup(i):
 def trace_build_replay(i):
     entries, _ = trace_job.build_trace(
         _exchanges(i), "conv_id", entries_of(i), MAX_LENGTH, SEED,
-        trace_type="replay", arrival_rate=REPLAY_RATE, arrival_log=i.arrival_log,
+        trace_type="replay", arrival_rate=REPLAY_RATE, arrival_log=i.arrival_log, on_short="end",
     )
     return entries.drop("prompt", "response")

@@ -134,10 +134,10 @@ def replay(
 
     Every 1-second bucket is scaled and rounded up with the probability of its
     fraction. A schedule that is too short raises, or with ``on_short='wrap'``
-    starts over at its last second.
+    starts over at its last second, or with ``on_short='end'`` ends with the log.
     """
-    if on_short not in ("raise", "wrap"):
-        raise ValueError(f"on_short is 'raise' or 'wrap', not {on_short!r}")
+    if on_short not in ("raise", "wrap", "end"):
+        raise ValueError(f"on_short is 'raise', 'wrap' or 'end', not {on_short!r}")
     rebased = rebase(log.select(F.col(time_us).alias("t")), "t")
     # one row per second of the log: factor, length, laps and the cut all come from it
     seconds = write_table(
@@ -163,7 +163,7 @@ def replay(
         F.struct(F.coalesce(F.sum("size"), F.lit(0)).alias("length"), F.max("bucket").alias("last")).alias("t")
     ).scalar()
     wanted = placed.withColumn("t", total)
-    if on_short == "raise":
+    if on_short != "wrap":
         laps = wanted.withColumn("lap", F.lit(0).cast("bigint"))
     else:
         needed = F.ceil(F.lit(float(n)) / F.col("t.length"))
@@ -178,7 +178,7 @@ def replay(
         (F.col("start") + F.col("i")).cast("bigint").alias("ordinal"),
         F.col("second").cast("double").alias("arrival_time"),
     )
-    if on_short == "wrap":
+    if on_short != "raise":
         return out
     length = buckets.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).scalar()
     return require(out, length >= n, f"the scaled log has fewer than {n} arrivals")

@@ -135,11 +135,16 @@ def sample_entries(
     return require(sample, found >= candidates, f"the corpus has fewer than {candidates} candidates")
 
 
-def with_arrivals(entries: DataFrame, schedule: DataFrame | None) -> DataFrame:
-    """The k-th entry gets the k-th arrival; without a schedule every arrival is 0."""
+def with_arrivals(entries: DataFrame, schedule: DataFrame | None, *, ends: bool = False) -> DataFrame:
+    """The k-th entry gets the k-th arrival; without a schedule every arrival is 0.
+
+    A schedule shorter than the trace raises, or with ``ends`` the trace ends with it.
+    """
     if schedule is None:
         return entries.withColumn("arrival_time", F.lit(0.0))
     times = schedule.select("ordinal", "arrival_time")
+    if ends:
+        return entries.join(times, "ordinal")
     return _all_timed(entries.join(times, "ordinal", "left"))
 
 

@@ -36,7 +36,8 @@ def build_trace(
     """Entries and metadata of a trace over ``pairs`` (``row_id, prompt, response``).
 
     The sampled entries are written once: entries and metadata both read them, so
-    the corpus is not counted again.
+    the corpus is not counted again. A replay shorter than the trace raises, or does what
+    ``on_short`` says, see :func:`arrivals.replay`.
     """
     times = schedule(
         pairs.sparkSession, num_entries, trace_type, arrival_rate, seed, arrival_log=arrival_log, on_short=on_short
@@ -45,5 +46,5 @@ def build_trace(
     sampled = traces.sample_entries(
         prepared, row_id, num_entries, max_length, seed, candidates=candidates, count_tokens=count_tokens
     )
-    entries = write_table(traces.with_arrivals(sampled, times), "trace_entries")
+    entries = write_table(traces.with_arrivals(sampled, times, ends=on_short == "end"), "trace_entries")
     return entries, traces.metadata(entries, trace_type, arrival_rate)

@@ -1,8 +1,10 @@
+import duckdb
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from conftest import rows
+from loadscope.catalog import ORACLES, QUERIES
 from loadscope.functions.text import ChatTemplate, token_count, tokenizer_counter
 from loadscope.operators import arrivals, ordered, traces
 from loadscope.plans.burst_job import build_burst_trace
@@ -143,6 +145,33 @@ def test_build_trace(spark, pairs, kind):
         build_trace(pairs, "id", 10, 30, 5, trace_type="other")
 
 
+def test_replayed_trace_ends_with_its_log(spark, pairs):
+    log = spark.range(5).select((F.col("id") * 1_000_000).alias("t_us"))
+    job = lambda on_short: build_trace(
+        pairs, "id", 10, 30, 5, trace_type="replay", arrival_rate=1.0, arrival_log=log, on_short=on_short
+    )
+    entries, metadata = job("end")
+    out = entries.orderBy("ordinal").collect()
+    assert [r.ordinal for r in out] == list(range(len(out))) and 0 < len(out) < 10
+    whole = job("wrap")[0].orderBy("ordinal").collect()
+    assert [(r.id, r.arrival_time) for r in whole[: len(out)]] == [(r.id, r.arrival_time) for r in out]
+    assert len(whole) == 10 and metadata.first().total_tokens == sum(r.prompt_length + r.response_length for r in out)
+    with pytest.raises(PySparkException):
+        job("raise")[0].collect()
+
+
+def test_query_of_a_short_replay(spark, sf_dir, tmp_path):
+    """A log of five events is shorter than the sample of all conversations: the rows are those of the SQL."""
+    spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 5").write.parquet(str(tmp_path / "events.parquet"))
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["trace_build_replay"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for name in ("events", "conversations"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(ORACLES["trace_build_replay"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_burst_trace(spark, pairs):
     log = spark.range(600).select(F.col("id").alias("event"), (F.col("id") * 0.5).alias("timestamp_s"))
     out = build_burst_trace(
