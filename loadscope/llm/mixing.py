@@ -180,6 +180,27 @@ def position(copy: Column, schedules=SCHEDULES) -> Column:
     return time_of(share, F.col("source_no") % len(schedules), schedules)
 
 
+def reads(plan: DataFrame, schedules=SCHEDULES) -> DataFrame:
+    """One row for every copy of a document that a plan of :func:`mix` reads, with ``copy`` (from 0) and its training ``time``."""
+    some = plan.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return some.withColumn("time", position(F.col("copy"), schedules))
+
+
+def dealt(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """What the training reads of every document: ``doc_id, source, size, source_size, target, taken, first_time, last_time``.
+
+    The reads of :func:`mix` are sorted by training time by ranges and written, without
+    texts; ``taken`` is the words of a document's reads, and the times are those of its first
+    and last one, null if it has none. Odd rows are treated as in :func:`mix`.
+    """
+    plan = write_table(mix(docs, schedules, share, cap), "plan")
+    order = write_table(reads(plan.where("size > 0"), schedules).select("time", "source_no", "place", "copy", "size").orderBy("time", "source_no", "place", "copy"), "reads")
+    # a document with words is known by its place in its source
+    sums = order.groupBy(F.col("source_no").alias("no"), F.col("place").alias("at")).agg(F.sum("size").alias("words"), F.min("time").alias("first_time"), F.max("time").alias("last_time"))
+    found = plan.join(sums, (F.col("source_no") == F.col("no")) & (F.col("place") == F.col("at")) & (F.col("size") > 0), "left")
+    return found.select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"), "first_time", "last_time")
+
+
 def _row(docs: DataFrame) -> Column:
     """Key of a row: equal only for rows with the same id, source and text."""
     parts = [F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.md5(F.coalesce(docs["text"], F.lit(""))), F.coalesce(docs["source"], F.lit("\x00"))]
@@ -193,10 +214,7 @@ def curriculum(docs: DataFrame, schedules=SCHEDULES, share: float = 1.5, cap: fl
     id, source and text are read as often as all of them together.
     """
     plan = mix(docs.withColumn("_row", _row(docs)), schedules, share, cap, keep=("_row",))
-    times = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(1))
-    reads = (
-        plan.withColumn("_n", times).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-        .select(F.col("_row").alias("_read"), position(F.col("_copy"), schedules).alias("_time"))
-    )
+    plan = plan.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(1)))
+    order = reads(plan, schedules).select(F.col("_row").alias("_read"), F.col("time").alias("_time"))
     texts = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), _row(docs).alias("_row")).dropDuplicates(["_row"])
-    return texts.join(reads, F.col("_row") == F.col("_read")).orderBy("_time", "_row").select("_doc.*")
+    return texts.join(order, F.col("_row") == F.col("_read")).orderBy("_time", "_row").select("_doc.*")

@@ -132,7 +132,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.dealt(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @_query(

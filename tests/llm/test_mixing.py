@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loadscope.llm import mixing
+from loadscope.llm import mixing, queries
 
 SCHEMA = "doc_id bigint, text string, source string"
 
@@ -91,7 +91,33 @@ def test_curriculum_reads_documents_as_often_as_planned(spark):
     assert mean("a") < mean("c")
 
 
+def test_dealt_counts_the_reads_of_the_curriculum(spark):
+    rows = rows_of(random.Random(5), {"a": 50, "b": 9, "c": 20, None: 7}) + [(900, None, "a"), (901, "", None), (902, "two words", "b"), (902, "two words", "b")]
+    df = documents(spark, rows)
+    key = lambda r: (r.doc_id, r.size, r.source_size, r.target, r.taken)
+    got = mixing.dealt(df).collect()
+    assert sorted(map(key, got)) == sorted(map(key, mixing.mix(df).collect()))
+    assert all((r.first_time is None) == (r.taken == 0) for r in got)
+    assert all(0 <= r.first_time <= r.last_time <= 1 and (r.first_time < r.last_time) == (r.taken > r.size) for r in got if r.taken)
+    # by half of the training, the falling schedule of source a asks for 7 of 12 of its words, the rising one of source c for 5 of 12
+    for source, share in (("a", 7 / 12), ("b", 1 / 2), ("c", 5 / 12)):
+        plan = mixing.reads(mixing.mix(df).where(F.col("source") == source)).collect()
+        early = sum(r.size for r in plan if r.time <= 0.5)
+        assert early / plan[0].target == pytest.approx(share, abs=0.1)
+
+
+def test_query_deals_the_reads_by_training_time(spark, sf_dir, monkeypatch):
+    """The query's rows come from the written reads: one that the curriculum loses is missing in what is taken."""
+    plan = queries.QUERIES["op8_mixing"](spark, sf_dir)
+    assert sum(r.taken for r in plan.collect()) > 0
+    reads = mixing.reads
+    monkeypatch.setattr(mixing, "reads", lambda *a: reads(*a).where("time > 0.5"))
+    late = queries.QUERIES["op8_mixing"](spark, sf_dir)
+    assert 0 < sum(r.taken for r in late.collect()) < sum(r.taken for r in plan.collect())
+
+
 def test_empty_tables_and_texts(spark):
+    assert mixing.dealt(documents(spark, [])).collect() == []
     assert mixing.mix(documents(spark, [])).collect() == []
     assert mixing.curriculum(documents(spark, [])).collect() == []
     got = mixing.mix(documents(spark, [(1, "", "a"), (2, None, None)])).collect()
