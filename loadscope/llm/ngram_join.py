@@ -3,7 +3,8 @@
 Every document is a point: its distinct shingles are hashed into groups and the
 coordinates are the group counts. The overlap of two documents is at most the sum
 of their coordinate minima, and that of a document with a node at most the sum of
-the minima with the node's box.
+the minima with the node's box. A point also holds a byte of each group's content: groups of
+equal counts and different bytes have one shingle less in common.
 
 The leaves of the index follow from the group counts by the pigeonhole rule. Two
 sets of similarity ``t`` differ in at most ``d = (1 - t) |union|`` shingles; with
@@ -18,7 +19,8 @@ Such documents, few by the choice of ``s``, also enter leaves of single shingles
 Inside a leaf no list of pairs is made. Members are first compared with the leaf's
 smallest document, and those that link join its component. Only then do members
 of different components meet, block by block: a document is tested against the
-box of a block, then against its points, and what survives is verified.
+box of a block, then against its points, and what survives is verified. A document's likeliest
+partner in a block comes first; only leaves where a document has more are gone through again.
 
 All equalities are those of 64-bit hashes of shingles.
 """
@@ -32,6 +34,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loadscope.llm.components import connected_components
@@ -86,19 +89,33 @@ def coordinates(size: int) -> int:
     return max(COORDINATES, 1 << (size // 2).bit_length())
 
 
-def packed(point: np.ndarray) -> bytes:
-    """A point in as few bytes as its largest coordinate needs; the first byte is the width."""
-    width = 1 if point.max(initial=0) < 256 else 4
-    return bytes((width,)) + point.astype(f"<u{width}").tobytes()
+def packed(counts: np.ndarray, content: np.ndarray) -> bytes:
+    """A point: its counts in as few bytes as the largest needs, then a byte of content for each; the first byte is the width."""
+    width = 1 if counts.max(initial=0) < 256 else 4
+    return bytes((width,)) + counts.astype(f"<u{width}").tobytes() + content.astype(np.uint8).tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int32)
+    """Counts and contents, in two rows."""
+    groups = (len(data) - 1) // (data[0] + 1)
+    counts = np.frombuffer(data, dtype=f"<u{data[0]}", offset=1, count=groups)
+    return np.array([counts, np.frombuffer(data, dtype=np.uint8, offset=1 + data[0] * groups)], dtype=np.int32)
 
 
 def folded(point: np.ndarray, groups: int) -> np.ndarray:
     """A point in fewer groups: a coordinate is the hash modulo the number of groups, so the parts add up."""
-    return point if len(point) == groups else point.reshape(-1, groups).sum(axis=0)
+    if point.shape[1] == groups:
+        return point
+    point = point.reshape(2, -1, groups).sum(axis=1)
+    point[1] &= 255
+    return point
+
+
+def most_common(some: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Most shingles that each of some points (along the first axis) can have in common with a point of as many groups."""
+    counts, own = some[:, 0], point[0]
+    fewer = (counts == own) & (some[:, 1] != point[1])
+    return np.minimum(counts, own).sum(axis=1, dtype=np.int64) - fewer.sum(axis=1)
 
 
 @cache
@@ -142,8 +159,9 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 two.append(int(mixed(m ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)))
                 keys.append(leaves(s, percent).view(np.int64))
                 groups = coordinates(len(s))
-                counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-                vectors.append(packed(counts))
+                at = (s & np.uint64(groups - 1)).astype(np.int64)
+                content = np.bincount(at, weights=m >> np.uint64(56), minlength=groups).astype(np.int64)
+                vectors.append(packed(np.bincount(at, minlength=groups), content & 255))
             lists = lambda parts, kind: pa.ListArray.from_arrays(
                 pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))), pa.int32()),
                 pa.array(np.concatenate(parts) if parts else np.zeros(0), kind),
@@ -196,8 +214,8 @@ def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y, k in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), range(len(batch)), strict=True):
                 x, y = unpacked(x), unpacked(y)
-                groups = min(len(x), len(y))
-                most = int(np.minimum(folded(x, groups), folded(y, groups)).sum())
+                groups = min(x.shape[1], y.shape[1])
+                most = int(most_common(folded(x, groups)[None], folded(y, groups))[0])
                 keep.append((100 + percent) * most >= percent * int(na[k] + nb[k]))
             yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
@@ -247,8 +265,9 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     crowded = members.where("size > 2")
     for nearest in (True, False):  # a document's likeliest partner first, then whatever is still apart
         rest = write_table(_inside(crowded, label, classes, percent, nearest), "rest")
-        edges = write_table(edges.unionByName(_linked(rest, docs, width, percent)), "links")
+        edges = write_table(edges.unionByName(_linked(rest.select("a", "b", "na", "nb").distinct(), docs, width, percent)), "links")
         label = _relabel(label, edges)
+        crowded = crowded.join(rest.where("more").select("leaf").distinct(), "leaf", "left_semi")
 
     part = label.select(F.col("rep"), "comp")
     grouped = classes.select(*key, "rep").join(part, "rep", "left").select(*key, F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("component_id"))
@@ -260,8 +279,9 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def _members(full: DataFrame, classes: DataFrame) -> DataFrame:
     """``leaf, rep, lo, size`` of the leaves that two classes or more share; ``lo`` is the smallest member."""
     entries = full.select(F.col("doc_id").alias("rep"), F.explode("leaves").alias("leaf"))
-    shared = entries.groupBy("leaf").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    found = write_table(entries.join(shared, "leaf").select("leaf", "rep", "lo"), "entries")
+    leaf = W.partitionBy("leaf")  # one shuffle of all leaves: most are of one document
+    shared = entries.withColumns({"lo": F.min("rep").over(leaf), "hi": F.max("rep").over(leaf)}).where("lo < hi")
+    found = write_table(shared.select("leaf", "rep", "lo"), "entries")
     # exact copies have left: one row per class and leaf
     found = found.join(classes.select("rep"), "rep", "left_semi")
     sizes = found.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
@@ -274,7 +294,8 @@ def _inside(members: DataFrame, label: DataFrame, classes: DataFrame, percent: i
     A leaf is cut into blocks of about ``BLOCK`` documents, and two blocks meet in
     one group of bounded size, however many documents share the leaf. With ``nearest``
     a document of a block gives one pair, that with the greatest possible similarity,
-    so the rows out of two blocks are as many as their documents. Returns ``a, b`` with their sizes.
+    so the rows out of two blocks are as many as their documents, and ``more`` tells that it had
+    others. Returns ``leaf, a, b, more`` with the sizes; a pair of several leaves comes from each.
     """
     at = members.join(label, "rep").select("leaf", "rep", "lo", "size", "comp")
     several = at.groupBy("leaf").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("leaf")
@@ -293,29 +314,35 @@ def _inside(members: DataFrame, label: DataFrame, classes: DataFrame, percent: i
         take = lambda name: group.column(name).to_numpy()
         own, rep, comp, size = take("own"), take("rep"), take("comp"), take("n_shingles")
         points = [unpacked(p) for p in group.column("point").to_pylist()]
-        groups = min(map(len, points))
+        groups = min(p.shape[1] for p in points)
         point = np.array([folded(p, groups) for p in points])
+        counts = point[:, 0]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found: list[list[np.ndarray]] = [[] for _ in range(4)]
+        found: list[list[np.ndarray]] = [[] for _ in range(5)]
         if len(left) and len(right):
-            box, least = point[right].max(axis=0), size[right].min()
-            fits = (100 + percent) * np.minimum(point[left], box).sum(axis=1) >= percent * (size[left] + least)
+            box, least = counts[right].max(axis=0), size[right].min()
+            fits = (100 + percent) * np.minimum(counts[left], box).sum(axis=1) >= percent * (size[left] + least)
             for k in left[fits]:
                 others = right[(comp[right] != comp[k]) & ((rep[right] > rep[k]) | (i != j))]
-                most = np.minimum(point[others], point[k]).sum(axis=1, dtype=np.int64)
+                most = np.minimum(counts[others], counts[k]).sum(axis=1, dtype=np.int64)
+                others = others[(100 + percent) * most >= percent * (size[others] + size[k])]
+                if not len(others):
+                    continue
+                most = most_common(point[others], point[k])
                 fine = (100 + percent) * most >= percent * (size[others] + size[k])
                 others, most = others[fine], most[fine]
+                more = np.full(len(others), nearest and len(others) > 1)
                 if nearest and len(others):
-                    others = others[[np.argmax(most / (size[others] + size[k] - most))]]
+                    others, more = others[[np.argmax(most / (size[others] + size[k] - most))]], more[:1]
                 swap = rep[others] < rep[k]
                 order = lambda values: (np.where(swap, values[others], values[k]), np.where(swap, values[k], values[others]))  # noqa: B023,E731
                 (a, b), (na, nb) = order(rep), order(size)
-                for column, values in zip(found, (a, b, na, nb), strict=True):
+                for column, values in zip(found, (a, b, na, nb, more), strict=True):
                     column.append(values)
         joined = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in found]
-        return pa.table(joined, names=["a", "b", "na", "nb"])
+        return pa.table([pa.array([key[0].as_py()] * len(joined[0]), pa.int64()), *joined[:4], joined[4].cast(pa.bool_())], names=["leaf", "a", "b", "na", "nb", "more"])
 
-    return inner.groupBy("leaf", "i", "j").applyInArrow(meet, "a bigint, b bigint, na bigint, nb bigint").distinct()
+    return inner.groupBy("leaf", "i", "j").applyInArrow(meet, "leaf bigint, a bigint, b bigint, na bigint, nb bigint, more boolean")
 
 
 def unique(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,34 @@ def test_low_similarity_families_do_not_join(spark):
     assert result(ngram_join.similar(documents(spark, rows), 3, 90)) == brute_force(rows, 3, 90)
 
 
+def test_pairs_just_below_the_threshold_are_not_verified(spark, monkeypatch):
+    """Texts of 60 common and 8 own words, similarity 0.78: coordinate minima alone let most of their pairs through."""
+    rng = random.Random(11)
+    line = [f"s{k}" for k in range(60)]
+    rows = [(k, " ".join(line + [f"u{k}_{j}" for j in range(8)])) for k in range(60)]
+    rows += [(1000 + k, family(rng, [f"t{j}" for j in range(80)], 3)) for k in range(40)]
+    asked, linked = [], ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda pairs, *a: asked.append(pairs.distinct().count()) or linked(pairs, *a))
+    assert result(ngram_join.similar(documents(spark, rows), 5, 80)) == brute_force(rows, 5, 80)
+    assert sum(asked) < 400
+
+
+def test_bound_of_two_points():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in (1, 9, 60, 60, 200, 200)]
+
+    def point(s, groups):
+        at = ngram_join.mixed(s) % np.uint64(groups)
+        content = np.bincount(at.astype(int), weights=ngram_join.mixed(s + np.uint64(7)) >> np.uint64(56), minlength=groups).astype(int) & 255
+        return ngram_join.unpacked(ngram_join.packed(np.bincount(at.astype(int), minlength=groups), content))
+
+    for a in sets:
+        for b in sets:
+            x, y = ngram_join.folded(point(a, 256), 128), point(b, 128)
+            most = ngram_join.most_common(x[None], y)[0]
+            assert len(np.intersect1d(a, b)) <= most <= np.minimum(x[0], y[0]).sum()
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "a b c d"), (3, None)]
     df = documents(spark, rows).withColumn("component_id", F.lit("clash")).withColumn("rep", F.lit(1))
