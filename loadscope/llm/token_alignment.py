@@ -42,6 +42,8 @@ from loadscope.session import write_table
 
 #: Units of one call of the libraries, in bytes.
 BATCH_BYTES = 1 << 16
+#: Units of the documents of a slice whose links are counted together.
+BLOCK_UNITS = 1 << 16
 #: Links of a group beyond this are counted by distinct ids, so a group without cuts stays small.
 _LARGE = 1 << 12
 _FIRST = b" a"
@@ -237,25 +239,35 @@ class Units:
         self.bad = np.zeros(n, dtype=bool)
         self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(n, dtype=np.int64) for _ in range(4))
         self.text = [b""] * n
-        self._links: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []
+        self._links: list[tuple[np.ndarray, np.ndarray]] = []
+        self._many: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, unit: np.ndarray, codes: np.ndarray, times: np.ndarray | None) -> None:
-        self._links.append((unit, codes, times))
+        unit, codes = unit.astype(np.int32), codes.astype(np.uint32)  # ids are below 1 << 16
+        if times is None:
+            self._links.append((unit, codes))
+        else:
+            self._many.append((unit, codes, times))
 
     def closed(self) -> Units:
         """Links by unit: distinct pairs of the slice, and for every unit its pairs and how often it holds each."""
-        unit, codes, times = (np.concatenate(x) for x in zip(*(
-            (u, c, np.ones(len(c), dtype=np.int64) if t is None else t) for u, c, t in [*self._links, (np.zeros(0, np.int64),) * 3]), strict=True))
-        self.codes, pair = np.unique(codes, return_inverse=True)
-        key = unit * max(1, len(self.codes)) + pair
-        order = np.argsort(key, kind="stable")
-        key, times = key[order], times[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        self.times = np.add.reduceat(times, first) if len(first) else np.zeros(0, np.int64)
-        key = key[first]
-        self.pair = key % max(1, len(self.codes))
-        self.pairs_of = np.bincount(key // max(1, len(self.codes)), minlength=self.n)
+        every = [*self._links, *((u, c) for u, c, _ in self._many), (np.zeros(0, np.int32), np.zeros(0, np.uint32))]
+        self.codes = np.unique(np.concatenate([np.unique(c) for _, c in every]))
+        n = max(1, len(self.codes))
+        key = np.concatenate([u.astype(np.int64) * n + np.searchsorted(self.codes, c) for u, c in every])
+        single = sum(len(c) for _, c in self._links)
         self._links = []
+        if self._many:
+            times = np.concatenate([np.ones(single, dtype=np.int64), *(t for _, _, t in self._many)])
+            order = np.argsort(key, kind="stable")
+            key, times = key[order], times[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, self.times = key[first], np.add.reduceat(times, first)
+            self._many = []
+        else:
+            key, self.times = np.unique(key, return_counts=True)
+        self.pair = (key % n).astype(np.int32)
+        self.pairs_of = np.bincount(key // n, minlength=self.n)
         return self
 
 
@@ -273,7 +285,7 @@ def _numbers(raw: bytes) -> np.ndarray:
 def _units(data: np.ndarray, bounds: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the units; every text that is not empty begins with a blank."""
     begin = np.zeros(len(data) + 1, dtype=bool)
-    begin[1:-1] = opens[data[1:]] & ~BLANK[data[:-1]]
+    begin[1:-1] = words.looked_up(opens, data[1:]) & ~words.looked_up(BLANK, data[:-1])
     for k in {int(np.searchsorted(bounds, m.start(), side="right")) - 1 for m in _WIDE.finditer(data.tobytes())}:
         begin[bounds[k] : bounds[k + 1]] = False
     begin[bounds] = True
@@ -308,32 +320,38 @@ def _rows(aligner: Aligner, number: int, ids: list[int | None], data: np.ndarray
     starts, ends = _units(data, bounds, aligner.b.opens)
     one, kind = distinct(data, starts, ends)
     raw = data.tobytes()
-    units = aligner.align([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+    distinct_units = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
     before = np.searchsorted(starts, bounds)
+    kind = kind.astype(np.int32)
+    del raw, starts, ends, one
+    units = aligner.align(distinct_units)
     bad = np.concatenate([[0], np.cumsum(units.bad[kind])])
     good = bad[before[1:]] == bad[before[:-1]]
     totals = []
     for values in (units.n_a, units.n_b, units.n_groups, units.n_links):
         sums = np.concatenate([[0], np.cumsum(values[kind])])
         totals.append(np.where(good, sums[before[1:]] - sums[before[:-1]], 0).tolist())
-    doc = np.repeat(np.arange(len(ids)), np.diff(before))
-    held = good[doc]
-    key, times = np.unique(doc[held] * max(1, units.n) + kind[held], return_counts=True)
-    doc, unit = key // max(1, units.n), key % max(1, units.n)
-    sizes = units.pairs_of[unit]
     first = np.cumsum(units.pairs_of) - units.pairs_of
     n_pairs = max(1, len(units.codes))
-    linked = np.sort(np.repeat(doc, sizes) * n_pairs + units.pair[ranges(first[unit], sizes)])
-    linked = linked[np.append(True, linked[1:] != linked[:-1])] if len(linked) else linked
-    docs_of_pair = np.bincount(linked % n_pairs, minlength=len(units.codes))
-    places = np.searchsorted(doc, np.arange(len(ids) + 1))
-    kinds, text = kind.tolist(), units.text
-    for k, doc_id in enumerate(ids):
-        sha = ""
-        if good[k] and before[k + 1] > before[k]:
-            sha = hashlib.sha256(b"".join([text[i] for i in kinds[before[k] : before[k + 1]]])[:-1]).hexdigest()
-        own = slice(places[k], places[k + 1])
-        yield (_DOC, number, doc_id, *(t[k] for t in totals), sha, _bytes(unit[own]), _bytes(times[own]), None, None, None)
+    docs_of_pair = np.zeros(len(units.codes), dtype=np.int64)
+    text, low = units.text, 0
+    while low < len(ids):  # some documents at a time: their links are several times their units
+        high = max(low + 1, int(np.searchsorted(before, before[low] + BLOCK_UNITS, side="right")) - 1)
+        doc = np.repeat(np.arange(high - low), np.diff(before[low : high + 1]))
+        held = good[low:high][doc]
+        key, times = np.unique(doc[held] * max(1, units.n) + kind[before[low] : before[high]][held], return_counts=True)
+        doc, unit = key // max(1, units.n), key % max(1, units.n)
+        sizes = units.pairs_of[unit]
+        linked = np.unique(np.repeat(doc, sizes) * n_pairs + units.pair[ranges(first[unit], sizes)])
+        docs_of_pair += np.bincount(linked % n_pairs, minlength=len(units.codes))
+        places = np.searchsorted(doc, np.arange(high - low + 1))
+        for k in range(low, high):
+            sha = ""
+            if good[k] and before[k + 1] > before[k]:
+                sha = hashlib.sha256(b"".join([text[i] for i in kind[before[k] : before[k + 1]].tolist()])[:-1]).hexdigest()
+            own = slice(places[k - low], places[k - low + 1])
+            yield (_DOC, number, ids[k], *(t[k] for t in totals), sha, _bytes(unit[own]), _bytes(times[own]), None, None, None)
+        low = high
     blobs = (units.codes, docs_of_pair, units.pairs_of, units.pair, units.times)
     yield (_SLICE, number, *([None] * 6), *map(_bytes, blobs))
 

@@ -41,6 +41,11 @@ def slices(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, np.n
         at = to
 
 
+def looked_up(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """``table[data]`` for 256 entries of one byte; as an index, numpy would take eight bytes for every one."""
+    return np.frombuffer(bytearray(data.tobytes().translate(table.tobytes())), dtype=table.dtype)
+
+
 def spans(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true bytes that no bound crosses, and the runs before each bound."""
     n = len(inside)
@@ -78,12 +83,14 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
         low[long] = [number.setdefault(raw[a:b], len(number)) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
         high[long] = 0
     kind = np.minimum(lengths, 2 * _HEAD + 1).astype(np.uint8)  # lengths tell words with zero bytes, and long words, apart
-    mixed = high + kind * np.uint64(0xD6E8FEB86659FD93)
+    del padded, lengths, long  # a slice has more than a million words
+    mixed = kind * np.uint64(0xD6E8FEB86659FD93)
+    mixed += high
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= low * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(32)
     order = np.argsort(mixed, kind="stable")
-    low = low[order]  # one after another: a slice has more than a million words
+    low = low[order]  # one after another
     high = high[order]
     kind = kind[order]
     mixed = mixed[order]

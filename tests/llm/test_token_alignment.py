@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -112,6 +114,19 @@ def test_groups_without_cuts_are_counted_by_ids(monkeypatch):
     assert dict(zip(units.codes[units.pair].tolist(), units.times.tolist())) == links
 
 
+def test_memory_of_a_slice():
+    """What a slice takes beside its text is bounded: links are several times the units, and are counted by blocks of documents."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randrange(2, 14))) for _ in range(3000)]
+    texts = [(" " + " ".join(rng.choices(vocabulary, k=200))).encode() for _ in range(1500)]
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    tracemalloc.start()
+    n = sum(1 for _ in token_alignment._rows(ALIGNER, 0, list(range(len(texts))), data, bounds))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(texts) + 1 and peak < 16 * len(data)
+
+
 def test_empty_table(spark):
     assert found(spark.createDataFrame([], "doc_id bigint, text string")) == []
     assert found(spark.createDataFrame([(1, None)], "doc_id bigint, text string")) == [(1, 0, 0, 0, 0, 0, 0, "")]
