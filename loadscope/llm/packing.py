@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.llm.token_counts import byte_symbols
-from loadscope.llm.words import BLANK, distinct, ranges, slices, spans
+from loadscope.llm.words import BLANK, distinct, looked_up, ranges, slices, spans
 from loadscope.session import write_table
 
 WINDOW = 2048
@@ -117,7 +117,9 @@ class WordIds:
         if len(self.parts) > KNOWN_PARTS:
             self.parts, self.older = {}, self.parts
         known, older = self.parts, self.older
-        found = [known.get(p) or older.get(p) for p in parts]
+        found = list(map(known.get, parts))
+        if older:
+            found = [x or older.get(p) for p, x in zip(parts, found, strict=True)]
         new = [p for p, x in zip(parts, found, strict=True) if x is None]
         if new:
             mapped = " ".join(new).encode().decode("latin-1").translate(self.symbols).split(" ")
@@ -169,7 +171,7 @@ class WordIds:
         ASCII words are cut into parts in place; words with an apostrophe, with a special
         string's sign or with other letters are cut by the pattern.
         """
-        kind = _KIND[data]
+        kind = looked_up(_KIND, data)
         starts, ends, _ = spans(kind > 0, bounds)
         strange = (data >= 0x80) | (data == 0x27)
         strange[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
@@ -180,7 +182,7 @@ class WordIds:
             np.add.at(mark, ends[odd], -1)
             kind[np.cumsum(mark[:-1], dtype=np.int8) > 0] = 0
         low, high = _parts_in(kind, bounds)
-        small = _LOWER[data]
+        small = looked_up(_LOWER, data)
         one, of_part = distinct(small, low, high)
         raw = small.tobytes().decode("latin-1")
         blobs = self._ids_of_parts([raw[a:b] for a, b in zip(low[one].tolist(), high[one].tolist(), strict=True)])
@@ -227,13 +229,16 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, window: int) -> DataFram
         end = np.array([end_id], dtype="<u2")
         documents = sequences = 0
         counts = np.zeros(VOCABULARY, dtype=np.int64)
+        place = np.zeros(VOCABULARY, dtype=np.int64)  # of an id's last occurrence in a document
         for batch in batches:
             found = ids_of.texts(batch.column("text"))
             for at in range(0, len(batch), 256):
                 rows = []
                 for doc_id in batch.column("doc_id").slice(at, 256).to_pylist():
                     ids = np.concatenate([next(found), end])
-                    counts[np.unique(ids)] += 1
+                    at_id, every = ids.astype(np.int64), np.arange(len(ids))
+                    place[at_id] = every
+                    counts[at_id[place[at_id] == every]] += 1
                     uid = (task << 40) + documents
                     documents += 1
                     whole = len(ids) // window * window
@@ -287,6 +292,12 @@ class _Index:
         rows = np.repeat(low - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
         return np.bincount(self.doc[rows], weights=self.weight[rows], minlength=self.n)
 
+    def keep(self, open_: np.ndarray) -> None:
+        """Leave out the postings of all other documents."""
+        held = open_[self.doc]
+        before = np.concatenate(([0], np.cumsum(held)))
+        self.doc, self.weight, self.at = self.doc[held], self.weight[held], before[self.at]
+
 
 def fill_windows(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[list[tuple[int, int, int]]]:
     """Sequences of ``(document, from, length)`` that hold every id once."""
@@ -295,7 +306,7 @@ def fill_windows(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: in
     taken = np.zeros(len(ids), dtype=np.int64)
     sequences = []
     by_length = np.argsort(-left, kind="stable")
-    at = 0
+    at, indexed = 0, len(ids)
 
     def take(doc: int, most: int) -> tuple[int, int, int]:
         n = int(min(left[doc], most))
@@ -313,15 +324,18 @@ def fill_windows(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: in
         pieces = [take(seed, window)]
         room = window - pieces[0][2]
         if room:
-            order = np.argsort(-index.scores(seed), kind="stable")
-            order = order[left[order] > 0]
-        while room:
-            open_ = order[left[order] > 0]
-            if not len(open_):
-                break
-            fits = open_[left[open_] <= room]
-            pieces.append(take(int((fits if len(fits) else open_)[0]), room))
+            open_ = np.flatnonzero(left)
+            if 2 * len(open_) < indexed:
+                index.keep(left > 0)
+                indexed = len(open_)
+            scores = index.scores(seed)[open_]
+        while room and len(open_):
+            fits = np.flatnonzero(left[open_] <= room)
+            best = int(fits[np.argmax(scores[fits])] if len(fits) else np.argmax(scores))
+            pieces.append(take(int(open_[best]), room))
             room -= pieces[-1][2]
+            rest = left[open_] > 0
+            open_, scores = open_[rest], scores[rest]
         if not room:
             sequences.append(pieces)
             continue

@@ -117,6 +117,25 @@ def test_scores_are_bm25():
         assert np.allclose(index.scores(seed), want)
 
 
+def test_used_documents_leave_the_index(monkeypatch):
+    """Scores of open documents stay, the postings of used ones go: a window costs what is left."""
+    rng = np.random.default_rng(8)
+    ids = [rng.integers(0, 300, n).astype("<u2") for n in rng.integers(1, 400, 120)]
+    idf, window = rng.random(packing.VOCABULARY), 512
+    index = packing._Index(ids, idf, 100.0)
+    want, open_ = index.scores(5), np.arange(len(ids)) % 3 == 0
+    index.keep(open_)
+    got = index.scores(5)
+    assert (got[open_] == want[open_]).all() and not got[~open_].any()
+    sizes, scores = [], packing._Index.scores
+    monkeypatch.setattr(packing._Index, "scores", lambda self, seed: sizes.append(len(self.doc)) or scores(self, seed))
+    held = [np.zeros(len(x), int) for x in ids]
+    for pieces in packing.fill_windows(ids, idf, 100.0, window):
+        for doc, start, n in pieces:
+            held[doc][start : start + n] += 1
+    assert all((h == 1).all() for h in held) and sizes[-1] < sizes[0] / 4
+
+
 def test_related_documents_meet_at_any_number_of_shards(spark):
     rng = random.Random(3)
     terms = rng.sample(sorted(w[:-4] for w in LIBRARY.get_vocab() if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha() and len(w) > 9), 760)
