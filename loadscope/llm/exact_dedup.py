@@ -35,7 +35,7 @@ def _md5(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _perhaps(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+def perhaps(rows: DataFrame, hashes: DataFrame) -> DataFrame:
     """The rows with one of the hashes, and a few others: a map of ``BITS`` bits, whatever the table, says which."""
     # the functions count from 1
     place = lambda: F.pmod(F.xxhash64("h"), F.lit(BITS)) + 1
@@ -60,7 +60,7 @@ def duplicates(docs: DataFrame, keep: str = "max", content_hash: Callable[[Colum
     stays = getattr(F, keep)
     counted = write_table(rows.groupBy("h").agg(stays("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "counted")
     bounds = (
-        _perhaps(rows, counted.where("group_size > 1").select("h")).groupBy("h")
+        perhaps(rows, counted.where("group_size > 1").select("h")).groupBy("h")
         .agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi").select("h", F.lit(True).alias("mixed"))
     )
     groups = write_table(counted.join(bounds, "h", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))), "groups")

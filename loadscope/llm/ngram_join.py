@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loadscope.llm.components import connected_components
+from loadscope.llm.exact_dedup import perhaps
 from loadscope.llm.shingles import mixed, shingle_sets
+from loadscope.llm.workers import tidied
 from loadscope.session import write_table
 
 CLASS_RATIO = 1.5
@@ -46,8 +49,9 @@ CLASS_RATIO = 1.5
 COORDINATES = 64
 #: Documents in a block of a leaf; two blocks are compared in one task.
 BLOCK = 256
-#: Bits of the filter that picks the documents whose sets are compared.
-BITMAP = 1 << 25
+#: Documents in a batch of points, and shingles in a batch of sets (one document at least).
+POINTS_AT_ONCE = 512
+SHINGLES_AT_ONCE = 1 << 17
 
 _POINTS = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, leaves array<bigint>, point binary"
 
@@ -146,61 +150,56 @@ def leaves(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """One row per document: set size, fingerprint of the set, leaf keys, count vector."""
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts).view(np.int64), pa.int64()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+
+def point_batches(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Points of ``doc_id, text``, at most ``POINTS_AT_ONCE`` in a batch whatever the batches that come."""
+    for batch in batches:
+        ids, sets = batch.column("doc_id").cast(pa.int64()), shingle_sets(batch.column("text"), width)
+        for low in range(0, len(batch), POINTS_AT_ONCE):
             size, one, two, keys, vectors = [], [], [], [], []
-            for s in shingle_sets(batch.column("text"), width):
+            for s in islice(sets, POINTS_AT_ONCE):
                 size.append(len(s))
                 m = mixed(s)
                 one.append(int(m.sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(mixed(m ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)))
-                keys.append(leaves(s, percent).view(np.int64))
+                keys.append(leaves(s, percent))
                 groups = coordinates(len(s))
                 at = (s & np.uint64(groups - 1)).astype(np.int64)
                 content = np.bincount(at, weights=m >> np.uint64(56), minlength=groups).astype(np.int64)
                 vectors.append(packed(np.bincount(at, minlength=groups), content & 255))
-            lists = lambda parts, kind: pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))), pa.int32()),
-                pa.array(np.concatenate(parts) if parts else np.zeros(0), kind),
-            )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(one, pa.int64()),
-                 pa.array(two, pa.int64()), lists(keys, pa.int64()), pa.array(vectors, pa.binary())],
+                [ids.slice(low, POINTS_AT_ONCE), pa.array(size, pa.int64()), pa.array(one, pa.int64()),
+                 pa.array(two, pa.int64()), _lists(keys), pa.array(vectors, pa.binary())],
                 ["doc_id", "n_shingles", "f1", "f2", "leaves", "point"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _POINTS)
-
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """``BITMAP`` bits with those of the ids' hashes set: a filter of fixed size that passes every id in the table."""
-    place = ids.select((F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)) + 1).alias("p"))  # the functions count from 1
-    parts = place.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = np.zeros(BITMAP // 8, np.uint8)
-    for k, bits in parts.collect():
-        at = (k - 1) * len(bits)
-        out[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
-    return out
+def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """One row per document: set size, fingerprint of the set, leaf keys, count vector."""
+    return docs.select("doc_id", "text").mapInArrow(tidied(lambda batches: point_batches(batches, width, percent)), _POINTS)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``doc_id, shingles`` of the wanted documents and a few others; texts are read where they lie, not shuffled."""
-    broadcast = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+def set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """``doc_id, shingles`` of ``doc_id, text``, about ``SHINGLES_AT_ONCE`` shingles in a batch."""
+    for batch in batches:
+        ids, low, held, n = batch.column("doc_id").cast(pa.int64()), 0, [], 0
+        for high, s in enumerate(shingle_sets(batch.column("text"), width), 1):
+            held.append(s)
+            n += len(s)
+            if n >= SHINGLES_AT_ONCE or high == len(batch):
+                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), _lists(held)], ["doc_id", "shingles"])
+                low, held, n = high, [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = broadcast.value
-        for batch in batches:
-            p = batch.column("p").to_numpy()
-            batch = batch.filter(pa.array((bits[p >> 3] >> (p & 7) & 1).astype(bool)))
-            ids = batch.column("doc_id").cast(pa.int64())
-            for k, s in enumerate(shingle_sets(batch.column("text"), width)):
-                yield pa.RecordBatch.from_arrays([ids.slice(k, 1), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    placed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(BITMAP)).alias("p"))
-    return placed.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``doc_id, shingles`` of the wanted documents and a few others; texts are picked where they lie, not shuffled."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("h"), "text")
+    picked = perhaps(rows, wanted.select(F.col("doc_id").alias("h"))).select(F.col("h").alias("doc_id"), "text")
+    return picked.mapInArrow(tidied(lambda batches: set_batches(batches, width)), "doc_id bigint, shingles array<bigint>")
 
 
 def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -219,7 +218,7 @@ def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 keep.append((100 + percent) * most >= percent * int(na[k] + nb[k]))
             yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
-    return sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
+    return sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(tidied(run), "a bigint, b bigint, na bigint, nb bigint")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -313,9 +312,9 @@ def _inside(members: DataFrame, label: DataFrame, classes: DataFrame, percent: i
         i, j = key[1].as_py(), key[2].as_py()
         take = lambda name: group.column(name).to_numpy()
         own, rep, comp, size = take("own"), take("rep"), take("comp"), take("n_shingles")
-        points = [unpacked(p) for p in group.column("point").to_pylist()]
-        groups = min(p.shape[1] for p in points)
-        point = np.array([folded(p, groups) for p in points])
+        points = group.column("point").to_pylist()
+        groups = min((len(p) - 1) // (p[0] + 1) for p in points)
+        point = np.array([folded(unpacked(p), groups) for p in points])
         counts = point[:, 0]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         found: list[list[np.ndarray]] = [[] for _ in range(5)]

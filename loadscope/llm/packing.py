@@ -29,8 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadscope.llm import words
 from loadscope.llm.token_counts import byte_symbols
 from loadscope.llm.words import BLANK, distinct, looked_up, ranges, slices, spans
+from loadscope.llm.workers import tidied
 from loadscope.session import write_table
 
 WINDOW = 2048
@@ -89,7 +91,7 @@ def _rare(words: list[bytes]) -> np.ndarray:
 
 
 class WordIds:
-    """Token ids of whole texts by the library, once for each distinct word of a slice; made anew by every task.
+    """Token ids of whole texts by the library, once for each distinct word of half a slice; made anew by every task.
 
     The vocabulary drops white space and never joins words across it, so words between
     ASCII blanks are independent. Words are cut into parts, runs of letters or signs,
@@ -203,7 +205,7 @@ class WordIds:
 
     def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text in order; a null text has none."""
-        for _, data, bounds in slices(texts):
+        for _, data, bounds in slices(texts, max(1, words.SLICE_BYTES // 2)):
             ids, at = self.of_slice(data, bounds)
             for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 yield ids[low:high]
@@ -252,7 +254,7 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, window: int) -> DataFram
         used = np.flatnonzero(counts)
         yield _columns([(_COUNTS, None, None, documents, len(used), None, None, None, None, np.concatenate([used, counts[used]]).astype("<i8").tobytes())], _PARTS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PARTS)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), _PARTS)
 
 
 def _frequencies(parts: DataFrame) -> np.ndarray:
@@ -380,7 +382,7 @@ def _keyed(rest: DataFrame, frequency: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys[0]), pa.array(keys[1])], [*batch.schema.names, "first", "second"])
 
     names = "doc_id bigint, uid bigint, start bigint, doc_tokens bigint, ids binary"
-    return rest.select("doc_id", "uid", "start", "doc_tokens", "ids").mapInArrow(run, f"{names}, first bigint, second bigint")
+    return rest.select("doc_id", "uid", "start", "doc_tokens", "ids").mapInArrow(tidied(run), f"{names}, first bigint, second bigint")
 
 
 def _dealt(keyed: DataFrame, shard_tokens: int) -> DataFrame:
@@ -411,7 +413,7 @@ def _dealt(keyed: DataFrame, shard_tokens: int) -> DataFrame:
             shard = np.where(codes[k] == code, from_[k] + (_mixed(uid) % cuts[k].astype(np.uint64)).astype(np.int64), shard)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "uid", "start", "doc_tokens", "ids")), pa.array(shard)], ["doc_id", "uid", "start", "doc_tokens", "ids", "shard"])
 
-    return keyed.mapInArrow(run, "doc_id bigint, uid bigint, start bigint, doc_tokens bigint, ids binary, shard bigint")
+    return keyed.mapInArrow(tidied(run), "doc_id bigint, uid bigint, start bigint, doc_tokens bigint, ids binary, shard bigint")
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:

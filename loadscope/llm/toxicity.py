@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.llm.sampling import first_by_hash
+from loadscope.llm.workers import tidied
 from loadscope.session import write_table
 
 #: Most labelled documents to learn from, and most terms to learn.
@@ -267,7 +268,7 @@ def _terms(labelled: DataFrame) -> DataFrame:
         yield flush()
 
     return (
-        labelled.mapInArrow(run, "term string, toxic bigint, occurrences bigint, documents bigint")
+        labelled.mapInArrow(tidied(run), "term string, toxic bigint, occurrences bigint, documents bigint")
         .groupBy("term").agg(*(F.sum(F.when(F.col("toxic") == y, F.col(c)).otherwise(0)).alias(f"{c[0]}{y}") for y in (0, 1) for c in ("occurrences", "documents")))
     )
 
@@ -313,7 +314,7 @@ def _featured(docs: DataFrame, weights: dict[str, float], *extra: str) -> DataFr
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(at, pa.array(flat.ravel()))], [*names, "x"])
 
     schema = ", ".join([*(f"{c} bigint" for c in names), "x array<double>"])
-    return docs.select("text", *names).mapInArrow(run, schema)
+    return docs.select("text", *names).mapInArrow(tidied(run), schema)
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -377,12 +378,10 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFra
         m = shared.value
         reader = Reader(m.weights)
         for batch in batches:
-            texts = batch.column("text")
-            keep = []
-            for at in range(0, len(texts), 256):
-                x = np.array([reader.features(t or "") for t in texts.slice(at, 256).to_pylist()])
+            for at in range(0, len(batch), 256):
+                some = batch.slice(at, 256)
+                x = np.array([reader.features(t or "") for t in some.column("text").to_pylist()])
                 logit = ((x - m.mean) / m.scale) @ m.slope + m.intercept
-                keep += (1 / (1 + np.exp(-logit)) < threshold).tolist()
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                yield some.filter(pa.array(1 / (1 + np.exp(-logit)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
