@@ -248,14 +248,16 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     are one document each in ``n_shingles`` and one node in the links; rows with a
     null ``doc_id`` link with nothing. Columns other than ``doc_id`` and ``text`` are not read.
     """
-    found = write_table(points(docs, width, percent), "points")
-    full = found.where("n_shingles > 0 and doc_id is not null")
+    made, some = points(docs, width, percent), "n_shingles > 0 and doc_id is not null"
+    # leaves are most of a point: they are made once more for their shuffle, not written
+    found = write_table(made.drop("leaves"), "points")
+    full = found.where(some)
     key = ["f1", "f2", "n_shingles"]
     classes = write_table(
         full.groupBy(*key).agg(F.min(F.struct("doc_id", "point")).alias("r")).select(*key, F.col("r.doc_id").alias("rep"), F.col("r.point").alias("point")),
         "classes",
     )
-    members = _members(full, classes)
+    members = _members(made.where(some), classes)
     label = members.select("rep").distinct().select("rep", F.col("rep").alias("comp"))
     first = members.where("lo < rep").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
     edges = _linked(write_table(_allowed(first, classes, percent), "allowed"), docs, width, percent)
@@ -271,7 +273,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     part = label.select(F.col("rep"), "comp")
     grouped = classes.select(*key, "rep").join(part, "rep", "left").select(*key, F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("component_id"))
     out = full.select("doc_id", *key).join(grouped, key).select("doc_id", "n_shingles", "component_id", "class_id")
-    bare = found.where("not (n_shingles > 0 and doc_id is not null)")
+    bare = found.where(f"not ({some})")
     return out.unionByName(bare.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id")))
 
 
